@@ -1,0 +1,3 @@
+"""Streaming: the reference has no streaming operator (no watermark, window or
+state); nothing is built here.  All operators are batch DataFrame jobs and can
+be applied per micro-batch via ``foreachBatch`` by a user if needed."""
