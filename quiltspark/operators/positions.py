@@ -11,8 +11,9 @@ funnelling rows through one task:
 * :func:`kth_value` -- exact k-th order statistic by iterative bucket
   refinement: each pass is a scan plus a <= 4096-group partial aggregate; only
   a final bucket of at most ``max_collect`` values is ever sorted.
-* :func:`value_position` -- 0-based rank in *value* order (not hash order),
-  via range partitioning + per-range windows + broadcast offsets.
+* :func:`value_position` / :func:`cumulative_sum` -- rank / running sum in
+  *value* order, via driver-computed cut points (balanced slices), a window
+  per slice and broadcast slice offsets.
 """
 
 from __future__ import annotations
@@ -109,6 +110,43 @@ def kth_value(
     return vals[int(target)]["x"]
 
 
+def slice_bounds(df: DataFrame, col: str, ranges: int = 64) -> list:
+    """At most ``ranges - 1`` increasing cut points of ``col`` (computed once, on the driver).
+
+    Numeric columns use ``percentile_approx``; other orderable columns a
+    bounded sample.  The bounds only need to balance the slices: they are
+    used as literals afterwards, so every plan branch sees the same slicing
+    (``repartitionByRange`` re-samples per evaluation and would not).
+    """
+    dtype = dict(df.dtypes)[col]
+    if ranges <= 1:
+        return []
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        qs = [k / ranges for k in range(1, ranges)]
+        row = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, 10_000).alias("q")).first()
+        vals = row["q"] or []
+    else:
+        n = df.count()
+        frac = min(1.0, 200.0 * ranges / max(n, 1))
+        sample = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).sample(False, frac, 17).collect())
+        vals = [sample[(k * len(sample)) // ranges] for k in range(1, ranges)] if sample else []
+    out = []
+    for v in vals:
+        if v is not None and (not out or v > out[-1]):
+            out.append(v)
+    return out
+
+
+def slice_of(col: str, bounds: list) -> Column:
+    """0-based slice index: how many cut points lie strictly below the value."""
+    if not bounds:
+        return F.lit(0)
+    expr = F.lit(0)
+    for b in bounds:
+        expr = expr + (F.col(col) > F.lit(b)).cast("int")
+    return expr
+
+
 def value_position(
     df: DataFrame,
     order_cols: list[str],
@@ -118,14 +156,15 @@ def value_position(
 ) -> DataFrame:
     """Add ``out``: 0-based position in ``order_cols`` order (value order).
 
-    Range partitioning gives balanced slices of the sort order; a window per
-    slice ranks locally and a bounded table of slice offsets (``ranges`` rows,
-    per ``partition_col`` value) makes the rank global.  ``order_cols`` must
-    be a total order (end with a unique column).  With ``partition_col`` the
-    rank restarts for every value of that column.
+    Cut points of the first order column split the order into balanced
+    slices; a window per slice ranks locally and a bounded table of slice
+    offsets (``ranges`` rows per ``partition_col`` value) makes the rank
+    global.  ``order_cols`` must be a total order (end with a unique column).
+    With ``partition_col`` the rank restarts for every value of that column.
     """
     part = [partition_col] if partition_col else []
-    sliced = df.repartitionByRange(ranges, *part, *order_cols).withColumn("__slice", F.spark_partition_id())
+    bounds = slice_bounds(df, order_cols[0], ranges)
+    sliced = df.withColumn("__slice", slice_of(order_cols[0], bounds))
     counts = sliced.groupBy(*part, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     w_off = Window.partitionBy(*part).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, "__slice", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
@@ -146,3 +185,33 @@ def with_dense_id(df: DataFrame, seed: int = 0, out: str = "__row_id") -> DataFr
     cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("␀")) for c in df.columns]
     key = F.md5(F.concat_ws("␟", F.lit(str(seed)), *cols))
     return dense_position(df.withColumn("__rowkey", key), F.col("__rowkey"), "__rowkey", out=out).drop("__rowkey")
+
+
+def cumulative_sum(
+    df: DataFrame,
+    order_cols: list[str],
+    value_col: str,
+    out: str,
+    partition_col: str | None = None,
+    inclusive: bool = True,
+    ranges: int = 64,
+) -> DataFrame:
+    """Add ``out``: running sum of ``value_col`` in ``order_cols`` order.
+
+    Same slicing as :func:`value_position`: per-slice totals (a bounded table)
+    give each slice its starting offset, a window inside the slice does the
+    rest.  ``inclusive=False`` excludes the row itself.
+    """
+    part = [partition_col] if partition_col else []
+    bounds = slice_bounds(df, order_cols[0], ranges)
+    sliced = df.withColumn("__slice", slice_of(order_cols[0], bounds))
+    totals = sliced.groupBy(*part, "__slice").agg(F.sum(value_col).alias("__tot"))
+    w_off = Window.partitionBy(*part).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "__slice", F.coalesce(F.sum("__tot").over(w_off), F.lit(0)).alias("__off"))
+    end = 0 if inclusive else -1
+    w_in = Window.partitionBy(*part, "__slice").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    return (
+        sliced.join(F.broadcast(offsets), [*part, "__slice"])
+        .withColumn(out, F.col("__off") + F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
+        .drop("__slice", "__off")
+    )

@@ -318,3 +318,292 @@ def q_validated_join(spark, sf):
     n = parts["split0"].count()
     vj = J.ValidatedJoin(SCORER, behaviour="adaptive", max_size=n // 3, seed=SEED, max_iter=30)
     return vj.join(parts)
+
+
+# ---------------------------------------------------------------------------
+# correlation matrix and column splitting
+# ---------------------------------------------------------------------------
+
+from itertools import combinations  # noqa: E402
+
+from quiltspark.operators import aggregates as A  # noqa: E402
+from quiltspark.operators import splits as C  # noqa: E402
+from quiltspark.operators import stats as S  # noqa: E402
+from quiltspark.operators.encode import OrdinalEncoder  # noqa: E402
+
+L_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+L_SPLITS = {"split0": ["l_quantity", "l_extendedprice", "l_discount"], "split1": ["l_tax", "l_linenumber", "l_partkey", "l_suppkey"]}
+
+
+def corr_sql(a: str, b: str, table_name: str = "lineitem", absolute: bool = True) -> str:
+    r = (f"coalesce(covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / "
+         f"nullif(stddev_pop(CAST({a} AS DOUBLE)) * stddev_pop(CAST({b} AS DOUBLE)), 0), 0.0)")
+    return f"abs({r})" if absolute else r
+
+
+def _pairs_sql(cols, absolute=True, table_name="lineitem"):
+    """Long (col_a, col_b, r) over ordered pairs plus a zero diagonal."""
+    sel = []
+    for a, b in combinations(cols, 2):
+        v = corr_sql(a, b, table_name, absolute)
+        sel.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {v} AS r FROM {table_name}")
+        sel.append(f"SELECT '{b}' AS col_a, '{a}' AS col_b, {v} AS r FROM {table_name}")
+    for c in cols:
+        sel.append(f"SELECT '{c}' AS col_a, '{c}' AS col_b, 0.0 AS r")
+    return "\nUNION ALL\n".join(sel)
+
+
+def _lineitem(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+@register("A3_correlation_matrix", f"SELECT col_a, col_b, round(r, 6) AS r FROM ({_pairs_sql(L_NUM)})")
+def q_corr(spark, sf):
+    return C.correlation_long(_lineitem(spark, sf), L_NUM).select("col_a", "col_b", F.round("r", 6).alias("r"))
+
+
+def _split_case(col, splits):
+    whens = " ".join(f"WHEN {col} IN ({', '.join(repr(c) for c in cols)}) THEN '{s}'" for s, cols in splits.items())
+    return f"CASE {whens} END"
+
+
+@register(
+    "C6_ratio_of_correlations",
+    f"""
+WITH p AS ({_pairs_sql(L_NUM)}),
+     b AS (SELECT {_split_case('col_a', L_SPLITS)} AS sa, {_split_case('col_b', L_SPLITS)} AS sb,
+                  sqrt(sum(r * r)) AS norm FROM p GROUP BY ALL),
+     s AS (SELECT sum(CASE WHEN sa = sb THEN norm ELSE 0.0 END) AS interior,
+                  sum(CASE WHEN sa <> sb THEN norm ELSE 0.0 END) AS exterior FROM b)
+SELECT round(interior, 6) AS interior, round(exterior, 6) AS exterior,
+       round(exterior / nullif(interior, 0), 6) AS ratio FROM s
+""",
+)
+def q_ratio(spark, sf):
+    return C.ratio_of_correlations(C.correlation_long(_lineitem(spark, sf), L_NUM), L_SPLITS)
+
+
+def _norm_sql(pairs, signed=True):
+    terms = " + ".join(f"power({corr_sql(a, b, absolute=not signed)}, 2)" for a, b in pairs) or "0.0"
+    return terms
+
+
+_S0, _S1 = L_SPLITS["split0"], L_SPLITS["split1"]
+
+
+@register(
+    "C8_intra_inter_correlation",
+    f"""
+WITH v AS (SELECT sqrt(2 * ({_norm_sql(list(combinations(_S0, 2)))})) AS corr_11,
+                  sqrt(2 * ({_norm_sql(list(combinations(_S1, 2)))})) AS corr_22,
+                  sqrt({_norm_sql([(a, b) for a in _S0 for b in _S1])}) AS corr_12,
+                  sqrt({_norm_sql([(b, a) for a in _S0 for b in _S1])}) AS corr_21 FROM lineitem)
+SELECT round(corr_11, 6) AS corr_11, round(corr_22, 6) AS corr_22, round(corr_12, 6) AS corr_12,
+       round(corr_21, 6) AS corr_21, round(corr_11 + corr_22, 6) AS corr_intra,
+       round(corr_12 + corr_21, 6) AS corr_inter FROM v
+""",
+)
+def q_intra_inter(spark, sf):
+    return C.intra_inter_correlation(_lineitem(spark, sf), _S0, _S1)
+
+
+@register(
+    "C7_measure_correlation",
+    f"SELECT round(sqrt({_norm_sql([(a, b) for a in _S0 for b in _S1])}), 6) AS norm FROM lineitem",
+)
+def q_measure_corr(spark, sf):
+    long = C.signed_with_diagonal(_lineitem(spark, sf), L_NUM)
+    return C.measure_correlation(long, _S0, _S1).select(F.round("norm", 6).alias("norm"))
+
+
+_UPPER = list(combinations(range(len(L_NUM)), 2))
+
+
+@register(
+    "W5_largest_pair",
+    "WITH p AS (" + "\nUNION ALL\n".join(
+        f"SELECT {i} AS i, {j} AS j, '{L_NUM[i]}' AS col_a, '{L_NUM[j]}' AS col_b, {corr_sql(L_NUM[i], L_NUM[j])} AS r FROM lineitem"
+        for i, j in _UPPER
+    ) + ") SELECT col_a, col_b, round(r, 6) AS r FROM p ORDER BY r DESC, i, j LIMIT 1",
+)
+def q_largest_pair(spark, sf):
+    m = C.correlation_matrix(_lineitem(spark, sf), L_NUM)
+    i, j = C.largest_pair(m, list(range(len(L_NUM))))
+    return spark.createDataFrame([(L_NUM[i], L_NUM[j], round(float(m[i, j]), 6))], "col_a string, col_b string, r double")
+
+
+@register("C3_correlated_split")
+def q_correlated_split(spark, sf):
+    """Greedy correlation-driven split of lineitem's numeric columns (driver loop on d x d)."""
+    return C.splits_frame(spark, C.correlated_distribute_columns(_lineitem(spark, sf), L_NUM, 2, seed=SEED))
+
+
+# ---------------------------------------------------------------------------
+# encoding (E1, E2), distinct counts
+# ---------------------------------------------------------------------------
+
+
+def _part(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+@register(
+    "E1_ordinal_encode",
+    "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS DOUBLE) AS p_brand, "
+    "CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS p_type, p_size, p_retailprice FROM part",
+)
+def q_encode(spark, sf):
+    p = _part(spark, sf)
+    return OrdinalEncoder(["p_brand", "p_type"]).fit(p).transform(p)
+
+
+@register("E2_ordinal_decode", "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part")
+def q_decode(spark, sf):
+    p = _part(spark, sf)
+    enc = OrdinalEncoder(["p_brand", "p_type"]).fit(p)
+    return enc.inverse_transform(enc.transform(p))
+
+
+_PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_DISTINCT_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM part" for c in _PART_COLS
+)
+
+
+@register("A4_distinct_counts", _DISTINCT_SQL)
+def q_distinct(spark, sf):
+    return A.distinct_counts(table(spark, sf, "part"), _PART_COLS)
+
+
+@register(
+    "P8_classify_columns",
+    "SELECT \"column\", n_distinct, CASE WHEN \"column\" IN ('p_name', 'p_brand', 'p_type') OR n_distinct <= 5 "
+    f"THEN 'categorical' ELSE 'numeric' END AS kind FROM ({_DISTINCT_SQL})",
+)
+def q_classify(spark, sf):
+    return A.classify_columns(table(spark, sf, "part").select(*_PART_COLS))
+
+
+# ---------------------------------------------------------------------------
+# real vs synthetic halves of orders
+# ---------------------------------------------------------------------------
+
+_HALVES_SQL = f"""
+hr AS (SELECT *, row_number() OVER (ORDER BY {sql_key_to_long(sql_key(42, 'split', 'o_orderkey'))}, o_orderkey) AS __rn
+       FROM orders),
+halves AS (SELECT *, CASE WHEN __rn <= (SELECT round(0.5 * count(*)) FROM orders) THEN 'Real' ELSE 'Synthetic' END AS data
+           FROM hr)
+"""
+
+
+def _halves(spark, sf):
+    o = orders_with_id(spark, sf)
+    return M.train_test_split(o, 0.5, seed=42)
+
+
+@register("P9_tag_real_synthetic", f"WITH {_HALVES_SQL} SELECT o_orderkey AS __row_id, o_totalprice, data FROM halves")
+def q_tag(spark, sf):
+    real, syn = _halves(spark, sf)
+    return A.tag_real_synthetic(real.select(ROW_ID, "o_totalprice"), syn.select(ROW_ID, "o_totalprice"))
+
+
+@register("W7_complement", f"WITH {_HALVES_SQL} SELECT o_orderkey AS __row_id FROM halves WHERE data = 'Synthetic'")
+def q_complement(spark, sf):
+    o = orders_with_id(spark, sf).select(ROW_ID)
+    real, _ = M.train_test_split(o, 0.5, seed=42)
+    return A.complement(o, real, ROW_ID)
+
+
+@register("S6_load_and_union", "SELECT o_orderkey AS __row_id, o_custkey, o_totalprice FROM orders")
+def q_load_union(spark, sf):
+    real, syn = _halves(spark, sf)
+    cols = [ROW_ID, "o_custkey", "o_totalprice"]
+    return real.select(*cols).unionByName(syn.select(*cols))
+
+
+def _bins_sql(col, bins=10):
+    lo, hi = f"(SELECT min({col}) FROM orders)", f"(SELECT max({col}) FROM orders)"
+    return (f"CAST(CAST(least(floor((CAST({col} AS DOUBLE) - {lo}) / (({hi} - {lo}) / {float(bins)})), {bins - 1}) "
+            f"AS BIGINT) AS VARCHAR)")
+
+
+_HIST_LONG_SQL = f"""
+long AS (SELECT 'o_totalprice' AS attribute, data, {_bins_sql('o_totalprice')} AS bucket FROM halves
+         UNION ALL SELECT 'o_orderstatus', data, o_orderstatus FROM halves
+         UNION ALL SELECT 'o_orderpriority', data, o_orderpriority FROM halves)
+"""
+
+
+@register(
+    "A6_attribute_histogram",
+    f"""WITH {_HALVES_SQL}, {_HIST_LONG_SQL},
+c AS (SELECT attribute, data, bucket, count(*) AS n FROM long GROUP BY ALL),
+t AS (SELECT attribute, data, count(*) AS total FROM long GROUP BY ALL)
+SELECT attribute, data, bucket, round(n / total, 6) AS share FROM c JOIN t USING (attribute, data)""",
+)
+def q_attr_hist(spark, sf):
+    real, syn = _halves(spark, sf)
+    return A.attribute_histogram(real, syn, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"])
+
+
+@register(
+    "U1_hellinger",
+    f"""WITH {_HALVES_SQL}, {_HIST_LONG_SQL},
+c AS (SELECT attribute AS "column", bucket, sum(CASE WHEN data = 'Real' THEN 1.0 ELSE 0.0 END) AS nr,
+             sum(CASE WHEN data = 'Synthetic' THEN 1.0 ELSE 0.0 END) AS ns FROM long GROUP BY ALL),
+t AS (SELECT "column", sum(nr) AS tr, sum(ns) AS ts FROM c GROUP BY ALL),
+h AS (SELECT "column", sqrt(greatest(0.0, 1.0 - sum(sqrt((nr / tr) * (ns / ts))))) AS h FROM c JOIN t USING ("column")
+      GROUP BY ALL)
+SELECT "column", round(h, 6) AS h_dist FROM h
+UNION ALL SELECT 'avg_h_dist', round(avg(h), 6) FROM h""",
+)
+def q_hellinger(spark, sf):
+    from quiltspark.operators.metrics import hellinger
+
+    real, syn = _halves(spark, sf)
+    return hellinger(real, syn, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"])
+
+
+# ---------------------------------------------------------------------------
+# validator diagnostics on the labelled training set
+# ---------------------------------------------------------------------------
+
+
+@register("A7_probability_histogram",
+          f"WITH {_ROUND0_SQL} SELECT CAST(least(floor(score * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM j0 GROUP BY ALL")
+def q_prob_hist(spark, sf):
+    cand = J.random_join(orders_parts(spark, sf), SEED, tag=":r0")
+    return A.probability_histogram(SCORER.score(cand), "score", 20)
+
+
+_SCORED_TRAIN_SQL = f"st AS (SELECT label, {SCORE_SQL} AS score FROM ({_M3_SQL}))"
+
+
+@register(
+    "A8_calibration_curve",
+    f"""WITH {_SCORED_TRAIN_SQL}
+SELECT CAST(least(greatest(ceil(score * 10) - 1, 0), 9) AS INTEGER) AS bin, round(avg(score), 6) AS mean_pred,
+       round(avg(CAST(label AS DOUBLE)), 6) AS frac_pos, count(*) AS n FROM st GROUP BY ALL""",
+)
+def q_calibration(spark, sf):
+    return A.calibration_curve(SCORER.score(_training(spark, sf)), "score", "label", 10)
+
+
+@register(
+    "V11_score_validator",
+    f"""WITH {_SCORED_TRAIN_SQL},
+r AS (SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ar FROM st),
+a AS (SELECT (sum(CASE WHEN label = 1 THEN ar ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0)
+             / (sum(label) * sum(1 - label)) AS auc FROM r),
+m AS (SELECT avg((score - label) * (score - label)) AS brier,
+             avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15))
+                   + (1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))) AS log_loss,
+             sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1.0 ELSE 0.0 END) AS tp,
+             sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1.0 ELSE 0.0 END) AS fp,
+             sum(CASE WHEN score < 0.5 AND label = 1 THEN 1.0 ELSE 0.0 END) AS fn FROM st)
+SELECT round(brier, 3) AS brier, round(log_loss, 3) AS log_loss, round(auc, 3) AS auc,
+       round(coalesce(tp / nullif(tp + fp, 0), 0.0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 3) AS recall,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 3) AS f1 FROM m, a""",
+)
+def q_score_validator(spark, sf):
+    return S.score_validator(SCORER.score(_training(spark, sf)), "score", "label", 0.5)

@@ -69,6 +69,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
         "cols": (sorted(s_cols), sorted(d_cols)) if sorted(s_cols) != sorted(d_cols) else None,
         "hash": (hs, hd),
         "spark_s": round(t1 - t0, 2),
+        "sample": (s_rows[:2], d_rows[:2]) if hs != hd and len(s_rows) <= 3 else None,
     }
 
 
