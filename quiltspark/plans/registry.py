@@ -607,3 +607,278 @@ SELECT round(brier, 3) AS brier, round(log_loss, 3) AS log_loss, round(auc, 3) A
 )
 def q_score_validator(spark, sf):
     return S.score_validator(SCORER.score(_training(spark, sf)), "score", "label", 0.5)
+
+
+# ---------------------------------------------------------------------------
+# result tables: lineitem read as a run log (model = l_returnflag,
+# data = l_linestatus, rep = l_linenumber, metrics = quantity/discount/tax)
+# ---------------------------------------------------------------------------
+
+from quiltspark.sources import io as IO  # noqa: E402
+
+METRICS = ["l_quantity", "l_discount", "l_tax"]
+MODELS = ["A", "N", "R"]
+_LONG_SQL = "\nUNION ALL\n".join(
+    f"SELECT l_returnflag AS model, l_linestatus AS data, l_linenumber AS rep, '{m}' AS metric, "
+    f"CAST({m} AS DOUBLE) AS value FROM lineitem"
+    for m in METRICS
+)
+_A1_SQL = (f"SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem "
+           f"FROM ({_LONG_SQL}) GROUP BY ALL")
+
+
+def _runs_wide(spark, sf):
+    li = _lineitem(spark, sf)
+    return li.select(
+        F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("data"), F.col("l_linenumber").alias("rep"),
+        *METRICS,
+    )
+
+
+def _runs_long(spark, sf):
+    return A.metrics_to_long(_runs_wide(spark, sf), ["model", "data", "rep"], METRICS)
+
+
+def _a1(spark, sf):
+    return A.mean_sem(_runs_long(spark, sf), ["model", "metric"])
+
+
+@register("P5_metrics_to_long", _LONG_SQL)
+def q_to_long(spark, sf):
+    return _runs_long(spark, sf)
+
+
+@register("A1_mean_sem", _A1_SQL)
+def q_mean_sem(spark, sf):
+    return _a1(spark, sf)
+
+
+@register(
+    "A9_group_point_estimates",
+    "SELECT l_returnflag AS model, l_linestatus AS data, round(avg(l_quantity), 6) AS mean, "
+    "round(stddev_samp(l_quantity), 6) AS sd, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS sem, "
+    "count(*) AS n FROM lineitem GROUP BY ALL",
+)
+def q_point_estimates(spark, sf):
+    return A.group_point_estimates(_runs_wide(spark, sf), ["model", "data"], "l_quantity")
+
+
+_RANK_SQL = (f"SELECT model, metric, mean, sem, rank() OVER (PARTITION BY metric ORDER BY "
+             f"CASE WHEN metric IN ('l_quantity') THEN -mean ELSE mean END) AS rank FROM ({_A1_SQL})")
+
+
+@register("W1_rank_models", _RANK_SQL)
+def q_rank_models(spark, sf):
+    return S.rank_models(_a1(spark, sf), maximise=["l_quantity"])
+
+
+@register(
+    "W3_benchmark_rank",
+    f"SELECT model, CAST(sum(rank) AS BIGINT) AS rank_sum, CAST(sum(CASE WHEN metric IN ('l_discount', 'l_tax') "
+    f"THEN rank ELSE 0 END) AS BIGINT) AS u_rank FROM ({_RANK_SQL}) GROUP BY ALL",
+)
+def q_benchmark_rank(spark, sf):
+    return S.benchmark_rank(_a1(spark, sf), maximise=["l_quantity"], groups={"u_rank": ["l_discount", "l_tax"]})
+
+
+def _erf_sql(x: str) -> str:
+    t = f"(1.0 / (1.0 + 0.3275911 * abs({x})))"
+    poly = f"(((((1.061405429 * {t} + -1.453152027) * {t} + 1.421413741) * {t} + -0.284496736) * {t} + 0.254829592) * {t})"
+    return f"(sign({x}) * (1.0 - {poly} * exp(-abs({x}) * abs({x}))))"
+
+
+_Z = "((ma - mb) / nullif(sqrt(sa * sa + sb * sb), 0))"
+
+
+@register(
+    "F1_compare_results",
+    f"""WITH a1 AS ({_A1_SQL}),
+a AS (SELECT metric, mean AS ma, sem AS sa FROM a1 WHERE model = 'A'),
+b AS (SELECT metric, mean AS mb, sem AS sb FROM a1 WHERE model = 'R'),
+j AS (SELECT * FROM a JOIN b USING (metric))
+SELECT metric, ma AS "A", mb AS "R", round((ma - mb) / nullif(mb, 0) * 100, 6) AS diff_pct, round({_Z}, 6) AS z_score,
+       round(2.0 * (1.0 - 0.5 * (1.0 + {_erf_sql(f"(abs({_Z}) / CAST('1.4142135623730951' AS DOUBLE))")})), 6) AS p_value
+FROM j""",
+)
+def q_compare(spark, sf):
+    a1 = _a1(spark, sf)
+    return S.compare_results(a1.where(F.col("model") == "A"), a1.where(F.col("model") == "R"), "A", "R")
+
+
+_BLOCK_SQL = ("SELECT l_linestatus AS data, l_linenumber AS rep, l_returnflag AS model, avg(l_quantity) AS value "
+              "FROM lineitem GROUP BY ALL")
+
+
+def _block_values(spark, sf):
+    return _runs_wide(spark, sf).groupBy("data", "rep", "model").agg(F.avg("l_quantity").alias("value"))
+
+
+@register(
+    "F2_friedman_statistic",
+    f"""WITH v AS ({_BLOCK_SQL}),
+r AS (SELECT *, rank() OVER (PARTITION BY data, rep ORDER BY value) + (count(*) OVER (PARTITION BY data, rep, value) - 1) / 2.0 AS ar FROM v),
+s AS (SELECT model, sum(ar) AS rr FROM r GROUP BY model),
+t AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT count(*) AS c FROM v GROUP BY data, rep, value)),
+k AS (SELECT count(DISTINCT model) AS k, count(DISTINCT (data, rep)) AS b FROM v)
+SELECT round((12.0 / (b * k * (k + 1)) * (SELECT sum(rr * rr) FROM s) - 3.0 * b * (k + 1)) / (1.0 - tt / (b * k * (k * k - 1))), 6)
+       AS statistic, CAST(k - 1 AS INTEGER) AS dof, b AS n_blocks FROM k, t""",
+)
+def q_friedman(spark, sf):
+    return S.friedman_statistic(_block_values(spark, sf), ["data", "rep"], "model", "value")
+
+
+_WIDE_SQL = ("SELECT data, rep, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN value END) AS \"{m}\"" for m in MODELS)
+             + f" FROM ({_BLOCK_SQL}) GROUP BY ALL")
+
+
+@register(
+    "F3_wilcoxon_pairs",
+    f"""WITH w AS ({_WIDE_SQL}),
+d AS ({' UNION ALL '.join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, \"{a}\" - \"{b}\" AS d FROM w" for a, b in combinations(MODELS, 2))}),
+r AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d))
+             + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)
+SELECT model_a, model_b, round(sum(CASE WHEN d > 0 THEN r ELSE 0.0 END), 6) AS w_plus,
+       round(sum(CASE WHEN d < 0 THEN r ELSE 0.0 END), 6) AS w_minus, count(*) AS n FROM r GROUP BY ALL""",
+)
+def q_wilcoxon(spark, sf):
+    wide = _runs_wide(spark, sf).groupBy("data", "rep").pivot("model", MODELS).agg(F.avg("l_quantity"))
+    return S.wilcoxon_pairs(wide, MODELS)
+
+
+@register(
+    "J7_intersect_metrics",
+    f"""WITH a1 AS ({_A1_SQL})
+SELECT a.metric, a.mean AS mean_a, a.sem AS sem_a, b.mean AS mean_b, b.sem AS sem_b
+FROM (SELECT * FROM a1 WHERE model = 'A') a JOIN (SELECT * FROM a1 WHERE model = 'N' AND metric <> 'l_tax') b USING (metric)""",
+)
+def q_intersect(spark, sf):
+    a1 = _a1(spark, sf)
+    a = a1.where(F.col("model") == "A").drop("model")
+    b = a1.where((F.col("model") == "N") & (F.col("metric") != "l_tax")).drop("model")
+    return J.intersect_metrics(a, b)
+
+
+GRID_MODELS, GRID_DATA, GRID_REPS = ["A", "N", "R", "X"], ["F", "O"], list(range(1, 9))
+
+
+@register(
+    "J8_missing_runs",
+    f"""WITH g AS (SELECT m.model, d.data, CAST(r.rep AS INTEGER) AS rep FROM
+  (SELECT unnest({GRID_MODELS}) AS model) m, (SELECT unnest({GRID_DATA}) AS data) d,
+  (SELECT unnest({GRID_REPS}) AS rep) r)
+SELECT * FROM g WHERE (model, data, rep) NOT IN
+  (SELECT (l_returnflag, l_linestatus, l_linenumber) FROM lineitem)""",
+)
+def q_missing_runs(spark, sf):
+    from itertools import product
+
+    grid = spark.createDataFrame(list(product(GRID_MODELS, GRID_DATA, GRID_REPS)), "model string, data string, rep int")
+    log_df = _runs_wide(spark, sf).select("model", "data", "rep")
+    return J.missing_runs(log_df, grid, ["model", "data", "rep"])
+
+
+NUM_EXP = 25_000
+
+
+@register(
+    "J9_missing_counts",
+    f"""WITH m AS (SELECT unnest({GRID_MODELS}) AS model),
+c AS (SELECT l_returnflag AS model, count(*) AS done FROM lineitem GROUP BY ALL)
+SELECT model, CAST(greatest(0, {NUM_EXP} - coalesce(done, 0)) AS BIGINT) AS missing FROM m LEFT JOIN c USING (model)""",
+)
+def q_missing_counts(spark, sf):
+    models = spark.createDataFrame([(m,) for m in GRID_MODELS], "model string")
+    return J.missing_counts(_runs_wide(spark, sf), models, NUM_EXP)
+
+
+@register(
+    "P4_filter_log",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax "
+    "FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IN ('A', 'R')",
+)
+def q_filter_log(spark, sf):
+    return A.filter_log(_lineitem(spark, sf), {"l_linestatus": "F"}, {"l_returnflag": ["A", "R"]},
+                        drop=["l_linestatus", "l_returnflag", "l_shipdate"])
+
+
+@register(
+    "P6_derive_ratio",
+    f"SELECT corr_intra, corr_inter, round(corr_inter / nullif(corr_intra, 0), 6) AS ratio FROM "
+    f"({SQL['C8_intra_inter_correlation']})",
+)
+def q_ratio_col(spark, sf):
+    c8 = C.intra_inter_correlation(_lineitem(spark, sf), _S0, _S1)
+    return A.derive_ratio(c8.select("corr_intra", "corr_inter"), "corr_inter", "corr_intra")
+
+
+@register("P7_binarize", "SELECT o_orderkey, CAST(o_totalprice <= 150000 AS INTEGER) AS label FROM orders")
+def q_binarize(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return A.binarize(o, "o_totalprice", 150000.0, out="label").select("o_orderkey", "label")
+
+
+@register(
+    "S9_read_result_sets",
+    f"SELECT metric, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN mean END) AS \"{m}\"" for m in MODELS)
+    + f" FROM ({_A1_SQL}) GROUP BY metric",
+)
+def q_result_sets(spark, sf):
+    a1 = _a1(spark, sf)
+    return IO.read_result_sets({m: a1.where(F.col("model") == m) for m in MODELS})
+
+
+@register(
+    "W6_stack_rows",
+    f"WITH a1 AS ({_A1_SQL}) SELECT * FROM a1 WHERE model = 'A' UNION ALL SELECT * FROM a1 WHERE model = 'N'",
+)
+def q_stack(spark, sf):
+    a1 = _a1(spark, sf)
+    return A.stack_rows(a1.where(F.col("model") == "A"), a1.where(F.col("model") == "N"))
+
+
+@register(
+    "W2_moving_average",
+    "SELECT o_orderkey AS __row_id, o_orderstatus, o_totalprice, o_custkey, round(avg(CAST(o_custkey AS DOUBLE)) OVER "
+    "(PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) "
+    "AS moving_avg FROM orders",
+)
+def q_moving_avg(spark, sf):
+    o = orders_with_id(spark, sf).select(ROW_ID, "o_orderstatus", "o_totalprice", "o_custkey")
+    return S.moving_average(o, "o_totalprice", "o_custkey", "o_orderstatus", ROW_ID, window=10)
+
+
+_CSV_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
+@register(
+    "S1_scan_csv",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders "
+    "WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL "
+    "AND o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL",
+)
+def q_scan_csv(spark, sf):
+    path = IO.scratch_path(spark, "orders-csv")
+    IO.sink_csv(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                                   "o_orderpriority"), path)
+    return IO.scan_csv(spark, path, schema=_CSV_SCHEMA)
+
+
+@register("S3_sink_csv", _J2_SQL)
+def q_sink_csv(spark, sf):
+    path = IO.scratch_path(spark, "j2-csv")
+    j2 = J.random_join(orders_parts(spark, sf), SEED)
+    IO.sink_csv(j2, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in j2.schema.fields)
+    return IO.scan_csv(spark, path, schema=schema)
+
+
+@register(
+    "S4_append_result_log",
+    f"WITH a1 AS ({_A1_SQL}) SELECT * FROM a1 WHERE model IN ('A', 'N')",
+)
+def q_append_log(spark, sf):
+    path = IO.scratch_path(spark, "result-log")
+    a1 = _a1(spark, sf)
+    for m in ("A", "N"):
+        IO.append_result_log(a1.where(F.col("model") == m), path)
+    return spark.read.parquet(path)
