@@ -882,3 +882,117 @@ def q_append_log(spark, sf):
     for m in ("A", "N"):
         IO.append_result_log(a1.where(F.col("model") == m), path)
     return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# generators, manager and harness
+# ---------------------------------------------------------------------------
+
+from quiltspark.operators.generators.base import Identity, generate_synthetic_data  # noqa: E402
+from quiltspark.operators.generators.bayes_net import BayesNet  # noqa: E402
+from quiltspark.plans import harness as H  # noqa: E402
+from quiltspark.plans.manager import DisjointSynthesizer, RandomJoining  # noqa: E402
+
+BN_COLS = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"]
+BN_CATEGORICAL = ["o_orderstatus", "o_orderpriority"]
+
+
+@register("G3_identity_generator", SQL["J1_concatenate"])
+def q_identity(spark, sf):
+    parts = orders_parts(spark, sf)
+    return J.concatenate({k: Identity().generate(p) for k, p in parts.items()})
+
+
+def _disc_sql():
+    cols = []
+    for c in BN_COLS:
+        if c in BN_CATEGORICAL:
+            cols.append(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}")
+        else:
+            lo, hi = f"(SELECT min(CAST({c} AS DOUBLE)) FROM orders)", f"(SELECT max(CAST({c} AS DOUBLE)) FROM orders)"
+            cols.append(f"CAST(least(floor((CAST({c} AS DOUBLE) - {lo}) / (({hi} - {lo}) / 20.0)), 19) AS INTEGER) AS {c}")
+    return "SELECT " + ", ".join(cols) + " FROM orders"
+
+
+_BN_CANDS = [(x, (p,)) for x in BN_COLS for p in BN_COLS if p != x]
+
+
+@register(
+    "G4_mutual_information",
+    f"""WITH disc AS ({_disc_sql()}),
+j AS ({' UNION ALL '.join(f"SELECT '{x}' AS attribute, '{ps[0]}' AS parent, {x} AS xv, CAST({ps[0]} AS VARCHAR) AS pk, count(*) AS n FROM disc GROUP BY ALL" for x, ps in _BN_CANDS)}),
+px AS (SELECT attribute, parent, xv, sum(n) AS nx FROM j GROUP BY ALL),
+pp AS (SELECT attribute, parent, pk, sum(n) AS np FROM j GROUP BY ALL),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM orders)
+SELECT attribute, parent, round(sum((n / m) * ln((n * m) / (nx * np))), 6) AS mi
+FROM j JOIN px USING (attribute, parent, xv) JOIN pp USING (attribute, parent, pk), m GROUP BY attribute, parent""",
+)
+def q_mutual_information(spark, sf):
+    o = orders_with_id(spark, sf).select(ROW_ID, *BN_COLS)
+    bn = BayesNet()
+    bn._m = o.count()
+    disc = bn._discretise(o)
+    names = spark.createDataFrame([(i, x, ps[0]) for i, (x, ps) in enumerate(_BN_CANDS)], "cid int, attribute string, parent string")
+    mi = bn.mutual_information(disc, _BN_CANDS)
+    return mi.join(names, "cid").select("attribute", "parent", F.round("mi", 6).alias("mi"))
+
+
+def _encoded_orders(spark, sf):
+    from quiltspark.operators.encode import OrdinalEncoder
+
+    o = orders_with_id(spark, sf).select(ROW_ID, *BN_COLS)
+    return OrdinalEncoder(BN_CATEGORICAL).fit(o).transform(o)
+
+
+@register("G4_bayes_net_sample")
+def q_bn_sample(spark, sf):
+    """Bayes-net synthesis of encoded orders (rows-only: a fitted model's sample)."""
+    return generate_synthetic_data(_encoded_orders(spark, sf), "bayes_net", seed=SEED)
+
+
+@register("G5_bayes_net_dp_sample")
+def q_bn_dp_sample(spark, sf):
+    return generate_synthetic_data(_encoded_orders(spark, sf), "bayes_net_dp", seed=SEED)
+
+
+@register("G6_cart_sample")
+def q_cart_sample(spark, sf):
+    return generate_synthetic_data(_encoded_orders(spark, sf), "cart", seed=SEED)
+
+
+@register("H2_fit_generate")
+def q_fit_generate(spark, sf):
+    """End to end: split orders, Bayes net + CART per split (G7 fan-out), random re-join, decode."""
+    o = orders_with_id(spark, sf).select(ROW_ID, *BN_COLS)
+    ds = DisjointSynthesizer(o, [("bayes_net", ["o_orderstatus", "o_totalprice"]), ("cart", ["o_custkey", "o_orderpriority"])],
+                             joining_strategy=RandomJoining(SEED), seed=SEED)
+    return ds.fit_generate()
+
+
+@register(
+    "H3_conduct_joining",
+    f"""WITH a AS (SELECT o_orderstatus, o_totalprice, {rank_sql(SEED, 'split0', 'o_orderkey')} AS __row_id FROM orders),
+     b AS (SELECT o_custkey, o_orderpriority, {rank_sql(SEED, 'split1', 'o_orderkey')} AS __row_id FROM orders)
+SELECT * FROM a JOIN b USING (__row_id)""",
+)
+def q_conduct_joining(spark, sf):
+    """Re-join stored parts with another strategy (identity-generated parts, random re-join)."""
+    ds = DisjointSynthesizer(orders_with_id(spark, sf), ["debug", "debug"], seed=SEED)
+    ds.synthetic_parts = orders_parts(spark, sf)
+    ds.strategy = RandomJoining(SEED)
+    return ds.conduct_joining()
+
+
+_SWEEP_TS = [round(0.05 * i, 2) for i in range(21)]
+
+
+@register(
+    "H7_threshold_sweep",
+    f"WITH {_ROUND0_SQL} " + " UNION ALL ".join(
+        f"SELECT CAST('{t}' AS DOUBLE) AS threshold, CAST(count(*) FILTER (WHERE score >= CAST('{t}' AS DOUBLE)) AS BIGINT) "
+        f"AS accepted FROM j0" for t in _SWEEP_TS
+    ),
+)
+def q_sweep(spark, sf):
+    cand = J.random_join(orders_parts(spark, sf), SEED, tag=":r0")
+    return H.threshold_sweep(SCORER.score(cand), _SWEEP_TS)
