@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +74,16 @@ def kth_value(
     Matches ``ORDER BY col [DESC] LIMIT 1 OFFSET k``.  Returns None when k is out
     of range.
     """
-    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
+    # one column, reused by every pass; recomputation after a lost block is
+    # deterministic, so a plain persist is safe here
+    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _kth(x, k, descending, max_collect, buckets)
+    finally:
+        x.unpersist()
+
+
+def _kth(x: DataFrame, k: int, descending: bool, max_collect: int, buckets: int):
     row = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     n, lo, hi = row["n"], row["lo"], row["hi"]
     if k < 0 or k >= n:

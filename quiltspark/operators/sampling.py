@@ -91,12 +91,13 @@ def smallest_by_key(df: DataFrame, m: int, seed: int, tag: str, id_col: str) ->
     keyed = df.withColumn("__h", key_to_long(seeded_key(seed, tag, id_col)))
     thr = kth_value(keyed, "__h", m - 1)
     # 60-bit keys: a tie at the boundary is astronomically unlikely, but be exact anyway
-    below = keyed.where(F.col("__h") < F.lit(thr))
-    at = keyed.where(F.col("__h") == F.lit(thr))
-    n_below = below.count()
-    if n_below + at.count() == m:
+    c = keyed.agg(F.sum((F.col("__h") < F.lit(thr)).cast("long")).alias("below"),
+                  F.sum((F.col("__h") == F.lit(thr)).cast("long")).alias("at")).first()
+    n_below, n_at = int(c["below"] or 0), int(c["at"] or 0)
+    if n_below + n_at == m:
         return keyed.where(F.col("__h") <= F.lit(thr)).drop("__h")
-    at_kept = at.orderBy(id_col).limit(m - n_below)  # only tied rows, bounded by the tie size
+    below = keyed.where(F.col("__h") < F.lit(thr))
+    at_kept = keyed.where(F.col("__h") == F.lit(thr)).orderBy(id_col).limit(m - n_below)  # tied rows only
     return below.unionByName(at_kept).drop("__h")
 
 

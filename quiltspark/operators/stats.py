@@ -13,6 +13,7 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,28 +176,41 @@ def auc_rank_sum(df: DataFrame, score: str = "score", label: str = "label", posi
 
 def score_validator(df: DataFrame, prob: str = "score", label: str = "label", threshold: float = 0.5,
                     digits: int = 3) -> DataFrame:
-    """Brier, log loss, AUC, precision, recall, F1 in one row, rounded to 3."""
+    """Brier, log loss, AUC, precision, recall, F1 in one row, rounded to 3.
+
+    The scored rows are persisted for the two passes (moments + confusion, and
+    the AUC rank sum); the one-row result is returned as a DataFrame.
+    """
     eps = 1e-15
-    p = F.least(F.greatest(F.col(prob).cast("double"), F.lit(eps)), F.lit(1 - eps))
-    y = F.col(label).cast("double")
-    pred = (F.col(prob) >= F.lit(threshold)).cast("double")
-    base = df.agg(
-        F.avg((F.col(prob) - y) * (F.col(prob) - y)).alias("brier"),
-        F.avg(-(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))).alias("log_loss"),
-        F.sum(pred * y).alias("tp"),
-        F.sum(pred * (F.lit(1.0) - y)).alias("fp"),
-        F.sum((F.lit(1.0) - pred) * y).alias("fn"),
-    )
-    auc = auc_rank_sum(df, prob, label, 1)
-    a = auc.first()["auc"]
-    prec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
-    rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    return base.select(
-        F.round("brier", digits).alias("brier"),
-        F.round("log_loss", digits).alias("log_loss"),
-        F.round(F.lit(a if a is not None else float("nan")).cast("double"), digits).alias("auc"),
-        F.round(F.coalesce(prec, F.lit(0.0)), digits).alias("precision"),
-        F.round(F.coalesce(rec, F.lit(0.0)), digits).alias("recall"),
-        F.round(F.coalesce(f1, F.lit(0.0)), digits).alias("f1"),
-    )
+    data = df.select(F.col(prob).cast("double").alias("__p"), F.col(label).cast("double").alias("__y")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        p = F.least(F.greatest(F.col("__p"), F.lit(eps)), F.lit(1 - eps))
+        y = F.col("__y")
+        pred = (F.col("__p") >= F.lit(threshold)).cast("double")
+        r = data.agg(
+            F.avg((F.col("__p") - y) * (F.col("__p") - y)).alias("brier"),
+            F.avg(-(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))).alias("log_loss"),
+            F.sum(pred * y).alias("tp"),
+            F.sum(pred * (F.lit(1.0) - y)).alias("fp"),
+            F.sum((F.lit(1.0) - pred) * y).alias("fn"),
+        ).first()
+        auc = auc_rank_sum(data, "__p", "__y", 1.0).first()["auc"]
+    finally:
+        data.unpersist()
+    tp, fp, fn = r["tp"] or 0.0, r["fp"] or 0.0, r["fn"] or 0.0
+    prec = tp / (tp + fp) if tp + fp else 0.0
+    rec = tp / (tp + fn) if tp + fn else 0.0
+    f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+    vals = [r["brier"], r["log_loss"], auc if auc is not None else float("nan"), prec, rec, f1]
+    names = ["brier", "log_loss", "auc", "precision", "recall", "f1"]
+    row = spark_round_row(vals, digits)
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
+
+
+def spark_round_row(vals, digits: int):
+    """Half-up rounding as Spark's ``round`` does (Python's round is half-even)."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    q = Decimal(1).scaleb(-digits)
+    return [float(Decimal(repr(float(v))).quantize(q, rounding=ROUND_HALF_UP)) if v == v else v for v in vals]
