@@ -111,7 +111,11 @@ def association_matrix(df: DataFrame, categorical: Sequence[str], numeric: Seque
 
 
 def corr_diff(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> float:
-    """Frobenius norm of the difference of the two association matrices."""
+    """Frobenius norm of the difference of the two association matrices.
+
+    Each entry is one grouped aggregate over the table; the d x d matrices
+    are the only thing on the driver.
+    """
     _, a = association_matrix(real, categorical, numeric)
     _, b = association_matrix(synthetic, categorical, numeric)
     return float(np.linalg.norm(a - b, ord="fro"))

@@ -21,8 +21,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiltspark.functions.mathx import sigmoid
 from quiltspark.operators.joins import JoinBehaviour, feature_columns
@@ -273,3 +274,276 @@ def mlp_backend(n_features: int, seed: int = 0):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     return MultilayerPerceptronClassifier(layers=[n_features, 100, 100, 2], seed=seed, maxIter=200)
+
+
+# ---------------------------------------------------------------------------
+# V6 / V7: one-class density validator (re-aimed one-class model)
+# ---------------------------------------------------------------------------
+
+
+class DensityValidator(Validator):
+    """Trained on true joins only: a Gaussian mixture's log density, shifted so
+    that the ``nu`` quantile of the training rows sits at 0 (``decision``);
+    the score is ``0.5 + decision`` as in the reference.
+
+    The log density is a closed-form Column expression of the fitted
+    parameters (quadratic forms + log-sum-exp), so scoring stays JVM-side.
+    """
+
+    standard_behaviour = ONE_CLASS_STANDARD
+    auto_descending = True
+
+    def __init__(self, k: int = 2, nu: float = 0.5, seed: int = 0, max_iter: int = 100):
+        self.k, self.nu, self.seed, self.max_iter = k, nu, seed, max_iter
+
+    def _fit_gmm(self, pos: DataFrame):
+        from pyspark.ml.clustering import GaussianMixture
+
+        x = assemble(self.features).transform(pos)
+        model = GaussianMixture(k=self.k, seed=self.seed, maxIter=self.max_iter, featuresCol="features").fit(x)
+        comps = []
+        for w, g in zip(model.weights, model.gaussians):
+            mu = np.array(g.mean.toArray())
+            cov = np.array(g.cov.toArray()) + 1e-9 * np.eye(len(mu))
+            prec = np.linalg.inv(cov)
+            _, logdet = np.linalg.slogdet(cov)
+            comps.append((math.log(max(w, 1e-300)), mu, prec, logdet))
+        return comps
+
+    def _logdensity(self, comps) -> Column:
+        d = len(self.features)
+        terms = []
+        for logw, mu, prec, logdet in comps:
+            diffs = [F.col(f"`{c}`").cast("double") - F.lit(float(m)) for c, m in zip(self.features, mu)]
+            quad = F.lit(0.0)
+            for a in range(d):
+                for b in range(d):
+                    if prec[a, b] != 0.0:
+                        quad = quad + F.lit(float(prec[a, b])) * diffs[a] * diffs[b]
+            terms.append(F.lit(logw - 0.5 * logdet - 0.5 * d * math.log(2 * math.pi)) - F.lit(0.5) * quad)
+        top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+        return top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0)))
+
+    def _offset(self, comps, pos: DataFrame) -> float:
+        n = pos.count()
+        scored = pos.select(self._logdensity(comps).alias("__ld"))
+        return kth_value(scored, "__ld", min(int(self.nu * n), n - 1))
+
+    def fit(self, parts: Mapping[str, DataFrame], number_of_k_fold: int = 5, num_batches_of_bad_joins: int = 1,
+            seed: int | None = None) -> "DensityValidator":
+        seed = self.seed if seed is None else seed
+        self.features = feature_columns(parts)
+        train = setup_training_data(parts, num_batches_of_bad_joins, seed=seed, negative_class=-1)
+        pos = train.where(F.col("label") == 1).persist()
+        neg = train.where(F.col("label") == -1)
+        self.fold_f1_ = []
+        if number_of_k_fold and number_of_k_fold > 1:
+            from quiltspark.operators.sampling import kfold_assign
+
+            folded = kfold_assign(pos, number_of_k_fold, seed, id_col="j").persist()
+            for f in range(number_of_k_fold):
+                tr, te = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+                comps = self._fit_gmm(tr)
+                off = self._offset(comps, tr)
+                test = te.select(*self.features, F.lit(1).alias("label")).unionByName(
+                    neg.join(te.select("j"), "j", "left_semi").select(*self.features, F.lit(-1).alias("label")))
+                pred = test.withColumn("pred", F.when(self._logdensity(comps) >= F.lit(off), 1).otherwise(-1))
+                c = confusion(pred, "label", "pred", 1)
+                self.fold_f1_.append(f1_from_counts(c["tp"], c["fp"], c["fn"]))
+            folded.unpersist()
+        self.components = self._fit_gmm(pos)
+        self.offset_ = self._offset(self.components, pos)
+        pos.unpersist()
+        self.pre_fit = True
+        return self
+
+    def score(self, df: DataFrame) -> DataFrame:
+        self._check(df)
+        return df.withColumn("score", F.lit(0.5) + self._logdensity(self.components) - F.lit(self.offset_))
+
+
+# ---------------------------------------------------------------------------
+# V8 / V9: isolation forest as a Spark job
+# ---------------------------------------------------------------------------
+
+
+def _avg_path(n):
+    """Average unsuccessful-search path length c(n) of a binary search tree."""
+    n = np.asarray(n, dtype=float)
+    out = np.zeros_like(n)
+    big = n > 2
+    out[big] = 2.0 * (np.log(n[big] - 1.0) + 0.5772156649015329) - 2.0 * (n[big] - 1.0) / n[big]
+    out[n == 2] = 1.0
+    return out
+
+
+def _build_tree(pdf, features, height_limit, seed):
+    """One isolation tree from its subsample (pandas in, node table out)."""
+    import pandas as pd
+
+    t = int(pdf["tree"].iloc[0])
+    rng = np.random.default_rng([seed, t])
+    x = pdf[features].to_numpy(dtype=float)
+    nodes = []  # (node, feature, split, left, right, size)
+
+    def grow(idx, depth):
+        me = len(nodes)
+        nodes.append([me, -1, 0.0, -1, -1, len(idx)])
+        if depth >= height_limit or len(idx) <= 1:
+            return me
+        sub = x[idx]
+        lo, hi = sub.min(axis=0), sub.max(axis=0)
+        cand = np.flatnonzero(hi > lo)
+        if cand.size == 0:
+            return me
+        f = int(rng.choice(cand))
+        s = float(rng.uniform(lo[f], hi[f]))
+        left = idx[sub[:, f] < s]
+        right = idx[sub[:, f] >= s]
+        nodes[me][1], nodes[me][2] = f, s
+        nodes[me][3] = grow(left, depth + 1)
+        nodes[me][4] = grow(right, depth + 1)
+        return me
+
+    grow(np.arange(len(x)), 0)
+    return pd.DataFrame([[t, *n] for n in nodes], columns=["tree", "node", "feature", "split", "left", "right", "size"])
+
+
+class IsolationForestValidator(Validator):
+    """Isolation forest on true joins plus 1/6 of the bad joins (contamination 0.25).
+
+    Trees: every tree's 256-row subsample is the rows with the smallest seeded
+    hash for that tree (pre-filtered to ~4x256 candidates per tree, so no
+    group ever holds more than a bounded sample); ``groupBy(tree).applyInPandas``
+    grows the trees; the node tables (<= trees x 511 rows) are broadcast and
+    path lengths are computed batch-wise with ``mapInPandas``.
+    Score = ``1 - (anomaly - offset)``, higher = more inlier; the auto
+    threshold sorts ascending, as the reference does (defect D6).
+    """
+
+    standard_behaviour = OUTLIER_STANDARD
+    auto_descending = False
+
+    def __init__(self, n_trees: int = 100, sample_size: int = 256, contamination: float = 0.25, seed: int = 0):
+        self.n_trees, self.sample_size, self.contamination, self.seed = n_trees, sample_size, contamination, seed
+
+    def _subsamples(self, data: DataFrame, n: int) -> DataFrame:
+        m = min(self.sample_size, n)
+        factor = 4.0
+        while True:
+            thr = min(1.0, factor * m / max(n, 1))
+            u = lambda t: (F.xxhash64(F.lit(self.seed), F.lit(t), F.col("j")).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5))
+            recs = F.filter(F.array(*[F.struct(F.lit(t).alias("tree"), u(t).alias("u")) for t in range(self.n_trees)]),
+                            lambda s: s["u"] < F.lit(thr))
+            cand = data.select("*", F.explode(recs).alias("__s")).select("*", "__s.tree", "__s.u").drop("__s")
+            w = Window.partitionBy("tree").orderBy("u", "j")
+            picked = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m).drop("__r").persist()
+            short = picked.groupBy("tree").count().where(F.col("count") < m).count()
+            if short == 0 and picked.select("tree").distinct().count() == self.n_trees or thr >= 1.0:
+                return picked
+            picked.unpersist()
+            factor *= 4
+
+    def _grow(self, data: DataFrame, n: int):
+        feats, limit, seed = list(self.features), int(math.ceil(math.log2(max(min(self.sample_size, n), 2)))), self.seed
+        sub = self._subsamples(data.select("j", *feats), n)
+        schema = "tree int, node int, feature int, split double, left int, right int, size long"
+        nodes = sub.groupBy("tree").applyInPandas(lambda pdf: _build_tree(pdf, feats, limit, seed), schema).collect()
+        sub.unpersist()
+        trees: dict[int, list] = {}
+        for r in nodes:  # <= n_trees * (2*256 - 1) rows
+            trees.setdefault(r["tree"], []).append(r)
+        forest = []
+        for t in sorted(trees):
+            rows = sorted(trees[t], key=lambda r: r["node"])
+            forest.append(tuple(np.array([getattr(r, k) for r in rows]) for k in ("feature", "split", "left", "right", "size")))
+        return forest, min(self.sample_size, n)
+
+    def _anomaly(self, df: DataFrame, out: str = "__anom") -> DataFrame:
+        feats = list(self.features)
+        bc = df.sparkSession.sparkContext.broadcast((self.forest, self.psi))
+
+        def score_batches(it):
+            forest, psi = bc.value
+            c_psi = float(_avg_path([psi])[0])
+            for pdf in it:
+                x = pdf[feats].to_numpy(dtype=float)
+                total = np.zeros(len(x))
+                for feature, split, left, right, size in forest:
+                    node = np.zeros(len(x), dtype=int)
+                    depth = np.zeros(len(x))
+                    active = feature[node] >= 0
+                    while active.any():
+                        f = feature[node[active]]
+                        go_left = x[active, f] < split[node[active]]
+                        node[active] = np.where(go_left, left[node[active]], right[node[active]])
+                        depth[active] += 1
+                        active = feature[node] >= 0
+                    total += depth + _avg_path(size[node])
+                pdf[out] = np.power(2.0, -(total / len(forest)) / c_psi)
+                yield pdf
+
+        schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
+        return df.mapInPandas(score_batches, schema)
+
+    def fit(self, parts: Mapping[str, DataFrame], number_of_k_fold: int = 5, num_batches_of_bad_joins: int = 2,
+            seed: int | None = None) -> "IsolationForestValidator":
+        from quiltspark.operators.sampling import holdout_split, subsample_negatives
+
+        seed = self.seed if seed is None else seed
+        self.features = feature_columns(parts)
+        train = setup_training_data(parts, num_batches_of_bad_joins, seed=seed, negative_class=-1)
+        data = subsample_negatives(train, seed, negative_class=-1).persist()
+        self.fold_f1_ = []
+        for i in range(number_of_k_fold or 0):
+            tr, te = holdout_split(data, number_of_k_fold, seed + i)
+            n_tr = tr.count()
+            self.forest, self.psi = self._grow(tr, n_tr)
+            cut = self._cut(self._anomaly(tr.select(*self.features)))
+            pred = self._anomaly(te).withColumn("pred", F.when(F.col("__anom") <= F.lit(cut), 1).otherwise(-1))
+            f1s = []
+            for cls in (1, -1):  # macro F1 with like labels (reference defect D9)
+                c = confusion(pred, "label", "pred", cls)
+                f1s.append(f1_from_counts(c["tp"], c["fp"], c["fn"]))
+            self.fold_f1_.append(sum(f1s) / 2)
+        n = data.count()
+        self.forest, self.psi = self._grow(data, n)
+        self.offset_ = self._cut(self._anomaly(data.select(*self.features)))
+        data.unpersist()
+        self.pre_fit = True
+        return self
+
+    def _cut(self, anomalies: DataFrame) -> float:
+        """Anomaly score above which the ``contamination`` share of training rows lies."""
+        n = anomalies.count()
+        return kth_value(anomalies, "__anom", min(int((1 - self.contamination) * n), n - 1))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        self._check(df)
+        return self._anomaly(df).withColumn("score", F.lit(1.0) - (F.col("__anom") - F.lit(self.offset_))).drop("__anom")
+
+
+# ---------------------------------------------------------------------------
+# Sample-space projection
+# ---------------------------------------------------------------------------
+
+
+def sample_space_projection(validator: Validator, train: DataFrame, holdout: DataFrame, label: str = "label") -> DataFrame:
+    """PCA(2) fitted on the centred training features, applied to train and
+    holdout, with the label and the validator's score."""
+    from pyspark.ml.feature import PCA, StandardScaler
+
+    feats = list(validator.features)
+    va = assemble(feats, "__x")
+    tr = va.transform(train)
+    scaler = StandardScaler(inputCol="__x", outputCol="__c", withMean=True, withStd=False).fit(tr)
+    pca = PCA(k=2, inputCol="__c", outputCol="__pc").fit(scaler.transform(tr))
+    out = None
+    for name, df in (("train", train), ("holdout", holdout)):
+        scored = validator.score(df)
+        proj = pca.transform(scaler.transform(va.transform(scored)))
+        arr = vector_to_array("__pc")
+        piece = proj.select(F.lit(name).alias("set"), arr[0].alias("pc1"), arr[1].alias("pc2"),
+                            F.col(label).alias("label"), F.col("score").alias("prob"))
+        out = piece if out is None else out.unionByName(piece)
+    return out

@@ -996,3 +996,101 @@ _SWEEP_TS = [round(0.05 * i, 2) for i in range(21)]
 def q_sweep(spark, sf):
     cand = J.random_join(orders_parts(spark, sf), SEED, tag=":r0")
     return H.threshold_sweep(SCORER.score(cand), _SWEEP_TS)
+
+
+# ---------------------------------------------------------------------------
+# learned validators on orders parts and model-based metrics
+# ---------------------------------------------------------------------------
+
+from quiltspark.operators import metrics as U  # noqa: E402
+from quiltspark.operators import validators as V  # noqa: E402
+
+_NUM_SPLITS = {"split0": ["o_totalprice"], "split1": ["o_custkey"]}
+
+
+def _validated_round(spark, sf, validator):
+    parts = orders_parts(spark, sf, _NUM_SPLITS)
+    cand = J.random_join(parts, SEED, tag=":r0")
+    acc, _ = validator.validate(cand, "auto", AUTO_P)
+    return acc.select(J.POS, "__id_split0", "__id_split1", "score")
+
+
+@register("V2_classifier_validator")
+def q_classifier_validator(spark, sf):
+    """Random forest (100 trees, depth 5) + isotonic choice, fitted on the training set, one auto round."""
+    v = V.ClassifierValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS))
+    return _validated_round(spark, sf, v)
+
+
+@register("V6_density_validator")
+def q_density_validator(spark, sf):
+    v = V.DensityValidator(seed=SEED, max_iter=30).fit(orders_parts(spark, sf, _NUM_SPLITS), number_of_k_fold=0)
+    return _validated_round(spark, sf, v)
+
+
+@register("V8_isolation_forest_validator")
+def q_iforest_validator(spark, sf):
+    v = V.IsolationForestValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS), number_of_k_fold=0)
+    return _validated_round(spark, sf, v)
+
+
+@register("V12_sample_space_projection")
+def q_projection(spark, sf):
+    parts = orders_parts(spark, sf, _NUM_SPLITS)
+    train = M.setup_training_data(parts, 1, seed=SEED)
+    holdout = M.setup_training_data(parts, 1, seed=SEED + 1)
+    return V.sample_space_projection(SCORER_NUM, train, holdout)
+
+
+SCORER_NUM = LinearScoreValidator({"o_totalprice": 1e-05, "o_custkey": -0.002}, bias=0.0, digits=9)
+
+
+def _assoc_sql(d: str) -> dict:
+    """SQL scalar subqueries of the mixed association entries over relation ``d``."""
+    def eta(cat, num):
+        return (f"(SELECT sqrt(greatest(0.0, sum(ng * (mg - mu) * (mg - mu)) / nullif((SELECT var_pop(CAST({num} AS DOUBLE)) "
+                f"* count(*) FROM {d}), 0))) FROM (SELECT count(*) AS ng, avg(CAST({num} AS DOUBLE)) AS mg FROM {d} GROUP BY {cat}), "
+                f"(SELECT avg(CAST({num} AS DOUBLE)) AS mu FROM {d}))")
+
+    cram = (f"(SELECT sqrt(greatest(0.0, (n * (s - 1.0)) / n / (least(ka, kb) - 1))) FROM "
+            f"(SELECT sum(o * o / (ra * cb)) AS s, sum(o) AS n FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS o FROM {d} GROUP BY ALL) c "
+            f"JOIN (SELECT o_orderstatus, count(*) AS ra FROM {d} GROUP BY ALL) USING (o_orderstatus) "
+            f"JOIN (SELECT o_orderpriority, count(*) AS cb FROM {d} GROUP BY ALL) USING (o_orderpriority)), "
+            f"(SELECT count(DISTINCT o_orderstatus) AS ka, count(DISTINCT o_orderpriority) AS kb FROM {d}))")
+    pear = (f"(SELECT coalesce(covar_pop(CAST(o_totalprice AS DOUBLE), CAST(o_custkey AS DOUBLE)) / nullif(stddev_pop(CAST(o_totalprice AS DOUBLE)) "
+            f"* stddev_pop(CAST(o_custkey AS DOUBLE)), 0), 0.0) FROM {d})")
+    return {"cc": cram, "e1": eta("o_orderstatus", "o_totalprice"), "e2": eta("o_orderstatus", "o_custkey"),
+            "e3": eta("o_orderpriority", "o_totalprice"), "e4": eta("o_orderpriority", "o_custkey"), "pp": pear}
+
+
+_RA, _SY = _assoc_sql("ra"), _assoc_sql("sy")
+
+
+@register(
+    "U2_corr_diff",
+    f"""WITH {_HALVES_SQL}, ra AS (SELECT * FROM halves WHERE data = 'Real'), sy AS (SELECT * FROM halves WHERE data = 'Synthetic')
+SELECT round(sqrt(2 * ({' + '.join(f'power({_RA[k]} - {_SY[k]}, 2)' for k in _RA)})), 6) AS corr_mat_diff""",
+)
+def q_corr_diff(spark, sf):
+    real, syn = _halves(spark, sf)
+    v = U.corr_diff(real, syn, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"])
+    return spark.createDataFrame([(round(v, 6),)], "corr_mat_diff double")
+
+
+@register("U3_pca_difference")
+def q_pca(spark, sf):
+    real, syn = _halves(spark, sf)
+    r = U.pca_difference(real, syn, ["o_totalprice", "o_custkey"])
+    return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "metric string, value double")
+
+
+@register("U6_U7_classifier_utility")
+def q_classifier_utility(spark, sf):
+    """Macro F1 and AUROC differences (synthetic-trained minus real-trained) on the holdout half."""
+    real, holdout = _halves(spark, sf)
+    lab = lambda df: df.withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
+    # synthetic stand-in: the real half with its column splits randomly re-paired
+    syn = RandomJoining(SEED).join({"a": real.select(ROW_ID, "o_orderstatus", "o_totalprice"),
+                                    "b": real.select(ROW_ID, "o_custkey")})
+    r = U.classifier_utility(lab(real), lab(syn), lab(holdout), ["o_totalprice", "o_custkey"], "label", seed=SEED)
+    return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "metric string, value double")
