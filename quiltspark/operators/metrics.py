@@ -173,3 +173,60 @@ def classifier_utility(real: DataFrame, synthetic: DataFrame, holdout: DataFrame
     f1_r, auc_r = fit_eval(real)
     f1_s, auc_s = fit_eval(synthetic)
     return {"avg_F1_diff_hout": f1_s - f1_r, "auroc": (auc_s or 0) - (auc_r or 0)}
+
+
+def membership_inference(real_train: DataFrame, synthetic: DataFrame, holdout: DataFrame, features: Sequence[str],
+                         rounds: int = 5, seed: int = 0) -> dict:
+    """U8: a forest learns synthetic (+) vs one half of the holdout (-); it is then asked
+    to tell training rows (members) from the other holdout half (non-members).
+
+    Halves and the member sample are exact seeded splits (S7); recall and
+    precision of "member" are averaged over ``rounds``.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from quiltspark.operators.sampling import smallest_by_key, train_test_split
+
+    feats = list(features)
+    rec, prec = [], []
+    n_hold = holdout.count()
+    for r in range(rounds):
+        h1, h2 = train_test_split(holdout, 0.5, seed=seed + r, n=n_hold)
+        n2 = h2.count()
+        members = smallest_by_key(real_train, n2, seed + r, "mia", "__row_id")
+        fit_df = synthetic.select(*feats, F.lit(1.0).alias("__y")).unionByName(h1.select(*feats, F.lit(0.0).alias("__y")))
+        pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
+                                RandomForestClassifier(labelCol="__y", numTrees=50, maxDepth=5, seed=seed + r)])
+        model = pipe.fit(fit_df)
+        test = members.select(*feats, F.lit(1.0).alias("__y")).unionByName(h2.select(*feats, F.lit(0.0).alias("__y")))
+        c = model.transform(test).agg(
+            F.sum(((F.col("prediction") == 1.0) & (F.col("__y") == 1.0)).cast("long")).alias("tp"),
+            F.sum(((F.col("prediction") == 1.0) & (F.col("__y") == 0.0)).cast("long")).alias("fp"),
+            F.sum(((F.col("prediction") == 0.0) & (F.col("__y") == 1.0)).cast("long")).alias("fn"),
+        ).first()
+        tp, fp, fn = c["tp"] or 0, c["fp"] or 0, c["fn"] or 0
+        rec.append(tp / (tp + fn) if tp + fn else 0.0)
+        prec.append(tp / (tp + fp) if tp + fp else 0.0)
+    return {"mia_recall": float(np.mean(rec)), "mia_precision": float(np.mean(prec))}
+
+
+def evaluate(real: DataFrame, synthetic: DataFrame, holdout: DataFrame, categorical: Sequence[str],
+             numeric: Sequence[str], label: str | None = None, seed: int = 0, mia_rounds: int = 0) -> DataFrame:
+    """The metric table ``(metric, value)`` of one synthetic table."""
+    spark = real.sparkSession
+    rows = []
+    h = hellinger(real, synthetic, categorical, numeric)
+    avg = [r["h_dist"] for r in h.collect() if r["column"] == "avg_h_dist"]  # one row per column: tiny
+    rows.append(("avg_h_dist", float(avg[0]) if avg else float("nan")))
+    rows.append(("corr_mat_diff", corr_diff(real, synthetic, categorical, numeric)))
+    if len(numeric) >= 2:
+        rows += list(pca_difference(real, synthetic, numeric).items())
+    if label is not None:
+        feats = [c for c in list(categorical) + list(numeric) if c != label]
+        rows += list(classifier_utility(real, synthetic, holdout, feats, label, seed).items())
+    if mia_rounds:
+        rows += list(membership_inference(real, synthetic, holdout, list(categorical) + list(numeric), mia_rounds,
+                                          seed).items())
+    return spark.createDataFrame([(m, float(v)) for m, v in rows], "metric string, value double")

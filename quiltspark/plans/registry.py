@@ -1094,3 +1094,24 @@ def q_classifier_utility(spark, sf):
                                     "b": real.select(ROW_ID, "o_custkey")})
     r = U.classifier_utility(lab(real), lab(syn), lab(holdout), ["o_totalprice", "o_custkey"], "label", seed=SEED)
     return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "metric string, value double")
+
+
+@register("U8_membership_inference")
+def q_mia(spark, sf):
+    """MIA recall / precision of a random re-join of the real half, against the holdout half."""
+    real, holdout = _halves(spark, sf)
+    syn = RandomJoining(SEED).join({"a": real.select(ROW_ID, "o_totalprice"), "b": real.select(ROW_ID, "o_custkey")})
+    r = U.membership_inference(real, syn, holdout, ["o_totalprice", "o_custkey"], rounds=2, seed=SEED)
+    return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "metric string, value double")
+
+
+@register("U9_evaluate")
+def q_evaluate(spark, sf):
+    """Metric table of one synthetic table (Hellinger, association, PCA, classifier utility)."""
+    real, holdout = _halves(spark, sf)
+    real = real.withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
+    holdout = holdout.withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
+    syn = RandomJoining(SEED).join({"a": real.select(ROW_ID, "o_orderstatus", "label", "o_totalprice"),
+                                    "b": real.select(ROW_ID, "o_custkey", "o_orderpriority")})
+    return U.evaluate(real, syn, holdout, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"],
+                      label=None, seed=SEED)
