@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiltspark.operators.positions import value_position
+from quiltspark.session import materialize
 
 BROADCAST_ROWS = 1_000_000
 
@@ -46,7 +47,7 @@ class OrdinalEncoder:
             ranked = value_position(distinct, ["__v"], out="__code").select(
                 "__v", F.col("__code").cast("double").alias("__code")
             )
-            self.dictionaries[c] = ranked.checkpoint()
+            self.dictionaries[c] = materialize(ranked, f"dict-{c}")
             self.sizes[c] = self.dictionaries[c].count()
         return self
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltspark.operators.sampling import head_n, top_up_samples
+from quiltspark.session import materialize
 
 ROW_ID = "__row_id"
 
@@ -106,7 +107,8 @@ def fan_out(parts: Mapping[str, DataFrame], models: Mapping[str, str | Generator
     """Fit and sample every split with its own model as concurrent Spark jobs.
 
     Each split's jobs run from a driver thread in their own scheduler pool;
-    results are checkpointed so the re-join reads materialised parts.
+    results are written to the checkpoint folder so the re-join reads
+    materialised parts.
     """
     names = list(parts)
 
@@ -116,7 +118,7 @@ def fan_out(parts: Mapping[str, DataFrame], models: Mapping[str, str | Generator
         sc = df0.sparkSession.sparkContext
         sc.setLocalProperty("spark.scheduler.pool", f"split-{name}")
         out = generate_synthetic_data(df0, models[name], n, seed + 1000 * i)
-        return name, out.checkpoint()
+        return name, materialize(out, f"part-{name}")
 
     with ThreadPoolExecutor(max_workers=max_workers or len(names)) as ex:
         return dict(ex.map(run, enumerate(names)))

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from quiltspark.functions.keys import seeded_key, uniform01
 from quiltspark.operators.generators.base import ROW_ID, Generator, row_index
+from quiltspark.session import materialize, spread
 
 
 def _q(c: str):
@@ -168,7 +169,7 @@ class BayesNet(Generator):
         )
 
     def fit(self, train: DataFrame) -> "BayesNet":
-        train = train.na.drop()
+        train = spread(train.na.drop(), ROW_ID)
         self._train_ids = train.select(ROW_ID)
         self._m = train.count()
         disc = self._discretise(train).persist()
@@ -176,7 +177,7 @@ class BayesNet(Generator):
         self.conditionals = {}
         self.marginals = {}
         for i, (x, ps) in enumerate(self.network):
-            self.conditionals[x] = self._conditional(disc, x, ps, salt=i).checkpoint()
+            self.conditionals[x] = materialize(self._conditional(disc, x, ps, salt=i), f"bn-cond-{i}")
             marg = self._conditional(disc, x, (), salt=100 + i).first()  # one row, <= bins values
             self.marginals[x] = (list(marg["vals"]), list(marg["cum"]))
         disc.unpersist()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quiltspark.functions.keys import key_to_long, seeded_key
 from quiltspark.operators.generators.base import ROW_ID, Generator, row_index
 from quiltspark.operators.positions import value_position
+from quiltspark.session import materialize, spread
 
 
 def _q(c: str):
@@ -36,12 +37,12 @@ class CartSequential(Generator):
     def _donors(self, leaves: DataFrame, c: str) -> tuple[DataFrame, dict[int, int]]:
         keyed = leaves.withColumn("__h", key_to_long(seeded_key(self.seed, f"donor:{c}", ROW_ID)))
         ranked = value_position(keyed, ["__h"], out="__idx", partition_col="__leaf")
-        donors = ranked.select("__leaf", "__idx", _q(c).alias("__val")).checkpoint()
+        donors = materialize(ranked.select("__leaf", "__idx", _q(c).alias("__val")), f"donors-{c}")
         counts = {int(r["__leaf"]): int(r["n"]) for r in donors.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
         return donors, counts
 
     def fit(self, train: DataFrame) -> "CartSequential":
-        train = train.na.drop()
+        train = spread(train.na.drop(), ROW_ID).persist()
         self._train_ids = train.select(ROW_ID)
         self._m = train.count()
         self.columns = [c for c in train.columns if c != ROW_ID]
@@ -57,12 +58,13 @@ class CartSequential(Generator):
             va = VectorAssembler(inputCols=feats, outputCol="__x", handleInvalid="keep")
             dt = DecisionTreeRegressor(featuresCol="__x", labelCol=c, leafCol="__leafd", maxDepth=self.max_depth,
                                        minInstancesPerNode=self.min_instances, seed=self.seed, predictionCol="__pred")
-            xt = va.transform(train.withColumn(c, _q(c).cast("double")))
+            dt.setLabelCol("__label")
+            xt = va.transform(train.withColumn("__label", _q(c).cast("double")))
             model = dt.fit(xt)
             leaves = model.transform(xt).select(ROW_ID, _q(c), F.col("__leafd").cast("int").alias("__leaf"))
-            leaves = leaves.join(train.select(ROW_ID, _q(c).alias("__orig")), ROW_ID).drop(c).withColumnRenamed("__orig", c)
             donors, counts = self._donors(leaves, c)
             self.steps.append((c, va, model, donors, counts))
+        train.unpersist()
         return self
 
     def sample(self, n: int, seed: int = 0) -> DataFrame:

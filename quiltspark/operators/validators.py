@@ -148,7 +148,8 @@ class ClassifierValidator(Validator):
             "label", F.col("label").cast("double")
         )
         # deterministic layout for MLlib's seeded but layout-dependent sampling
-        train = train.repartition(max(1, train.rdd.getNumPartitions()), "j").sortWithinPartitions("j").persist()
+        n_parts = max(train.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism)
+        train = train.repartition(n_parts, "j").sortWithinPartitions("j").persist()
         est = self._estimator()
         pipe = Pipeline(stages=[assemble(self.features), est])
         if self.param_grid:

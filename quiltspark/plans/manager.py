@@ -23,6 +23,7 @@ from quiltspark.operators.encode import OrdinalEncoder, restore_column_order, to
 from quiltspark.operators.generators.base import fan_out
 from quiltspark.operators.joins import POS, ROW_ID, ValidatedJoin, concatenate, random_join
 from quiltspark.operators.positions import with_dense_id
+from quiltspark.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -78,7 +79,7 @@ class DisjointSynthesizer:
         self.columns = [c for c in self.original.columns if c != ROW_ID]
         self.ts_cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")]
         self.encoder = OrdinalEncoder().fit(df)
-        enc = to_numeric(self.encoder.transform(df)).na.drop().checkpoint()
+        enc = materialize(to_numeric(self.encoder.transform(df)).na.drop(), "encoded")
         self.encoded = enc
         if self.models and isinstance(self.models[0], tuple):  # [(model, columns), ...]
             splits = {f"split{i}": list(cols) for i, (_, cols) in enumerate(self.models)}

@@ -50,3 +50,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="quiltspark-ckpt-", dir=os.environ.get("QUILTSPARK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def spread(df, key: str | None = None):
+    """Give an under-partitioned input (one small file = one partition) at least
+    ``defaultParallelism`` partitions before iterative work (model fitting).
+    Inputs that are already wide enough -- any real cluster-scale table -- are
+    returned unchanged, so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing a parquet table under ``spark.checkpoint.dir`` and
+    reading it back: one job, columnar storage on the shared folder, so a lost
+    executor costs nothing and later plans start from the files."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/quiltspark-stage/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
