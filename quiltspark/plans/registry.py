@@ -1115,3 +1115,56 @@ def q_evaluate(spark, sf):
                                     "b": real.select(ROW_ID, "o_custkey", "o_orderpriority")})
     return U.evaluate(real, syn, holdout, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"],
                       label=None, seed=SEED)
+
+
+def _h_eval(real):
+    """Evaluation used by the harness queries: Hellinger average of a synthetic table."""
+    def run(syn):
+        h = U.hellinger(real, syn, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"])
+        return {"avg_h_dist": h.where(F.col("column") == "avg_h_dist").first()["h_dist"]}
+    return run
+
+
+def _h_parts(real):
+    return {"split0": real.select(ROW_ID, "o_orderstatus", "o_totalprice"),
+            "split1": real.select(ROW_ID, "o_custkey", "o_orderpriority")}
+
+
+@register("H5_H6_repeated_experiment")
+def q_repeated(spark, sf):
+    """Three seeded random re-joins of the real half, each evaluated; mean / sem per metric plus time."""
+    real, _ = _halves(spark, sf)
+    parts = _h_parts(real)
+    gen = lambda df, rep: RandomJoining(SEED + rep).join(parts)
+    return H.repeated_experiment(spark, real, gen, _h_eval(real), num_reps=3, timed=True)
+
+
+@register("H8_validator_comparison")
+def q_validator_comparison(spark, sf):
+    """Same parts, concatenation baseline vs. a validated join with the fixed scorer."""
+    real, _ = _halves(spark, sf)
+    parts = _h_parts(real)
+    n = real.count()
+    rows = H.validator_comparison(
+        parts, {"linear": SCORER},
+        lambda v: J.ValidatedJoin(v, behaviour="adaptive", max_size=n // 4, seed=SEED, max_iter=6),
+        _h_eval(real), baseline=RandomJoining(SEED))
+    return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "validator string, metric string, value double")
+
+
+@register("H9_run_grid")
+def q_run_grid(spark, sf):
+    """Resumable grid over seeds and strategies: a second call finds nothing missing."""
+    real, _ = _halves(spark, sf)
+    parts = _h_parts(real)
+    path = IO.scratch_path(spark, "run-grid-log")
+
+    def run(p):
+        joined = RandomJoining(int(p["seed"])).join(parts) if p["joining"] == "random" else J.concatenate(parts)
+        return _h_eval(real)(joined)
+
+    axes = {"joining": ["random", "concat"], "seed": [1, 2]}
+    H.run_grid(spark, path, axes, run)
+    if H.run_grid(spark, path, axes, run) != 0:
+        raise RuntimeError("resumed grid re-ran logged runs")
+    return spark.read.parquet(path)
