@@ -1168,3 +1168,58 @@ def q_run_grid(spark, sf):
     if H.run_grid(spark, path, axes, run) != 0:
         raise RuntimeError("resumed grid re-ran logged runs")
     return spark.read.parquet(path)
+
+
+@register(
+    "M6_holdout_split",
+    f"""WITH t AS ({_M3_SQL}),
+r AS (SELECT j, label, row_number() OVER (PARTITION BY label ORDER BY
+        CAST(('0x' || substr(md5('{SEED}:holdout:' || CAST(label AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15)) AS BIGINT), j) AS rn,
+        count(*) OVER (PARTITION BY label) AS nc FROM t)
+SELECT j, label, CASE WHEN rn <= (nc + 4) // 5 THEN 'test' ELSE 'train' END AS part FROM r""",
+)
+def q_holdout(spark, sf):
+    train, test = M.holdout_split(_training(spark, sf).select("j", "label"), 5, SEED)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@register(
+    "P2_restore_column_order",
+    f"SELECT __pos AS __row_id, o_orderstatus, o_custkey, o_totalprice, o_orderpriority FROM ({_J2_SQL})",
+)
+def q_restore_order(spark, sf):
+    from quiltspark.operators.encode import restore_column_order
+
+    j2 = J.random_join(orders_parts(spark, sf), SEED).withColumnRenamed(J.POS, ROW_ID)
+    return restore_column_order(j2, [ROW_ID, "o_orderstatus", "o_custkey", "o_totalprice", "o_orderpriority"])
+
+
+@register("E4_scale_features")
+def q_scale(spark, sf):
+    """MinMax, standard and robust scaling of the assembled orders features, plus the 250-quantile transform."""
+    from pyspark.ml.functions import vector_to_array
+
+    from quiltspark.operators.encode import quantile_transform, scaler
+
+    o = orders_with_id(spark, sf).select(ROW_ID, "o_totalprice", "o_custkey")
+    x = V.assemble(["o_totalprice", "o_custkey"], "features").transform(o)
+    for kind in ("minmax", "standard", "robust"):
+        x = scaler(kind, "features", f"s_{kind}").fit(x).transform(x)
+        x = x.withColumn(f"s_{kind}", vector_to_array(f"s_{kind}"))
+    q = quantile_transform(o, ["o_totalprice", "o_custkey"]).select(
+        ROW_ID, F.col("o_totalprice").alias("q_totalprice"), F.col("o_custkey").alias("q_custkey"))
+    return x.drop("features").join(q, ROW_ID)
+
+
+@register("S8_save_load_validator")
+def q_save_load(spark, sf):
+    """Fit a classifier validator, save it to the shared folder, load it back and score candidates."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    parts = orders_parts(spark, sf, _NUM_SPLITS)
+    v = V.ClassifierValidator(RandomForestClassifier(numTrees=10, maxDepth=4, seed=SEED), calibration=None,
+                              seed=SEED).fit(parts)
+    path = IO.scratch_path(spark, "validator")
+    v.save(path)
+    loaded = V.ClassifierValidator.load(path)
+    return loaded.score(J.random_join(parts, SEED)).select(J.POS, "__id_split0", "__id_split1", "score")
