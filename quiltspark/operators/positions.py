@@ -138,6 +138,7 @@ def slice_bounds(df: DataFrame, col: str, ranges: int = 64) -> list:
     else:
         n = df.count()
         frac = min(1.0, 200.0 * ranges / max(n, 1))
+        # the sample only places cut points (balance); every row is still ranked
         sample = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).sample(False, frac, 17).collect())
         vals = [sample[(k * len(sample)) // ranges] for k in range(1, ranges)] if sample else []
     out = []
@@ -180,7 +181,9 @@ def value_position(
     offsets = counts.select(*part, "__slice", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
     w_in = Window.partitionBy(*part, "__slice").orderBy(*order_cols)
     return (
-        sliced.join(F.broadcast(offsets), [*part, "__slice"])
+        # <= ranges rows without a partition column: broadcast; with one the table
+        # grows with the number of groups, so Spark's own size check decides
+        sliced.join(offsets if part else F.broadcast(offsets), [*part, "__slice"])
         .withColumn(out, (F.col("__off") + F.row_number().over(w_in) - F.lit(1)).cast("long"))
         .drop("__slice", "__off")
     )
@@ -221,7 +224,9 @@ def cumulative_sum(
     end = 0 if inclusive else -1
     w_in = Window.partitionBy(*part, "__slice").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
     return (
-        sliced.join(F.broadcast(offsets), [*part, "__slice"])
+        # <= ranges rows without a partition column: broadcast; with one the table
+        # grows with the number of groups, so Spark's own size check decides
+        sliced.join(offsets if part else F.broadcast(offsets), [*part, "__slice"])
         .withColumn(out, F.col("__off") + F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
         .drop("__slice", "__off")
     )
