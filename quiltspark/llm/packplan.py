@@ -14,21 +14,21 @@ Run = tuple[int, int, int, int, int, int]
 
 def best_configuration(worth: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[float, np.ndarray]:
     """The multiset of sizes within ``cap`` of the greatest total worth."""
-    value, pick = np.zeros(cap + 1), np.full(cap + 1, -1)
-    for room in range(int(sizes.min()), cap + 1):
-        fits = np.flatnonzero(sizes <= room)
-        gain = value[room - sizes[fits]] + worth[fits]
-        k = int(gain.argmax())
-        value[room] = value[room - 1]
-        if gain[k] > value[room] + 1e-12:
-            value[room], pick[room] = gain[k], fits[k]
+    value, used = np.zeros(cap + 1), np.zeros((len(sizes), cap + 1), np.int64)
+    for g, (size, w) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+        if w <= 0:
+            continue
+        best = value.copy()
+        for n in range(1, cap // size + 1):
+            gain, at = value[: cap + 1 - n * size] + n * w, slice(n * size, None)
+            better = gain > best[at] + 1e-12
+            best[at][better] = gain[better]
+            used[g, at][better] = n
+        value = best
     found, room = np.zeros(len(sizes)), cap
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            found[pick[room]] += 1
-            room -= int(sizes[pick[room]])
+    for g in range(len(sizes) - 1, -1, -1):
+        found[g] = used[g, room]
+        room -= int(found[g]) * int(sizes[g])
     return float(value[cap]), found
 
 
@@ -107,48 +107,53 @@ class Rooms:
         return room, first, n
 
 
-def plan(hist: dict[int, int], cap: int, small: float = 1 / 8, groups: int = 32) -> list[Run]:
-    """Places for all pieces of the histogram {length: count}; lengths are 1 to ``cap``.
-
-    Pieces longer than ``small * cap`` are split into ``groups`` groups of equal
-    cardinality; all of a group count as its longest.  The configurations found
-    for these few sizes are filled with the actual pieces.  Pieces that rounding
-    left over, then the small ones, go by decreasing length into the sequence
-    with the least sufficient room, which also uses what rounding up wasted."""
+def filled(hist: dict[int, int], cap: int, small: float, groups: int) -> tuple[list[tuple[list[tuple[int, int]], int]], list[tuple[int, int, int]]]:
+    """Configured sequences after substitution, as ([(length, first rank)], how many
+    alike in a row), and the large pieces that rounding down left over."""
+    large = [(length, n) for length, n in hist.items() if n and small * cap < length < cap]
+    by_size: dict[int, list[Queue]] = {}
+    for q in grouped(large, groups):
+        by_size.setdefault(q.runs[-1][0], []).append(q)
+    sizes = np.array(sorted(by_size, reverse=True), np.int64)
+    queues = [Queue([run for q in by_size[s] for run in q.runs[::-1]]) for s in sizes]
+    out = []
+    for column, bins in configurations(sizes, np.array([float(q.left) for q in queues]), cap) if large else []:
+        slots = [queues[g].take(bins) for g in range(len(sizes)) for _ in range(column[g])]
+        ends = {0, bins}
+        for runs in slots:
+            ends.update(np.cumsum([n for _, _, n in runs]).tolist())
+        cuts = sorted(ends)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held = []
+            for runs in slots:
+                at = 0
+                for length, rank, n in runs:
+                    if at <= a < at + n:
+                        held.append((length, rank + a - at))
+                    at += n
+            out.append((held, b - a))
+    return out, [run for q in queues for run in q.take(q.left)]
+
+
+def placed(hist: dict[int, int], cap: int, small: float, configured: list, left: list, slack: int) -> tuple[int, list[Run]]:
+    """Sequences used and all places.  A configured sequence whose actual pieces
+    leave more than ``slack`` unused is opened again and its pieces go to best fit."""
     out: list[Run] = []
     rooms, following = Rooms(), 0
-    rest: list[tuple[int, int, int]] = []
     if hist.get(cap):
         out.append((cap, 0, hist[cap], 0, 1, 0))
         following = hist[cap]
-    large = [(length, n) for length, n in hist.items() if n and small * cap < length < cap]
-    if large:
-        by_size: dict[int, list[Queue]] = {}
-        for q in grouped(large, groups):
-            by_size.setdefault(q.runs[-1][0], []).append(q)
-        sizes = np.array(sorted(by_size, reverse=True))
-        queues = [Queue([run for q in by_size[s] for run in q.runs[::-1]]) for s in sizes]
-        for column, bins in configurations(sizes, np.array([float(q.left) for q in queues]), cap):
-            slots = [queues[g].take(bins) for g in range(len(sizes)) for _ in range(column[g])]
-            ends = {0, bins}
-            for runs in slots:
-                ends.update(np.cumsum([n for _, _, n in runs]).tolist())
-            cuts = sorted(ends)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                used = 0
-                for runs in slots:
-                    at = 0
-                    for length, rank, n in runs:
-                        if at <= a < at + n:
-                            out.append((length, rank + a - at, b - a, following + a, 1, used))
-                            used += length
-                            break
-                        at += n
-                rooms.add(cap - used, following + a, b - a)
-            following += bins
-        for q in queues:
-            rest += q.take(q.left)
-    rest += [(length, 0, n) for length, n in hist.items() if n and length <= small * cap]
+    rest = left + [(length, 0, n) for length, n in hist.items() if n and length <= small * cap and length < cap]
+    for held, n in configured:
+        used = 0
+        if cap - sum(length for length, _ in held) > slack:
+            rest += [(length, rank, n) for length, rank in held]
+            continue
+        for length, rank in held:
+            out.append((length, rank, n, following, 1, used))
+            used += length
+        rooms.add(cap - used, following, n)
+        following += n
     for length, rank, n in sorted(rest, reverse=True):
         while n:
             room, first, bins = rooms.tightest(length) or (cap, following, -(-n // (cap // length)))
@@ -160,9 +165,26 @@ def plan(hist: dict[int, int], cap: int, small: float = 1 / 8, groups: int = 32)
                 rooms.add(room - each * length, first, full)
                 rank, n = rank + full * each, n - full * each
             if n and full < bins:
-                some = min(n, each)
-                out.append((length, rank, some, first + full, each, cap - room))
-                rooms.add(room - some * length, first + full, 1)
-                rank, n, full = rank + some, n - some, full + 1
+                out.append((length, rank, n, first + full, each, cap - room))
+                rooms.add(room - n * length, first + full, 1)
+                rank, n, full = rank + n, 0, full + 1
             rooms.add(room, first + full, bins - full)
-    return out
+    return following, out
+
+
+def plan(hist: dict[int, int], cap: int, small: float = 1 / 8, groups: tuple[int, ...] = (32, 96), slacks: tuple[float, ...] = (1, 1 / 16, 1 / 32, 1 / 64, 1 / 256, 0)) -> list[Run]:
+    """Places for all pieces of the histogram {length: count}; lengths are 1 to ``cap``.
+
+    Pieces longer than ``small * cap`` are split into groups of equal
+    cardinality; all of a group count as its longest.  The configurations found
+    for these few sizes are filled with the actual pieces.  Pieces that rounding
+    left over, then the small ones, go by decreasing length into the sequence
+    with the least sufficient room, which also uses what rounding up wasted.
+    Where small pieces are too few to use it up, configured sequences that waste
+    more than a slack (a share of ``cap``) are given to best fit as well; of the
+    ``groups`` and ``slacks`` those with the fewest sequences hold, at a tie the first."""
+    tried = []
+    for g in groups:
+        configured, left = filled(hist, cap, small, g)
+        tried += [placed(hist, cap, small, configured, left, int(x * cap)) for x in slacks]
+    return min(tried, key=lambda t: t[0])[1]
