@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, packing, syncmers, tokenstore, toxicity
+from . import htmltext, kdtopk, linededup, packing, syncmers, tokenstore, toxicity
 from .common import id_text_crc, new_path, table
 
 PACK_CAP, PACK_END, STORE_END = 4096, 1, 2
@@ -16,6 +16,27 @@ def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtopk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP4_SQL = """
+with v as (
+  select vec_id, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_inner_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+  from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokenstore.write_corpus(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), STORE_END)
@@ -32,10 +53,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 with lines as (
   select doc_id, text, string_split(text, chr(10)) as l from documents
-), at as (
+), win_at as (
   select doc_id, l, unnest(range(len(l) - 2)) as pos from lines where len(l) >= 3
 ), win as (
-  select doc_id, pos, [l[pos + 1], l[pos + 2], l[pos + 3]] as w from at
+  select doc_id, pos, [l[pos + 1], l[pos + 2], l[pos + 3]] as w from win_at
   where trim(l[pos + 1] || l[pos + 2] || l[pos + 3], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
 ), ranked as (
   select doc_id, pos, row_number() over (partition by w order by doc_id, pos) as r from win
@@ -74,10 +95,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_syncmer_fingerprints": op3_syncmer_fingerprints,
+    "op4_kd_top_k": op4_kd_top_k,
     "op5_token_store": op5_token_store,
     "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op6_line_dedup": OP6_SQL}
+SQL = {"op4_kd_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL}
