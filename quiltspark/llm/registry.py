@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, kdtopk, linededup, packing, syncmers, tokenstore, toxicity
+from . import htmltext, kdtopk, linededup, nbest, packing, syncmers, tokenstore, toxicity
 from .common import id_text_crc, new_path, table
 
-PACK_CAP, PACK_END, STORE_END = 4096, 1, 2
+PACK_CAP, PACK_END, STORE_END, N_BEST = 4096, 1, 2, 4
 
 
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(parts, PACK_CAP).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the best segmentation, the scores of the N_BEST best, and a digest of
+    what its ids decode to."""
+    found = nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), N_BEST)
+    scores = F.concat(F.array("score"), F.transform("others", lambda o: o["score"]))
+    return found.select(
+        "doc_id", "n_pieces", "score", F.crc32("ids").alias("ids_crc32"), F.md5("decoded").alias("decoded_md5"),
+        F.array_join(F.transform(scores, lambda s: s.cast("long").cast("string")), " ").alias("best_scores"),
+    )
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
@@ -99,6 +110,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_nbest_pieces": op8_nbest_pieces,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
