@@ -27,6 +27,7 @@ any others are kept.  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,24 +103,28 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
         return Model([0.0] * BUCKETS, float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
-    words, window_of, doc_of = [], [], []
-    n_windows = 0
+    bucket = Buckets()
+    flat, size, words, length, doc_of = array("i"), array("i"), array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
-        seq = [ids.setdefault(w, len(ids)) for w in (text or "").split()]
+        seq = (text or "").split()
         for a in range(0, len(seq), WORDS):
-            distinct = list(dict.fromkeys(seq[a : a + WORDS]))
-            words += distinct
-            window_of += [n_windows] * len(distinct)
+            distinct = dict.fromkeys(seq[a : a + WORDS])
+            for w in distinct:
+                at = ids.get(w)
+                if at is None:
+                    at = ids[w] = len(ids)
+                    found = [bucket[g] for g in grams(w)]
+                    flat.extend(found)
+                    size.append(len(found))
+                words.append(at)
+            length.append(len(distinct))
             doc_of.append(d)
-            n_windows += 1
-    bucket = Buckets()
-    feats = [[bucket[g] for g in grams(w)] for w in ids]
-    size = np.array([len(f) for f in feats])
-    flat = np.fromiter((x for f in feats for x in f), np.int64, size.sum())
-    at = np.concatenate(([0], np.cumsum(size)))
-    words, doc_of = np.array(words, np.int64), np.array(doc_of, np.int64)
-    start = np.flatnonzero(np.diff(np.array(window_of, np.int64), prepend=-1))
-    length = np.diff(np.append(start, len(words)))
+    del ids, bucket
+    flat, size, words, length, doc_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (flat, size, words, length, doc_of))
+    if not len(length):
+        return train([], [], base_rate)
+    at, start = (np.concatenate(([0], np.cumsum(x)))[:-1] for x in (size, length))
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     table = rng.normal(0, 0.05, (BUCKETS, DIMS))
     soft = rng.normal(0, 0.05, (DIMS, 2))
     bias = np.zeros(2)
@@ -127,7 +132,7 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
 
     def window_logits() -> np.ndarray:
         value = table @ (soft[:, 1] - soft[:, 0])
-        per_word = np.bincount(np.repeat(np.arange(len(size)), size), value[flat], len(size)) / np.maximum(size, 1)
+        per_word = np.bincount(owner, value[flat], len(size)) / np.maximum(size, 1)
         return np.add.reduceat(per_word[words], start) / WORDS + bias[1] - bias[0]
 
     def step(batch: np.ndarray, rate: float) -> None:
@@ -187,18 +192,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.filter(id_text_crc() % 5 != 0)
     order = F.xxhash64("doc_id")
     counts = {int(r[0]): int(r[1]) for r in known.groupBy("_t_toxic").agg(F.count(F.lit(1))).collect()}
+    rate = counts.get(1, 0) / max(1, sum(counts.values()))
     rows = [known.filter(F.col("_t_toxic") == c).orderBy(order, "doc_id").limit(TRAIN_ROWS[c]) for c in (0, 1)]
     some = rows[0].union(rows[1]).withColumnRenamed("doc_id", "_t_id")
     # at most sum(TRAIN_ROWS) ids
     texts = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_t_id"))
-    texts = texts.groupBy("_t_id", "_t_toxic").agg(F.min("text").alias("text")).withColumn("_t_n", F.coalesce(F.length("text"), F.lit(0)))
-    got, room = [], TRAIN_CHARS
-    for r in texts.orderBy(F.xxhash64("_t_id"), "_t_id").toLocalIterator():
-        room -= r["_t_n"]
-        if room < 0:
-            break
-        got.append((r["text"] or "", r["_t_toxic"]))
-    return train([t for t, _ in got], [c for _, c in got], counts.get(1, 0) / max(1, sum(counts.values())))
+    texts = texts.groupBy("_t_id", "_t_toxic").agg(F.min("text").alias("text"))
+    # the bounded sample meets in one task, which fits the model and returns it
+    sample = texts.repartition(1).sortWithinPartitions(F.xxhash64("_t_id"), "_t_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, toxic, room = [], [], TRAIN_CHARS
+        for batch in batches:
+            for text, c in zip(batch.column("text").to_pylist(), batch.column("_t_toxic").to_pylist(), strict=True):
+                room -= len(text or "")
+                if room >= 0:
+                    got.append(text or "")
+                    toxic.append(c)
+        model = train(got, toxic, rate)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight], pa.list_(pa.float64())), pa.array([model.bias])], ["weight", "bias"])
+
+    rows = sample.mapInArrow(run, "weight array<double>, bias double").collect()
+    return Model(list(rows[0]["weight"]), rows[0]["bias"]) if rows else train([], [], rate)
 
 
 class Scorer:
