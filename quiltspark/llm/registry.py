@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccardjoin, kdtopk, linededup, nbest, packing, syncmers, tokenstore, toxicity
+from . import htmltext, jaccardjoin, kdtopk, linededup, nbest, packing, pitmanyor, syncmers, tokenstore, toxicity
 from .common import id_text_crc, new_path, table
 
 PACK_CAP, PACK_END, STORE_END, N_BEST = 4096, 1, 2, 4
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.scores(table(spark, sf_dir, "documents"), id_text_crc() % 7 == 2)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -109,6 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_syncmer_fingerprints": op3_syncmer_fingerprints,
     "op4_kd_top_k": op4_kd_top_k,
