@@ -41,11 +41,17 @@ from pyspark.sql import functions as F
 from . import rtree
 from .common import staged
 from .components import components
-from .shingles import finished, shingle_set
+from .shingles import shingle_sets
 
 HEAVY, TASK_HEAVY, SHORT = 200_000, 20_000, 16
-LIST_ROWS, GROUP_SHINGLES = 2_500_000, 4_000_000
-CHUNK_ROWS = 2_000_000
+LIST_ROWS, GROUP_SHINGLES = 1_000_000, 4_000_000
+CHUNK_ROWS = 1_000_000
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The batch's sets, a few hundred texts at a time."""
+    for at in range(0, batch.num_rows, 256):
+        yield from shingle_sets(batch.column("text").slice(at, 256).to_pylist())
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -65,8 +71,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "k1", "k2", "h"]
     for batch in batches:
         n, k1, k2 = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(text)
+        for s in _sets(batch):
             n.append(len(s))
             a, b = key_of(s)
             k1.append(a)
@@ -134,8 +139,7 @@ def _lists(heavy: np.ndarray, count: np.ndarray, parts: int):
 
         for batch in batches:
             plain_h, plain_k = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
+            for s in _sets(batch):
                 if not len(s):
                     continue
                 k = key_of(s)[0]
@@ -211,8 +215,8 @@ def _met(table: pa.Table) -> pa.Table:
 def _verified(table: pa.Table) -> pa.Table:
     """Links (a, b) among the classes of one group (or of two tiles of it)."""
     ids, sets, seen = [], [], set()
-    for rep, k, text in zip(*(table.column(c).to_pylist() for c in ("rep", "k", "text")), strict=True):
-        s = shingle_set(text)
+    own = shingle_sets(table.column("text").to_pylist())
+    for rep, k, s in zip(table.column("rep").to_pylist(), table.column("k").to_pylist(), own, strict=True):
         if k not in seen and key_of(s)[0] == k:  # not another row with the same id
             seen.add(k)
             ids.append(rep)

@@ -44,6 +44,7 @@ DIMS = 8
 WORDS = 32
 TRAIN_ROWS = (6_000, 3_000)  # clean, toxic
 TRAIN_CHARS = 40_000_000
+STEPS = 400  # at least, also on a small sample
 CACHE_WORDS = 1_000_000
 _EDGE = ".,;:!?\"'()[]{}|<>-–—…«»„“”‘’¡¿"
 
@@ -156,7 +157,8 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
         bias -= rate * gb / np.sqrt(heat_b)
 
     order = np.arange(len(length))
-    for epoch in range(epochs):
+    epoch = steps = 0
+    while epoch < epochs or steps < STEPS:
         if epoch < 2:
             chosen = order if len(order) <= 60_000 else rng.choice(order, 60_000, replace=False)
         else:
@@ -167,8 +169,11 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
             hard = clean[np.argsort(logits[clean])[-len(top) :]]
             chosen = np.unique(np.concatenate([top, hard, rng.choice(clean, min(len(clean), len(top)), replace=False)]))
         chosen = rng.permutation(chosen)
-        for a in range(0, len(chosen), 512):
-            step(chosen[a : a + 512], 0.3)
+        size_of = min(512, max(32, len(chosen) // 16))
+        for a in range(0, len(chosen), size_of):
+            step(chosen[a : a + size_of], 0.3)
+            steps += 1
+        epoch += 1
     logits = window_logits()
     best = np.full(len(texts), bias[1] - bias[0])
     np.maximum.at(best, doc_of, logits)
