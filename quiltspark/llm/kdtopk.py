@@ -107,7 +107,7 @@ def _searcher(k: int):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if queries.num_rows and vectors.num_rows:
-            x, q = _matrix(vectors, "v"), _matrix(queries, "v")
+            x, q = _matrix(vectors, "x"), _matrix(queries, "q")
             kind = exact_kind(x, q)
             tree = Tree(x.astype(kind))
             ids = vectors.column("vec_id").to_numpy()[tree.order]
@@ -136,9 +136,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     base = rows.select("vec_id", "v", "dim", "shard")
 
     def searched(asked: DataFrame) -> DataFrame:
+        # names of its own on either side: both come from the same rows
         spread = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        keys = ["dim", "shard", "block"]
-        return asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_searcher(k), FOUND)
+        spread = spread.select("vec_id", F.col("v").alias("x"), F.col("dim").alias("_dim"), F.col("shard").alias("_shard"), F.col("block").alias("_block"))
+        asked = asked.select("query_id", "kth", F.col("v").alias("q"), F.col("dim").alias("dim_"), F.col("shard").alias("shard_"), F.col("block").alias("block_"))
+        return asked.groupBy("dim_", "shard_", "block_").cogroup(spread.groupBy("_dim", "_shard", "_block")).applyInArrow(_searcher(k), FOUND)
 
     at_home = searched(queries.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("long")))
     if shards > 1:
