@@ -3,11 +3,14 @@
 Every node of the page's tree gets a density: characters per tag, adjusted by
 the share of linked characters and tags, so a list of links is thin however
 long it is.  A node's density sum is the sum of its children's densities.  The
-subtree with the greatest sum is the main one; the least density on the path
-from the body down to it is the threshold, under which link-heavy or
-form-bearing parts of that subtree are left out.  Parts that say what they are
-by their element or by a word of their class or id (menus, adverts, comments
-and so on) count for nothing, unless they hold the article itself.
+subtree with the greatest sum is the main one (all of the article or main
+element that it is in).  The least density on the path from the body down to it
+is the threshold: parts beside the path reach it or are left out, save a first
+heading; parts of the subtree that don't reach it are left out if they are
+mostly links.  Inline elements count as tags, not as nodes.  Parts that say
+what they are by their element or by a word of their class or id (menus,
+adverts, comments and so on) count for nothing, unless they hold the article
+itself; so does a header outside an article.
 
 Text comes out in page order: character references decoded, inline elements
 joined, blocks separated by a space, white space runs made one space.  A null,
@@ -68,16 +71,18 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _dropped(name: str, rest: str) -> bool:
-    if name in _NEVER:
+def _dropped(name: str, rest: str, inside: bool) -> bool:
+    if name in _NEVER or (name == "header" and not inside):
         return True
     if not rest or name in _MAIN:
         return False
     if _HIDDEN.search(rest):
         return True
     for key, value in _MARKS.findall(rest):
-        if key.lower() in ("class", "id", "role") and not _SAYS.isdisjoint(_WORD.findall(value.lower())):
-            return True
+        if key.lower() in ("class", "id", "role"):
+            said = _WORD.findall(value.lower())
+            if not _SAYS.isdisjoint(said) or (not inside and "header" in said):
+                return True
     return False
 
 
@@ -125,7 +130,7 @@ def parse(html: str) -> Node:
                 here = opened[k].up
                 del opened[k:]
         rest = m.group(3)
-        node = Node(name, here, _dropped(name, rest))
+        node = Node(name, here, _dropped(name, rest, any(x.name in ("article", "main") for x in opened)))
         here.items.append(node)
         if name in _RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -178,9 +183,9 @@ def measure(root: Node) -> list[Node]:
         tags, links, linked = max(1, node.tags), max(1, node.link_tags), max(1, node.link_chars)
         plain = max(1, node.chars - node.link_chars)
         base = math.log(node.chars / plain * node.link_chars + share * node.chars + math.e)
-        node.density = node.chars / tags * math.log(max(1.0, node.chars / linked * tags / links) + 1e-9, max(base, 1.01))
+        node.density = node.chars / tags * math.log(max(1.0, node.chars / linked * tags / links) + 1e-9, max(base, 2.0))
     for node in reversed(nodes):
-        if node.up:
+        if node.up and node.name not in _INLINE:
             node.up.total += node.density
     return nodes
 
@@ -191,27 +196,37 @@ def main_text(html: str | None) -> str:
     root = parse(html)
     _undrop(root)
     nodes = measure(root)
-    best = max(nodes, key=lambda n: n.total)
+    best = max((n for n in nodes if n.name not in _INLINE), key=lambda n: n.total)
+    path, threshold = [best], best.density
+    while path[-1].up:
+        path.append(path[-1].up)
+        threshold = min(threshold, path[-1].density)
+    whole = next((n for n in path if n.name in ("article", "main")), best)
     if best.total <= 0:
-        best = root
-    threshold, node = best.density, best
-    while node.up:
-        node = node.up
-        threshold = min(threshold, node.density)
+        whole = root
+    above = set(path[path.index(whole) + 1 :]) if whole in path else set()
     out: list[str] = []
-    todo: list = [best]
+    todo: list[tuple[Node | str, bool]] = [(root, whole is root)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if x.__class__ is str:
-            out.append(x)
-        elif x is not best and (x.drop or (x.name not in _INLINE and x.density < threshold and 2 * x.link_chars > x.chars)):
+            if inside:
+                out.append(x)
+        elif x.drop:
+            out.append(" ")
+        elif inside:
+            inline = x.name in _INLINE
+            if not inline:
+                out.append(" ")
+                todo.append((" ", True))
+            if inline or x is whole or x.density >= threshold or 2 * x.link_chars <= x.chars:
+                todo.extend((y, True) for y in reversed(x.items))
+        elif x is whole or x in above:
+            todo.extend((y, x is whole) for y in reversed(x.items))
             out.append(" ")
-        elif x.name in _INLINE:
-            todo.extend(reversed(x.items))
-        else:
+        elif x.up in above and (x.name == "h1" or (x.name not in _INLINE and x.density >= threshold and 2 * x.link_chars <= x.chars)):
+            todo.extend([(" ", True)] + [(y, True) for y in reversed(x.items)])
             out.append(" ")
-            todo.append(" ")
-            todo.extend(reversed(x.items))
     return " ".join(unescape("".join(out)).split())
 
 
