@@ -31,8 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shingles import finished
+
 UNKNOWN_COST = 10.0
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 1_500_000
+#: Parts up to this length are worked out many at a time.
+TOGETHER = 24
+_STEP = 0x9E3779B97F4A7C15
 MARK = "▁"
 ROW = (
     "doc_id long, n_pieces long, score double, ids binary, decoded string, "
@@ -57,9 +62,118 @@ class Lattice:
             for k in range(1, len(p)):
                 self.node.setdefault(p[:k], None)
         self.node.update(pieces)
+        # the same as a tree: character -> (children, id or -1, score)
+        self.tree, self.longest = self._tree(), max(map(len, pieces), default=1)
+        self.inner = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        self.table = self._hash_table()
         self.known: dict[str, tuple[bytes, int, float, float]] = {}
         self.ways: dict[tuple[str, int], list[Way]] = {}
 
+    def _tree(self) -> dict[str, tuple[dict, int, float]]:
+        children: dict[str, dict] = {"": {}}
+        for p in sorted(self.node, key=len):
+            children[p] = {}
+            found = self.node[p]
+            children[p[:-1]][p[-1]] = (children[p], *(found or (-1, 0.0)))
+        return children[""]
+
+    def parts_of(self, chunk: str) -> tuple[str, ...]:
+        """Signs at a chunk's end that stand beside their neighbour in no piece are parts
+        of their own: no edge of the lattice crosses there."""
+        inner, end = self.inner, len(chunk)
+        while end > 1 and chunk[end - 2 : end] not in inner:
+            end -= 1
+        return (chunk[:end], *chunk[end:])
+
+    def learn(self, chunks: set[str]) -> None:
+        """Know the best segmentation of all these chunks."""
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        if len(known) + len(new) > CACHE_CHUNKS:
+            known.clear()
+            self.ways.clear()
+            new = list(chunks)
+        split = [self.parts_of(c) for c in new]
+        parts: dict[str, tuple[bytes, int, float, float]] = {}
+        by_length: dict[int, list[str]] = {}
+        for part in {x for some in split for x in some}:
+            if part in known:
+                parts[part] = known[part]
+            else:
+                by_length.setdefault(len(part), []).append(part)
+        for length, some in by_length.items():
+            if length <= TOGETHER and len(some) >= 16:
+                self._best_together(some, length, parts)
+            else:
+                for part in some:
+                    parts[part] = self.best(part)
+        for c, some in zip(new, split, strict=True):
+            if len(some) == 1:
+                known[c] = parts[c]
+            else:
+                blobs, counts, scores, gaps = zip(*[parts[x] for x in some], strict=True)
+                known[c] = b"".join(blobs), sum(counts), sum(scores), min(gaps)
+
+    def _hash_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces and their beginnings by hash: sorted hashes, ids (-1: only a beginning), scores."""
+        rows = []
+        for piece, found in self.node.items():
+            h, (i, score) = 0, found or (-1, 0.0)
+            for x in finished(np.array([ord(c) for c in piece], np.uint64)).tolist():
+                h = (h * _STEP + x) & (1 << 64) - 1
+            rows.append((h, i, score))
+        rows.sort()
+        return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+
+    def _best_together(self, some: list[str], n: int, parts: dict[str, tuple[bytes, int, float, float]]) -> None:
+        """``best`` of many parts of one length, a place of all of them at a time, into ``parts``."""
+        hashes, ids_of, score_of = self.table
+        m, rows = len(some), np.arange(len(some))
+        value = finished(np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)).reshape(m, n)
+        first, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        back, put = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1)
+        first[0] = 0
+        for i in range(n):
+            h, alive = np.zeros(m, np.uint64), rows
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = h * np.uint64(_STEP) + value[alive, j - 1]
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[at] == h
+                ids, edge = ids_of[at], score_of[at]
+                if j == i + 1:  # a character that is no piece has an edge all the same
+                    whole = hit & (ids >= 0)
+                    self._pushed(first, second, back, put, i, j, rows, np.where(whole, edge, self.lowest), np.where(whole, ids, -1))
+                else:
+                    ends = np.flatnonzero(hit & (ids >= 0))
+                    self._pushed(first, second, back, put, i, j, alive[ends], edge[ends], ids[ends])
+                alive, h = alive[hit], h[hit]
+                if not len(alive):
+                    break
+        at, steps = np.full(m, n), []
+        while at.any():
+            live = at > 0
+            steps.append(np.where(live, put[at, rows], -2))
+            at = np.where(live, back[at, rows], 0)
+        found = np.stack(steps[::-1], 1)
+        plain, skip = ~(found == -1).any(1), (found == -2).sum(1)
+        found = found.astype("<u4")
+        for k, part in enumerate(some):
+            if plain[k]:
+                blob = found[k, skip[k] :].tobytes()
+                parts[part] = blob, len(blob) // 4, float(first[n, k]), float(first[n, k] - second[n, k])
+            else:  # a character without a piece
+                parts[part] = self.best(part)
+
+    @staticmethod
+    def _pushed(first, second, back, put, i: int, j: int, rows: np.ndarray, edge: np.ndarray, ids: np.ndarray) -> None:
+        """Edges from i to j of some rows, into the best and second-best scores at j."""
+        s, other, a, b = first[i, rows] + edge, second[i, rows] + edge, first[j, rows], second[j, rows]
+        better = s > a
+        second[j, rows] = np.where(better, np.maximum(a, other), np.maximum(b, s))
+        first[j, rows] = np.where(better, s, a)
+        won = rows[better]
+        back[j, won], put[j, won] = i, ids[better]
+
     def unknown_ids(self, char: str) -> tuple[int, ...]:
         got = tuple(self.bytes_of.get(b, -1) for b in char.encode("utf-8", "surrogatepass"))
         return got if got and -1 not in got else (self.unknown,)
@@ -84,24 +198,27 @@ class Lattice:
 
     def best(self, chunk: str) -> tuple[bytes, int, float, float]:
         """Best ids (little-endian u32), how many, their score, the distance to the second best."""
-        get, n, worst = self.node.get, len(chunk), -np.inf
-        first, second, back = [worst] * (n + 1), [worst] * (n + 1), [(0, ())] * (n + 1)
+        root, n, worst = self.tree, len(chunk), -np.inf
+        first, second, back = [worst] * (n + 1), [worst] * (n + 1), [(0, -1)] * (n + 1)
         first[0] = 0.0
         for i in range(n):
             here, other = first[i], second[i]
             alone = False
-            for j in range(i + 1, n + 1):
-                found = get(chunk[i:j], 0)
-                if found == 0:
-                    break
+            below, j = root, i
+            for char in chunk[i : i + self.longest]:
+                found = below.get(char)
                 if found is None:
+                    break
+                below, put, s = found
+                j += 1
+                if put < 0:
                     continue
                 if j == i + 1:
                     alone = True
-                s = here + found[1]
+                s += here
                 if s > first[j]:
-                    second[j] = max(first[j], other + found[1])
-                    first[j], back[j] = s, (i, found[0])
+                    second[j] = max(first[j], other + s - here)
+                    first[j], back[j] = s, (i, put)
                 elif s > second[j]:
                     second[j] = s
             if not alone:
@@ -163,33 +280,34 @@ class Lattice:
         """Best ids, how many, score; then the others as (score, how many, changes),
         a change being (first id replaced, how many, the ids put there)."""
         chunks, known = self.chunks(text), self.known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-            self.ways.clear()
-        for c in chunks:
-            if c not in known:
-                known[c] = self.best(c)
-        found = [known[c] for c in chunks]
-        ids = b"".join([f[0] for f in found])
-        score, total = sum(f[2] for f in found), len(ids) // 4
-        if n < 2 or not chunks:
+        if not all(map(known.__contains__, chunks)):
+            self.learn(set(chunks))
+        if not chunks:
+            return b"", 0, 0.0, []
+        blobs, counts, scores, gaps = zip(*map(known.__getitem__, chunks), strict=True)
+        ids, score, total = b"".join(blobs), sum(scores), sum(counts)
+        if n < 2:
             return ids, total, score, []
-        gaps = np.array([f[3] for f in found])
-        close = [k for k in np.argsort(gaps, kind="stable")[: n - 1].tolist() if np.isfinite(gaps[k])]
-        close.sort()
+        gap = np.array(gaps)
+        if len(gap) >= n:
+            close = np.flatnonzero(gap <= np.partition(gap, n - 2)[n - 2])
+            close = close[np.argsort(gap[close], kind="stable")[: n - 1]]
+        else:
+            close = np.arange(len(gap))
+        close = sorted(k for k in close.tolist() if np.isfinite(gap[k]))
         ways = []
         for k in close:
             key = (chunks[k], n)
             if key not in self.ways:
-                own = (found[k][2], struct.unpack(f"<{found[k][1]}I", found[k][0]))
+                own = (scores[k], struct.unpack(f"<{counts[k]}I", blobs[k]))
                 # at equal scores the one that stands in ``ids`` comes first
                 self.ways[key] = [own, *[w for w in self.search(*key) if w[1] != own[1]]][:n]
             ways.append(self.ways[key])
         mixes = sorted((-sum(w[i][0] for w, i in zip(ways, pick, strict=True)), pick) for pick in product(*(range(len(w)) for w in ways)))
-        starts = np.cumsum([0] + [f[1] for f in found])
+        starts = np.concatenate(([0], np.cumsum(counts)))
         base, others = sum(w[0][0] for w in ways), []
         for cost, pick in mixes[1:n]:
-            changes = [(int(starts[k]), found[k][1], list(w[i][1])) for k, w, i in zip(close, ways, pick, strict=True) if i]
+            changes = [(int(starts[k]), counts[k], list(w[i][1])) for k, w, i in zip(close, ways, pick, strict=True) if i]
             others.append((score - base - cost, total + sum(len(put) - out for _, out, put in changes), changes))
         return ids, total, score, others
 
@@ -246,8 +364,10 @@ def encode(docs: DataFrame, path: str, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 rows: list[list] = [some.column("doc_id").to_pylist(), [], [], [], [], []]
-                for text in some.column("text").to_pylist():
-                    ids, total, score, others = c.lattice.n_best(c.normalized(text or ""), n)
+                texts = [c.normalized(t or "") for t in some.column("text").to_pylist()]
+                c.lattice.learn(set().union(*map(c.lattice.chunks, texts)))
+                for text in texts:
+                    ids, total, score, others = c.lattice.n_best(text, n)
                     told = [
                         {"score": s, "n_pieces": m, "changes": [{"at": a, "out": o, "ids": put} for a, o, put in changes]}
                         for s, m, changes in others
