@@ -64,7 +64,8 @@ def attribute_histogram(real: DataFrame, synthetic: DataFrame, discrete: Sequenc
     """Per attribute and data set the share of rows per value / equal-width bin.
 
     Continuous attributes use ``bins`` equal bins of the pooled (real+synthetic)
-    range; shares are normalised within (attribute, data).
+    range; shares are normalised within (attribute, data).  Nulls are a bucket of
+    their own (null), so the shares of a pair add up to 1.
     """
     both = tag_real_synthetic(real.select(*discrete, *continuous), synthetic.select(*discrete, *continuous))
     pieces = []
@@ -72,9 +73,10 @@ def attribute_histogram(real: DataFrame, synthetic: DataFrame, discrete: Sequenc
         rng = both.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(continuous)],
                        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(continuous)]).first()
         for i, c in enumerate(continuous):
-            lo, hi = float(rng[f"lo{i}"]), float(rng[f"hi{i}"])
+            lo, hi = float(rng[f"lo{i}"] or 0), float(rng[f"hi{i}"] or 0)
             width = (hi - lo) / bins if hi > lo else 1.0
             b = F.least(F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
+            b = F.when(F.col(c).isNotNull(), b)
             pieces.append(both.select(F.lit(c).alias("attribute"), "data", b.cast("string").alias("bucket")))
     for c in discrete:
         pieces.append(both.select(F.lit(c).alias("attribute"), "data", F.col(c).cast("string").alias("bucket")))
@@ -89,8 +91,8 @@ def attribute_histogram(real: DataFrame, synthetic: DataFrame, discrete: Sequenc
 
 
 def probability_histogram(df: DataFrame, prob: str = "score", bins: int = 20) -> DataFrame:
-    """Counts of a probability in ``bins`` equal bins of [0, 1] (1.0 in the last bin)."""
-    b = F.least(F.floor(F.col(prob) * F.lit(bins)), F.lit(bins - 1)).cast("int")
+    """Counts of a probability in ``bins`` equal bins of [0, 1] (1.0 in the last bin, nulls in a null bin)."""
+    b = F.when(F.col(prob).isNotNull(), F.least(F.floor(F.col(prob) * F.lit(bins)), F.lit(bins - 1))).cast("int")
     return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -99,6 +101,7 @@ def calibration_curve(df: DataFrame, prob: str = "score", label: str = "label",
     """Per uniform bin (edges inclusive on the right, as a sorted search would place
     them) the mean predicted probability, the fraction of positives and the count."""
     b = F.least(F.greatest(F.ceil(F.col(prob) * F.lit(bins)) - F.lit(1), F.lit(0)), F.lit(bins - 1)).cast("int")
+    b = F.when(F.col(prob).isNotNull(), b)
     return df.groupBy(b.alias("bin")).agg(
         F.round(F.avg(prob), digits).alias("mean_pred"),
         F.round(F.avg(F.col(label).cast("double")), digits).alias("frac_pos"),

@@ -4,8 +4,9 @@ E1/E2: string columns become float codes in sorted category order and back.
 The dictionary (distinct values with their rank) is built distributed: the
 distinct values are range-partitioned, ranked per range and offset by a
 bounded table of range counts, then checkpointed so every later join sees the
-same codes.  The dictionary is broadcast only when its size, checked after
-the checkpoint, is under ``broadcast_rows``; otherwise the join shuffles.
+same codes.  Whether the dictionary is broadcast is left to Spark's check of its size
+in bytes; over ``broadcast_rows`` rows the join always shuffles.  Null values
+have a null code and null codes decode to null.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ class OrdinalEncoder:
 
     def _dict(self, c: str) -> DataFrame:
         d = self.dictionaries[c]
-        return F.broadcast(d) if self.sizes[c] <= self.broadcast_rows else d
+        # Spark broadcasts by its own check of the size in bytes; the row bound only keeps long dictionaries from it
+        return d if self.sizes[c] <= self.broadcast_rows else d.hint("merge")
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
@@ -71,7 +73,9 @@ class OrdinalEncoder:
             if c not in df.columns:
                 continue
             k = self.sizes[c]
-            code = F.least(F.greatest(F.round(_q(c)), F.lit(0.0)), F.lit(float(max(k - 1, 0))))
+            # greatest and least skip nulls: a null code (null or unseen value) stays null
+            clamped = F.least(F.greatest(F.round(_q(c)), F.lit(0.0)), F.lit(float(max(k - 1, 0))))
+            code = F.when(_q(c).isNotNull() & ~F.isnan(_q(c).cast("double")), clamped)
             d = self._dict(c).withColumnRenamed("__v", "__dec_v").withColumnRenamed("__code", "__dec_code")
             out = (
                 out.withColumn("__dec_key", code)

@@ -16,12 +16,22 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltspark.operators.positions import value_position
 from quiltspark.operators.sampling import head_n, top_up_samples
 from quiltspark.session import materialize
 
 ROW_ID = "__row_id"
 
 
+def complete_rows(train: DataFrame) -> DataFrame:
+    """The rows without nulls, with dense ids again if any row went."""
+    kept = train.na.drop()
+    if kept.count() == train.count():
+        return kept
+    ranked = value_position(kept, [ROW_ID], out="__dense")
+    return ranked.drop(ROW_ID).withColumnRenamed("__dense", ROW_ID).select(*train.columns)
+
+
 def row_index(train_ids: DataFrame, m: int, n: int) -> DataFrame:
     """``__row_id`` = 0..n-1 derived from a dense id column 0..m-1."""
     reps = max(1, -(-n // m))

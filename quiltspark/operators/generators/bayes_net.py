@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiltspark.functions.keys import seeded_key, uniform01
-from quiltspark.operators.generators.base import ROW_ID, Generator, row_index
+from quiltspark.operators.generators.base import ROW_ID, Generator, complete_rows, row_index
 from quiltspark.session import materialize, spread
 
 
@@ -169,7 +169,7 @@ class BayesNet(Generator):
         )
 
     def fit(self, train: DataFrame) -> "BayesNet":
-        train = spread(train.na.drop(), ROW_ID)
+        train = spread(complete_rows(train), ROW_ID)
         self._train_ids = train.select(ROW_ID)
         self._m = train.count()
         disc = self._discretise(train).persist()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltspark.functions.keys import key_to_long, seeded_key
-from quiltspark.operators.generators.base import ROW_ID, Generator, row_index
+from quiltspark.operators.generators.base import ROW_ID, Generator, complete_rows, row_index
 from quiltspark.operators.positions import value_position
 from quiltspark.session import materialize, spread
 
@@ -42,7 +42,7 @@ class CartSequential(Generator):
         return donors, counts
 
     def fit(self, train: DataFrame) -> "CartSequential":
-        train = spread(train.na.drop(), ROW_ID).persist()
+        train = spread(complete_rows(train), ROW_ID).persist()
         self._train_ids = train.select(ROW_ID)
         self._m = train.count()
         self.columns = [c for c in train.columns if c != ROW_ID]

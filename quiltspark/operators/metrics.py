@@ -31,8 +31,10 @@ def marginal_buckets(both: DataFrame, discrete: Sequence[str], continuous: Seque
                        *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(continuous)]).first()
         for i, c in enumerate(continuous):
             lo, hi = rng[f"lo{i}"], rng[f"hi{i}"]
+            lo, hi = (lo or 0.0), (hi or 0.0)
             width = (hi - lo) / bins if hi > lo else 1.0
             b = F.least(F.floor((_q(c).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+            b = F.when(_q(c).isNotNull(), b)  # nulls are a bucket of their own
             pieces.append(both.select(F.lit(c).alias("column"), "data", b.cast("long").cast("string").alias("bucket")))
     for c in discrete:
         pieces.append(both.select(F.lit(c).alias("column"), "data", _q(c).cast("string").alias("bucket")))
@@ -62,15 +64,17 @@ def hellinger(real: DataFrame, synthetic: DataFrame, discrete: Sequence[str], co
 
 
 def _pearson(df: DataFrame, a: str, b: str) -> float:
-    r = df.agg(F.coalesce(F.try_divide(F.covar_pop(_q(a).cast("double"), _q(b).cast("double")),
-                                       F.stddev_pop(_q(a).cast("double")) * F.stddev_pop(_q(b).cast("double"))),
-                          F.lit(0.0)).alias("r")).first()["r"]
+    both = df.where(_q(a).isNotNull() & _q(b).isNotNull())
+    r = both.agg(F.coalesce(F.try_divide(F.covar_pop(_q(a).cast("double"), _q(b).cast("double")),
+                                         F.stddev_pop(_q(a).cast("double")) * F.stddev_pop(_q(b).cast("double"))),
+                            F.lit(0.0)).alias("r")).first()["r"]
     return float(r or 0.0)
 
 
 def _eta(df: DataFrame, cat: str, num: str) -> float:
     """Correlation ratio of a numeric column given a categorical one."""
     y = _q(num).cast("double")
+    df = df.where(_q(num).isNotNull())  # a null category is a category
     g = df.groupBy(_q(cat).alias("__g")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"))
     tot = df.agg(F.avg(y).alias("mu"), (F.var_pop(y) * F.count(F.lit(1))).alias("sst")).first()
     if not tot["sst"]:
@@ -83,7 +87,8 @@ def _cramers_v(df: DataFrame, a: str, b: str) -> float:
     cells = df.groupBy(_q(a).alias("__a"), _q(b).alias("__b")).agg(F.count(F.lit(1)).alias("o"))
     ra = cells.groupBy("__a").agg(F.sum("o").alias("ra"))
     cb = cells.groupBy("__b").agg(F.sum("o").alias("cb"))
-    j = cells.join(ra, "__a").join(cb, "__b")
+    cells, ra, cb = cells.alias("c"), ra.alias("ra"), cb.alias("cb")
+    j = cells.join(ra, F.expr("c.__a <=> ra.__a")).join(cb, F.expr("c.__b <=> cb.__b"))  # null levels too
     r = j.agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s"), F.sum("o").alias("n")).first()
     k = min(ra.count(), cb.count())
     if k < 2 or not r["n"]:

@@ -54,11 +54,17 @@ def setup_training_data(
 
     Positives: one shared draw for all parts, so each row is a true row.
     Negatives: an independent draw per part, so rows are random recombinations.
-    ``k*n`` rows of each; columns ``j, label, <features of all parts>``.
+    ``k*n`` rows of each; columns ``j, label, <features of all parts>``.  Parts of
+    unequal length have no true rows to draw and raise a ValueError (checked
+    unless ``n``, the length of all of them, is given).
     """
     names = list(parts)
     first = parts[names[0]]
-    n = n if n is not None else first.count()
+    if n is None:
+        sizes = {name: p.count() for name, p in parts.items()}
+        if len(set(sizes.values())) > 1:
+            raise ValueError(f"parts differ in length: {sizes}")
+        n = sizes[names[0]]
     k = num_batches_of_bad_joins
     ids = first.select(ROW_ID)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import warnings
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +25,14 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
+def _pairwise_r(a: str, b: str):
+    """Pearson r over the rows where both columns hold a value; 0 without variance there."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+
+
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float]:
-    """Pearson r for every unordered pair, zero-variance pairs give 0.
+    """Pearson r for every unordered pair over its complete rows, zero-variance pairs give 0.
 
     ``coalesce(try_divide(covar_pop, stddev_pop*stddev_pop), 0)``: ANSI mode
     raises on ``corr`` of a constant column, so the ratio is spelled out.
@@ -38,12 +44,7 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str
     x = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     for start in range(0, len(pairs), PAIRS_PER_AGG):
         chunk = pairs[start : start + PAIRS_PER_AGG]
-        exprs = [
-            F.coalesce(
-                F.try_divide(F.covar_pop(f"c{i}", f"c{j}"), F.stddev_pop(f"c{i}") * F.stddev_pop(f"c{j}")), F.lit(0.0)
-            ).alias(f"r_{i}_{j}")
-            for i, j in chunk
-        ]
+        exprs = [_pairwise_r(f"c{i}", f"c{j}").alias(f"r_{i}_{j}") for i, j in chunk]
         row = x.agg(*exprs).first()
         for i, j in chunk:
             v = row[f"r_{i}_{j}"]
@@ -67,26 +68,22 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], absolute: bool = True
 def correlation_long(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> DataFrame:
     """A3 as a DataFrame ``(col_a, col_b, r)`` over all ordered pairs, diagonal 0.
 
-    Computed by one aggregate whose result (one row of d(d-1)/2 values) is
-    unpivoted with ``stack``; no driver round trip.
+    One aggregate per ``PAIRS_PER_AGG`` pairs (generated code has a size limit);
+    each gives one row that is unpivoted, without a driver round trip.
     """
     cols = list(cols)
     x = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    exprs, names = [], []
-    for i, j in combinations(range(len(cols)), 2):
-        r = F.coalesce(F.try_divide(F.covar_pop(f"c{i}", f"c{j}"), F.stddev_pop(f"c{i}") * F.stddev_pop(f"c{j}")), F.lit(0.0))
-        exprs.append((F.abs(r) if absolute else r).alias(f"r_{i}_{j}"))
-        names.append((i, j))
-    wide = x.agg(*exprs)
-    entries = []
-    for i, j in names:
-        entries += [F.lit(cols[i]), F.lit(cols[j]), F.col(f"r_{i}_{j}")]
-        entries += [F.lit(cols[j]), F.lit(cols[i]), F.col(f"r_{i}_{j}")]
-    for c in cols:
-        entries += [F.lit(c), F.lit(c), F.lit(0.0)]
-    n = len(entries) // 3
-    return wide.select(F.inline(F.array(*[F.struct(entries[3 * k].alias("col_a"), entries[3 * k + 1].alias("col_b"),
-                                                      entries[3 * k + 2].alias("r")) for k in range(n)])))
+    entry = lambda a, b, r: F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r"))
+    pairs = list(combinations(range(len(cols)), 2))
+    out = df.sparkSession.createDataFrame([(c, c, 0.0) for c in cols], "col_a string, col_b string, r double")
+    for start in range(0, len(pairs), PAIRS_PER_AGG):
+        chunk = pairs[start : start + PAIRS_PER_AGG]
+        r = {p: _pairwise_r(f"c{p[0]}", f"c{p[1]}") for p in chunk}
+        wide = x.agg(*[(F.abs(v) if absolute else v).alias(f"r_{i}_{j}") for (i, j), v in r.items()])
+        both = [(i, j) if turn else (j, i) for i, j in chunk for turn in (True, False)]
+        entries = [entry(cols[i], cols[j], F.col(f"r_{min(i, j)}_{max(i, j)}")) for i, j in both]
+        out = out.unionByName(wide.select(F.inline(F.array(*entries))))
+    return out
 
 
 def validate_prepared(columns: Sequence[str], splits: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
@@ -109,22 +106,21 @@ def _seeded_order(items: Sequence[str], seed: int, tag: str) -> list[str]:
     return sorted(items, key=lambda c: hashlib.md5(f"{seed}:{tag}:{c}".encode()).hexdigest())
 
 
+def split_sizes(n_columns: int, shares: Sequence[float]) -> list[int]:
+    """Whole parts of the proportional sizes; what is left over goes to the splits in turn."""
+    whole = [int(share / sum(shares) * n_columns) for share in shares]
+    turns, ahead = divmod(n_columns - sum(whole), len(whole))
+    return [size + turns + (place < ahead) for place, size in enumerate(whole)]
+
+
 def random_split_columns(columns: Sequence[str], split_ratios: Mapping[str, float], seed: int = 0) -> dict[str, list[str]]:
-    """Sizes ``int(ratio/sum*d)``; the remainder goes one by one to the first splits."""
-    cols = [c for c in columns if c != ROW_ID]
-    total = sum(split_ratios.values())
-    sizes = {s: int(r / total * len(cols)) for s, r in split_ratios.items()}
-    diff = len(cols) - sum(sizes.values())
-    if diff:
-        for i in range(diff):
-            sizes[list(sizes)[i % len(sizes)]] += 1
-        warnings.warn(f"split sizes adjusted to {sizes}", stacklevel=2)
-    order = _seeded_order(cols, seed, "columns")
-    out, at = {}, 0
-    for s, size in sizes.items():
-        out[s] = order[at : at + size]
-        at += size
-    return out
+    """Columns in seeded order, cut into consecutive runs of :func:`split_sizes`."""
+    order = _seeded_order([c for c in columns if c != ROW_ID], seed, "columns")
+    sizes = split_sizes(len(order), list(split_ratios.values()))
+    ends = list(accumulate(sizes))
+    if any(size * sum(split_ratios.values()) != share * len(order) for size, share in zip(sizes, split_ratios.values(), strict=True)):
+        warnings.warn(f"{len(order)} columns do not divide by the shares; the splits get {sizes}", stacklevel=2)
+    return {name: order[end - size : end] for name, size, end in zip(split_ratios, sizes, ends, strict=True)}
 
 
 def ratio_split(columns: Sequence[str], shares: Sequence[tuple[str, float]], seed: int = 0):
@@ -142,22 +138,17 @@ def correlated_distribute_columns(
     column).  Columns left once no non-zero correlation remains go round-robin.
     """
     cols = [c for c in columns if c != ROW_ID]
-    m = correlation_matrix(df, cols, absolute=True) if corr is None else corr.copy()
+    m = correlation_matrix(df, cols, absolute=True) if corr is None else corr
     rng = np.random.default_rng(seed)
-    splits: dict[str, list[str]] = {f"split{i}": [] for i in range(num_splits)}
-    remaining = list(range(len(cols)))
-    while remaining:
-        pair = largest_pair(m, remaining)
-        if pair is None:
-            for i, c in enumerate(remaining):
-                splits[f"split{i % num_splits}"].append(cols[c])
-            break
-        a, b = pair
-        remaining = [c for c in remaining if c not in (a, b)]
-        r1, r2 = sorted(rng.choice(num_splits, size=2, replace=False))
-        splits[f"split{r1}"].append(cols[a])
-        splits[f"split{r2}"].append(cols[b])
-    return splits
+    home: dict[int, int] = {}
+    # strongest first, equal ones by place; a pair counts while neither column has a home
+    for a, b in sorted(combinations(range(len(cols)), 2), key=lambda p: (-m[p], p)):
+        if a not in home and b not in home:
+            low, high = np.sort(rng.choice(num_splits, size=2, replace=False))
+            home.update({a: int(low), b: int(high)})
+    alone = [c for c in range(len(cols)) if c not in home]
+    placed = sorted(home.items(), key=lambda x: list(home).index(x[0])) + [(c, k % num_splits) for k, c in enumerate(alone)]
+    return {f"split{s}": [cols[c] for c, at in placed if at == s] for s in range(num_splits)}
 
 
 def largest_pair(m: np.ndarray, remaining: Sequence[int]):

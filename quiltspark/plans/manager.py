@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quiltspark.operators import splits as C
 from quiltspark.operators.encode import OrdinalEncoder, restore_column_order, to_numeric
-from quiltspark.operators.generators.base import fan_out
+from quiltspark.operators.generators.base import complete_rows, fan_out
 from quiltspark.operators.joins import POS, ROW_ID, ValidatedJoin, concatenate, random_join
 from quiltspark.operators.positions import with_dense_id
 from quiltspark.session import materialize
@@ -77,21 +77,22 @@ class DisjointSynthesizer:
         if ROW_ID not in df.columns:
             df = with_dense_id(df, seed=self.seed)
         self.columns = [c for c in self.original.columns if c != ROW_ID]
-        self.ts_cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")]
         self.encoder = OrdinalEncoder().fit(df)
-        enc = materialize(to_numeric(self.encoder.transform(df)).na.drop(), "encoded")
+        enc = materialize(complete_rows(to_numeric(self.encoder.transform(df))), "encoded")
         self.encoded = enc
-        if self.models and isinstance(self.models[0], tuple):  # [(model, columns), ...]
+        if self.models and isinstance(self.models[0], tuple) and isinstance(self.models[0][1], (int, float)):  # C4: [(model, share), ...]
+            splits, self.split_models = C.ratio_split(self.columns, self.models, seed=self.seed)
+        elif self.models and isinstance(self.models[0], tuple):  # [(model, columns), ...]
             splits = {f"split{i}": list(cols) for i, (_, cols) in enumerate(self.models)}
             self.split_models = {f"split{i}": m for i, (m, _) in enumerate(self.models)}
         else:
             k = len(self.models)
             if isinstance(self.prepared_splits, Mapping):
                 splits = dict(self.prepared_splits)
-            elif self.prepared_splits == "correlated":
-                splits = C.correlated_distribute_columns(enc, self.columns, k, seed=self.seed)
-            else:
+            elif self.prepared_splits is None:
                 splits = C.random_split_columns(self.columns, {f"split{i}": 1 for i in range(k)}, seed=self.seed)
+            else:  # C5: a mode by name, anything unknown raises
+                splits = C.auto_split(enc, self.columns, self.prepared_splits, k, seed=self.seed)
             self.split_models = dict(zip(splits, self.models))
         self.splits = C.validate_prepared(enc.columns, splits)
         self.training_parts = C.project_splits(enc, self.splits)
@@ -106,24 +107,30 @@ class DisjointSynthesizer:
         if isinstance(strategy, ValidatedJoin):
             if not strategy.validator.pre_fit:
                 strategy.validator.fit(self.training_parts, num_batches_of_bad_joins=2, seed=self.seed)
-            strategy.max_size = n
             to_generate = (self.oversample or 3) * n
         elif self.oversample:
             to_generate = self.oversample * n
         self.synthetic_parts = fan_out(self.training_parts, self.split_models, to_generate, seed=self.seed)
-        joined = self.conduct_joining()
+        joined = self.conduct_joining(max_size=n if isinstance(strategy, ValidatedJoin) else None)
         self.synthetic = self.postprocess(joined)
         return self.synthetic
 
-    def conduct_joining(self, parts: Mapping[str, DataFrame] | None = None) -> DataFrame:
-        """H3: join stored (or given) parts with the current strategy; None = concatenation."""
+    def conduct_joining(self, parts: Mapping[str, DataFrame] | None = None, max_size: int | None = None) -> DataFrame:
+        """H3: join stored (or given) parts with the current strategy; None = concatenation.
+        ``max_size`` is for a validated join, whose own setting stays as it is."""
         strategy = self._strategy if self._strategy is not None else Concatenating()
-        return strategy.join(dict(parts if parts is not None else self.synthetic_parts))
+        given = dict(parts if parts is not None else self.synthetic_parts)
+        return strategy.join(given) if max_size is None else strategy.join(given, max_size=max_size)
 
     def postprocess(self, joined: DataFrame) -> DataFrame:
         """P2 + E2: original column order and categories."""
         numeric = joined.select(ROW_ID, *[F.col(f"`{c}`") for c in self.columns])
         decoded = self.encoder.inverse_transform(numeric)
-        for c in self.ts_cols:  # recorded inverse of the epoch-seconds rule
-            decoded = decoded.withColumn(c, F.timestamp_seconds(F.col(f"`{c}`")))
+        for f in self.original.schema.fields:  # the recorded types of the training table
+            kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+            if kind in ("timestamp", "timestamp_ntz", "date"):  # inverse of the epoch-seconds rule
+                decoded = decoded.withColumn(f.name, F.timestamp_seconds(c).cast(f.dataType))
+            elif kind in ("boolean", "decimal"):
+                whole = F.round(c).cast("int") if kind == "boolean" else c
+                decoded = decoded.withColumn(f.name, whole.cast(f.dataType))
         return restore_column_order(decoded, [ROW_ID, *self.columns])

@@ -58,12 +58,9 @@ N_ORDERS = "(SELECT count(*) FROM orders)"
 # ---------------------------------------------------------------------------
 
 
-@register("S2_scan_parquet", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders "
-          "WHERE o_orderstatus = 'F'")
+@register("S2_scan_parquet", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
 def q_scan(spark, sf):
-    return table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
-    )
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 
 
 @register("P1_project_splits", "SELECT o_orderkey AS __row_id, o_custkey, o_orderpriority FROM orders")
@@ -125,12 +122,12 @@ def q_bootstrap(spark, sf):
 
 _M3_SQL = f"""
 WITH d AS (SELECT o_orderkey * 2 + r.range AS j FROM orders CROSS JOIN range(2) r),
+     e AS (SELECT j, {draw_sql(SEED, 'pos', 'j', N_ORDERS)} AS kp, {draw_sql(SEED, 'neg:split0', 'j', N_ORDERS)} AS k0,
+                  {draw_sql(SEED, 'neg:split1', 'j', N_ORDERS)} AS k1 FROM d),
      pos AS (SELECT j, 1 AS label, o.o_orderstatus, o.o_totalprice, o.o_custkey, o.o_orderpriority
-             FROM d JOIN orders o ON o.o_orderkey = {draw_sql(SEED, 'pos', 'd.j', N_ORDERS)}),
-     n0 AS (SELECT j, o.o_orderstatus, o.o_totalprice
-             FROM d JOIN orders o ON o.o_orderkey = {draw_sql(SEED, 'neg:split0', 'd.j', N_ORDERS)}),
-     n1 AS (SELECT j, o.o_custkey, o.o_orderpriority
-             FROM d JOIN orders o ON o.o_orderkey = {draw_sql(SEED, 'neg:split1', 'd.j', N_ORDERS)}),
+             FROM e JOIN orders o ON o.o_orderkey = e.kp),
+     n0 AS (SELECT j, o.o_orderstatus, o.o_totalprice FROM e JOIN orders o ON o.o_orderkey = e.k0),
+     n1 AS (SELECT j, o.o_custkey, o.o_orderpriority FROM e JOIN orders o ON o.o_orderkey = e.k1),
      neg AS (SELECT j, 0 AS label, o_orderstatus, o_totalprice, o_custkey, o_orderpriority FROM n0 JOIN n1 USING (j))
 SELECT * FROM pos UNION ALL SELECT * FROM neg
 """
@@ -313,11 +310,8 @@ def q_accumulate(spark, sf):
 
 @register("J3_validated_join")
 def q_validated_join(spark, sf):
-    """Full round loop with the fixed scorer (rows-only check: a driver loop)."""
-    parts = orders_parts(spark, sf)
-    n = parts["split0"].count()
-    vj = J.ValidatedJoin(SCORER, behaviour="adaptive", max_size=n // 3, seed=SEED, max_iter=30)
-    return vj.join(parts)
+    """Round loop of the adaptive preset, 30 rounds, no bound on rows (rows-only check: a driver loop)."""
+    return J.ValidatedJoin(SCORER, behaviour="adaptive", seed=SEED, max_iter=30).join(orders_parts(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -516,9 +510,10 @@ def q_complement(spark, sf):
 
 @register("S6_load_and_union", "SELECT o_orderkey AS __row_id, o_custkey, o_totalprice FROM orders")
 def q_load_union(spark, sf):
-    real, syn = _halves(spark, sf)
-    cols = [ROW_ID, "o_custkey", "o_totalprice"]
-    return real.select(*cols).unionByName(syn.select(*cols))
+    cols, base = [ROW_ID, "o_custkey", "o_totalprice"], IO.scratch_path(spark, "halves")
+    for df, name in zip(_halves(spark, sf), ("train", "test"), strict=True):
+        df.select(*cols).write.parquet(f"{base}_{name}")
+    return IO.load_and_union(spark, base)
 
 
 def _bins_sql(col, bins=10):
@@ -891,7 +886,7 @@ def q_append_log(spark, sf):
 from quiltspark.operators.generators.base import Identity, generate_synthetic_data  # noqa: E402
 from quiltspark.operators.generators.bayes_net import BayesNet  # noqa: E402
 from quiltspark.plans import harness as H  # noqa: E402
-from quiltspark.plans.manager import DisjointSynthesizer, RandomJoining  # noqa: E402
+from quiltspark.plans.manager import Concatenating, DisjointSynthesizer, RandomJoining  # noqa: E402
 
 BN_COLS = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"]
 BN_CATEGORICAL = ["o_orderstatus", "o_orderpriority"]
@@ -1024,13 +1019,13 @@ def q_classifier_validator(spark, sf):
 
 @register("V6_density_validator")
 def q_density_validator(spark, sf):
-    v = V.DensityValidator(seed=SEED, max_iter=30).fit(orders_parts(spark, sf, _NUM_SPLITS), number_of_k_fold=0)
+    v = V.DensityValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS))
     return _validated_round(spark, sf, v)
 
 
 @register("V8_isolation_forest_validator")
 def q_iforest_validator(spark, sf):
-    v = V.IsolationForestValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS), number_of_k_fold=0)
+    v = V.IsolationForestValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS))
     return _validated_round(spark, sf, v)
 
 
@@ -1101,7 +1096,7 @@ def q_mia(spark, sf):
     """MIA recall / precision of a random re-join of the real half, against the holdout half."""
     real, holdout = _halves(spark, sf)
     syn = RandomJoining(SEED).join({"a": real.select(ROW_ID, "o_totalprice"), "b": real.select(ROW_ID, "o_custkey")})
-    r = U.membership_inference(real, syn, holdout, ["o_totalprice", "o_custkey"], rounds=2, seed=SEED)
+    r = U.membership_inference(real, syn, holdout, ["o_totalprice", "o_custkey"], seed=SEED)
     return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "metric string, value double")
 
 
@@ -1132,8 +1127,8 @@ def _h_parts(real):
 
 @register("H5_H6_repeated_experiment")
 def q_repeated(spark, sf):
-    """Three seeded random re-joins of the real half, each evaluated; mean / sem per metric plus time."""
-    real, _ = _halves(spark, sf)
+    """Three seeded random re-joins of the table, each evaluated; mean / sem per metric plus time."""
+    real = orders_with_id(spark, sf)
     parts = _h_parts(real)
     gen = lambda df, rep: RandomJoining(SEED + rep).join(parts)
     return H.repeated_experiment(spark, real, gen, _h_eval(real), num_reps=3, timed=True)
@@ -1142,20 +1137,16 @@ def q_repeated(spark, sf):
 @register("H8_validator_comparison")
 def q_validator_comparison(spark, sf):
     """Same parts, concatenation baseline vs. a validated join with the fixed scorer."""
-    real, _ = _halves(spark, sf)
-    parts = _h_parts(real)
-    n = real.count()
+    real = orders_with_id(spark, sf)
     rows = H.validator_comparison(
-        parts, {"linear": SCORER},
-        lambda v: J.ValidatedJoin(v, behaviour="adaptive", max_size=n // 4, seed=SEED, max_iter=6),
-        _h_eval(real), baseline=RandomJoining(SEED))
+        _h_parts(real), {"linear": SCORER}, lambda v: J.ValidatedJoin(v, behaviour="adaptive", seed=SEED, max_iter=10), _h_eval(real), baseline=Concatenating())
     return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "validator string, metric string, value double")
 
 
 @register("H9_run_grid")
 def q_run_grid(spark, sf):
     """Resumable grid over seeds and strategies: a second call finds nothing missing."""
-    real, _ = _halves(spark, sf)
+    real = orders_with_id(spark, sf)
     parts = _h_parts(real)
     path = IO.scratch_path(spark, "run-grid-log")
 

@@ -55,12 +55,12 @@ def read_splits(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 
 def load_and_union(spark: SparkSession, base_path: str, reader=None) -> DataFrame:
-    """Read ``<base>_train`` and ``<base>_test`` and stack them; fall back to ``<base>``."""
+    """Read ``<base>_train`` and ``<base>_test`` and stack them; without both, ``<base>`` alone."""
     reader = reader or (lambda p: spark.read.parquet(p))
-    try:
-        return reader(f"{base_path}_train").unionByName(reader(f"{base_path}_test"))
-    except Exception:  # one file only
-        return reader(base_path)
+    both = [f"{base_path}_train", f"{base_path}_test"]
+    if all(exists(spark, p) for p in both):
+        return reader(both[0]).unionByName(reader(both[1]))
+    return reader(base_path)
 
 
 def read_result_sets(result_sets: Mapping[str, DataFrame], value: str = "mean", metric: str = "metric") -> DataFrame:
