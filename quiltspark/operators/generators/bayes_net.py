@@ -23,6 +23,7 @@ attribute's marginal.
 from __future__ import annotations
 
 import math
+import secrets
 from itertools import combinations
 
 import numpy as np
@@ -43,8 +44,10 @@ class BayesNet(Generator):
     name = "bayes_net"
 
     def __init__(self, k: int = 2, categorical_threshold: int = 10, histogram_size: int = 20, epsilon: float = 0.0,
-                 seed: int = 0):
+                 seed: int = 0, noise_seed: int | None = None):
         self.k = k
+        # noise must not follow from a public seed; a test may ask for a fixed one
+        self.noise_seed = secrets.randbits(62) if noise_seed is None else noise_seed
         self.categorical_threshold = categorical_threshold
         self.histogram_size = histogram_size
         self.epsilon = epsilon
@@ -109,7 +112,7 @@ class BayesNet(Generator):
         )
 
     def _learn_structure(self, disc: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
-        rng = np.random.default_rng(self.seed)
+        rng = np.random.default_rng(self.noise_seed if self.epsilon > 0 else self.seed)
         cols = list(self.columns)
         root = cols[int(rng.integers(len(cols)))]
         network: list[tuple[str, tuple[str, ...]]] = [(root, ())]
@@ -133,6 +136,12 @@ class BayesNet(Generator):
             visited.append(x)
         return network
 
+    def count_noise_scale(self) -> float:
+        """Laplace scale of a released count.  Released are two tables per column, a
+        conditional and a marginal, that share half of epsilon; one changed row moves
+        a table's counts by 2 in all.  (The other half goes to the structure.)"""
+        return 2.0 * (2 * len(self.columns)) / (self.epsilon / 2.0)
+
     # -- conditionals -------------------------------------------------------
     def _conditional(self, disc: DataFrame, x: str, parents: tuple[str, ...], salt: int) -> DataFrame:
         """``(pk, vals, cum)``: cumulative distribution of ``x`` per parent key."""
@@ -145,9 +154,9 @@ class BayesNet(Generator):
             for d in dims[1:]:  # parameter-sized grid (<= bins^(k+1) cells), built by explode
                 grid = grid.withColumn(d, F.explode(F.sequence(F.lit(0), F.lit(self.cardinality(d) - 1))))
             counts = grid.join(counts, dims, "left").fillna(0.0, ["n"])
-            scale = 2.0 * max(len(self.columns) - self.k, 1) / (self.epsilon / 2.0)
+            scale = self.count_noise_scale()
             cell = F.concat_ws("|", F.lit(x), *[F.col(d).cast("string") for d in dims])
-            u = uniform01(seeded_key(self.seed + salt, "dp", cell)) - F.lit(0.5)
+            u = uniform01(seeded_key(self.noise_seed + salt, "dp", cell)) - F.lit(0.5)
             lap = -F.lit(scale) * F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u))
             counts = counts.withColumn("n", F.greatest(F.col("n") + lap, F.lit(0.0)))
         pk = F.concat_ws("|", *[_q(p).cast("string") for p in parents]) if parents else F.lit("")
@@ -220,7 +229,10 @@ class BayesNet(Generator):
 
 
 class BayesNetDP(BayesNet):
-    """The same with epsilon = 0.1, half for structure, half for the counts."""
+    """The same with epsilon = 0.1, half for structure, half for the counts.
+
+    The number of rows, the category lists and the ranges are taken as public
+    and are not noised."""
 
     name = "bayes_net_dp"
 

@@ -29,6 +29,7 @@ from quiltspark.functions.mathx import sigmoid
 from quiltspark.operators.joins import JoinBehaviour, feature_columns
 from quiltspark.operators.positions import kth_value
 from quiltspark.operators.sampling import setup_training_data
+from quiltspark.session import spread
 
 log = logging.getLogger(__name__)
 
@@ -134,7 +135,9 @@ class ClassifierValidator(Validator):
         self.calibrator_kind = None
 
     def _estimator(self):
-        if self.estimator is not None:
+        if callable(self.estimator):  # a backend that needs the number of features
+            est = self.estimator(len(self.features))
+        elif self.estimator is not None:
             est = self.estimator.copy()
         else:
             est = RandomForestClassifier(numTrees=100, maxDepth=5, seed=self.seed)
@@ -147,9 +150,7 @@ class ClassifierValidator(Validator):
         train = setup_training_data(parts, num_batches_of_bad_joins, seed=seed).withColumn(
             "label", F.col("label").cast("double")
         )
-        # deterministic layout for MLlib's seeded but layout-dependent sampling
-        n_parts = max(train.rdd.getNumPartitions(), train.sparkSession.sparkContext.defaultParallelism)
-        train = train.repartition(n_parts, "j").sortWithinPartitions("j").persist()
+        train = spread(train, "j").persist()
         est = self._estimator()
         pipe = Pipeline(stages=[assemble(self.features), est])
         if self.param_grid:
@@ -192,7 +193,11 @@ class ClassifierValidator(Validator):
 
     def _raw_scores(self, df: DataFrame) -> DataFrame:
         out = self.model.transform(df)
-        return out.withColumn("__p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        if "probability" in out.columns:
+            p = vector_to_array("probability")[1]
+        else:  # a margin, as of a linear SVM; calibration (V4) may refine it
+            p = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        return out.withColumn("__p", p).drop("features", "rawPrediction", "probability", "prediction")
 
     def _fit_calibrator(self, raw: DataFrame):
         if self.calibration == "isotonic":
@@ -254,7 +259,7 @@ class ClassifierValidator(Validator):
 
 
 def classifier_backend(name: str, seed: int = 0):
-    """The reference's classifier families mapped to MLlib estimators."""
+    """The reference's classifier families mapped to MLlib estimators, for ``ClassifierValidator``."""
     from pyspark.ml import classification as C
 
     if name == "random_forest":
@@ -264,9 +269,8 @@ def classifier_backend(name: str, seed: int = 0):
     if name == "logistic":
         return C.LogisticRegression(maxIter=100)
     if name == "mlp":
-        raise ValueError("use MultilayerPerceptronClassifier(layers=[d, 100, 100, 2]) with the feature count d")
-    if name == "linear_svm":
-        # LinearSVC has no probability; wrap its raw margin with sigmoid calibration
+        return lambda n_features: mlp_backend(n_features, seed)
+    if name == "linear_svm":  # no probability: the validator scores its margin
         return C.LinearSVC(maxIter=100)
     raise ValueError(f"unknown backend {name!r}")
 

@@ -89,3 +89,25 @@ def test_split_sizes_and_correlated_placement():
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert sorted(map(len, C.random_split_columns(list("abcd"), {"x": 1, "y": 1}).values())) == [2, 2]
+
+
+def test_noise_covers_every_released_table(spark):
+    from quiltspark.operators.generators.bayes_net import BayesNetDP
+
+    train = spark.createDataFrame([(i, float(i % 3), float(i % 5)) for i in range(60)], "__row_id long, a double, b double")
+    net = BayesNetDP(epsilon=0.5, noise_seed=1).fit(train)
+    released = len(net.conditionals) + len(net.marginals)
+    assert net.count_noise_scale() == pytest.approx(2 * released / 0.25)
+    assert BayesNetDP().noise_seed != BayesNetDP().noise_seed
+    assert net.sample(40, seed=2).count() == 40
+
+
+@pytest.mark.parametrize("name", ["linear_svm", "mlp", "logistic"])
+def test_backends_fit_and_score(spark, name):
+    from quiltspark.operators.validators import ClassifierValidator, classifier_backend
+
+    a = spark.range(80).select(F.col("id").alias("__row_id"), (F.col("id") % 4).cast("double").alias("x"))
+    b = spark.range(80).select(F.col("id").alias("__row_id"), (F.col("id") % 4).cast("double").alias("y"))
+    v = ClassifierValidator(classifier_backend(name), seed=1).fit({"a": a, "b": b})
+    got = v.score(J.random_join({"a": a, "b": b}, 2)).collect()
+    assert len(got) == 80 and all(0 <= r["score"] <= 1 for r in got)
