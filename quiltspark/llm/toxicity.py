@@ -2,20 +2,23 @@
 
 A word's vector is the mean of the vectors of its character n-grams (and of
 the whole word) in a hashed table, so a misspelling nobody has seen shares most
-of its vector with the word.  A text is cut into windows of ``WORDS`` words; a
-window's vector is the mean over its ``WORDS`` places (a word that the window
-repeats and a place after the text's end count as zero vectors, so neither one
-word said again and again nor a short text weighs more than its distinct
-words), and a linear softmax over it gives the window's probability.  The text's score is that of its highest window,
-so a few toxic words in a very long text are not averaged away.  Table and
-softmax are trained jointly in numpy by mini-batches: first on all windows
-under their text's label, then on each text's highest window.
+of its vector with the word.  Every run of ``WORDS`` words of a text is a window
+(a shorter text is one); a window's vector is the mean over its ``WORDS`` places
+(a word that the window repeats and a place after the text's end count as zero
+vectors, so neither one word said again and again nor a short text weighs more
+than its distinct words), and a linear softmax over it gives the window's
+probability.  The text's score is that of its highest window, so a few toxic
+words in a very long text are not averaged away, wherever they stand.  Table and
+softmax are trained jointly in numpy by mini-batches: first on windows drawn all
+over the texts (one of every ``WORDS`` starts) under their text's label, then on
+each text's highest window.
 
 The model is fitted on a bounded sample of labelled rows: at most
 ``TRAIN_ROWS`` rows of either class, in hash order of the id, and of those the
 whole texts up to ``TRAIN_CHARS`` characters in all.  Everything is scored.
 Once the softmax is linear, a word adds one number, so scoring is a cached
-look-up per word.
+look-up per word and a running sum.  The numbers are multiples of ``UNIT``, so
+that running sums are exact and a score does not depend on the texts beside it.
 
 A null, empty or blank text has no window and gets the softmax of the bias
 alone.  Labels that are null, and ids labelled differently (then 1 wins), are
@@ -46,6 +49,7 @@ TRAIN_ROWS = (6_000, 3_000)  # clean, toxic
 TRAIN_CHARS = 40_000_000
 STEPS = 400  # at least, also on a small sample
 CACHE_WORDS = 1_000_000
+UNIT = 2.0**-32
 _EDGE = ".,;:!?\"'()[]{}|<>-–—…«»„“”‘’¡¿"
 
 
@@ -96,6 +100,27 @@ def _softmax(diff: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(diff, -50, 50)))
 
 
+def entered(seq: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each place of texts that stand one after another, the first place at which a
+    window can start that holds it and no earlier place of the same word."""
+    gap = np.full(len(seq), WORDS, np.int32)
+    for k in range(min(WORDS, len(seq)) - 1, 0, -1):
+        np.putmask(gap[k:], seq[k:] == seq[:-k], k)
+    return np.maximum(np.arange(1, len(seq) + 1) - gap, np.repeat(start, length))
+
+
+def window_sums(value: np.ndarray, first: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each place the sum over the distinct words of the window that starts there;
+    -inf where the text goes on for less than a window (but for its first place)."""
+    value = np.rint(value / UNIT) * UNIT
+    change = np.bincount(first, value, len(value))
+    change[1:] -= value[:-1]
+    sums = np.cumsum(change)
+    place = np.arange(len(value))
+    sums[place > np.repeat(np.maximum(start, start + length - WORDS), length)] = -np.inf
+    return sums
+
+
 def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9, seed: int = 11) -> Model:
     """Fit table and softmax jointly (Adagrad)."""
     y = np.array(toxic, float)
@@ -105,26 +130,33 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
     bucket = Buckets()
-    flat, size, words, length, doc_of = array("i"), array("i"), array("i"), array("i"), array("i")
+    flat, size, seq, length, doc = array("i"), array("i"), array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
-        seq = (text or "").split()
-        for a in range(0, len(seq), WORDS):
-            distinct = dict.fromkeys(seq[a : a + WORDS])
-            for w in distinct:
-                at = ids.get(w)
-                if at is None:
-                    at = ids[w] = len(ids)
-                    found = [bucket[g] for g in grams(w)]
-                    flat.extend(found)
-                    size.append(len(found))
-                words.append(at)
-            length.append(len(distinct))
-            doc_of.append(d)
+        words = (text or "").split()
+        if not words:
+            continue
+        for w in words:
+            at = ids.get(w)
+            if at is None:
+                at = ids[w] = len(ids)
+                found = [bucket[g] for g in grams(w)]
+                flat.extend(found)
+                size.append(len(found))
+            seq.append(at)
+        length.append(len(words))
+        doc.append(d)
     del ids, bucket
-    flat, size, words, length, doc_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (flat, size, words, length, doc_of))
+    flat, size, seq, length, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (flat, size, seq, length, doc))
     if not len(length):
         return train([], [], base_rate)
-    at, start = (np.concatenate(([0], np.cumsum(x)))[:-1] for x in (size, length))
+    at, start = (np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[:-1] for x in (size, length))
+    first, end = entered(seq, start, length).astype(np.int32), np.repeat(start + length, length).astype(np.int32)
+    # every WORDS starts of a text are a block
+    blocks = -(-np.maximum(length - WORDS + 1, 1) // WORDS)
+    of = np.repeat(np.arange(len(length)), blocks)
+    block = start[of] + WORDS * (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    room = np.minimum(WORDS, np.maximum(start + length - WORDS, start)[of] + 1 - block)
+    doc_of = doc[of]
     owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     table = rng.normal(0, 0.05, (BUCKETS, DIMS))
     soft = rng.normal(0, 0.05, (DIMS, 2))
@@ -134,18 +166,27 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
     def window_logits() -> np.ndarray:
         value = table @ (soft[:, 1] - soft[:, 0])
         per_word = np.bincount(owner, value[flat], len(size)) / np.maximum(size, 1)
-        return np.add.reduceat(per_word[words], start) / WORDS + bias[1] - bias[0]
+        return window_sums(per_word[seq], first, start, length) / WORDS + bias[1] - bias[0]
 
-    def step(batch: np.ndarray, rate: float) -> None:
+    def highest(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The start of the highest window of each block, and its logit."""
+        best = np.maximum.reduceat(logits, block)
+        top = np.flatnonzero(logits == np.repeat(best, np.diff(np.append(block, len(seq)))))
+        return top[np.searchsorted(top, block)], best
+
+    def step(batch: np.ndarray, label: np.ndarray, rate: float) -> None:
         nonlocal table, soft, bias
-        n = length[batch]
-        w = words[np.repeat(start[batch] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        place = batch[:, None] + np.arange(WORDS)
+        within = place < end[batch][:, None]
+        place[~within] = 0
+        within &= first[place] <= batch[:, None]
+        n, w = within.sum(1), seq[place[within]]
         k = size[w]
         where = flat[np.repeat(at[w] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())]
         share = np.repeat(1 / (np.maximum(k, 1) * WORDS), k)
         window = np.repeat(np.repeat(np.arange(len(batch)), n), k)
         x = np.stack([np.bincount(window, table[where, j] * share, len(batch)) for j in range(DIMS)], 1)
-        wrong = (_softmax(x @ (soft[:, 1] - soft[:, 0]) + bias[1] - bias[0]) - y[doc_of[batch]]) / len(batch)
+        wrong = (_softmax(x @ (soft[:, 1] - soft[:, 0]) + bias[1] - bias[0]) - label) / len(batch)
         g = np.bincount(where, wrong[window] * share, BUCKETS)[:, None] * (soft[:, 1] - soft[:, 0])[None, :]
         half = x.T @ wrong
         gs, gb = np.stack([-half, half], 1) + 1e-5 * soft, np.array([-wrong.sum(), wrong.sum()])
@@ -156,25 +197,31 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
         soft -= rate * gs / np.sqrt(heat_s)
         bias -= rate * gb / np.sqrt(heat_b)
 
-    order = np.arange(len(length))
+    order = np.arange(len(block))
+    clean = order[y[doc_of] == 0]
     epoch = steps = 0
     while epoch < epochs or steps < STEPS:
+        at_of = block + (rng.random(len(block)) * room).astype(np.int64)
         if epoch < 2:
             chosen = order if len(order) <= 60_000 else rng.choice(order, 60_000, replace=False)
+            batch, label = at_of[chosen], y[doc_of[chosen]]
         else:
-            logits = window_logits()
+            high, logits = highest(window_logits())
             ranked = np.lexsort((logits, doc_of))
             top = ranked[np.append(np.flatnonzero(np.diff(doc_of[ranked])), len(ranked) - 1)]
-            clean = order[y[doc_of] == 0]
             hard = clean[np.argsort(logits[clean])[-len(top) :]]
-            chosen = np.unique(np.concatenate([top, hard, rng.choice(clean, min(len(clean), len(top)), replace=False)]))
-        chosen = rng.permutation(chosen)
-        size_of = min(512, max(32, len(chosen) // 16))
-        for a in range(0, len(chosen), size_of):
-            step(chosen[a : a + size_of], 0.3)
+            some = rng.choice(clean, min(len(clean), len(top)), replace=False)
+            best = np.unique(np.concatenate([top, hard]))
+            batch = np.concatenate([high[best], at_of[some]])
+            label = y[doc_of[np.concatenate([best, some])]]
+        mixed = rng.permutation(len(batch))
+        batch, label = batch[mixed], label[mixed]
+        size_of = min(512, max(32, len(batch) // 16))
+        for a in range(0, len(batch), size_of):
+            step(batch[a : a + size_of], label[a : a + size_of], 0.3)
             steps += 1
         epoch += 1
-    logits = window_logits()
+    logits = highest(window_logits())[1]
     best = np.full(len(texts), bias[1] - bias[0])
     np.maximum.at(best, doc_of, logits)
     return Model((table @ (soft[:, 1] - soft[:, 0])).tolist(), float(bias[1] - bias[0]) - fairest_cut(best, y))
@@ -225,21 +272,35 @@ class Scorer:
     """Keeps what it has worked out for a word; one per worker process and model."""
 
     def __init__(self, model: Model):
-        self.bias, self.gram, self.word = model.bias, Weights(model.weight), {}
+        self.bias, self.gram, self.word, self.value = model.bias, Weights(model.weight), {}, array("d")
 
-    def logit(self, text: str | None) -> float:
-        words = (text or "").split()
-        if not words:
-            return self.bias
-        known, of = self.word, self.gram.__getitem__
-        if len(known) > CACHE_WORDS:
-            known.clear()
+    def _learn(self, words: set[str]) -> None:
+        if len(self.word) > CACHE_WORDS:
+            self.word, self.value = {}, array("d")
+        of = self.gram.__getitem__
         for w in words:
-            if w not in known:
+            if w not in self.word:
                 found = grams(w)
-                known[w] = sum(map(of, found)) / len(found) if found else 0.0
-        get = known.__getitem__
-        return max(sum(map(get, set(words[a : a + WORDS]))) for a in range(0, len(words), WORDS)) / WORDS + self.bias
+                self.word[w] = len(self.value)
+                self.value.append(sum(map(of, found)) / len(found) if found else 0.0)
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        split = [(t or "").split() for t in texts]
+        length = np.array([len(x) for x in split], np.int64)
+        words = [w for x in split for w in x]
+        out = np.full(len(texts), self.bias)
+        if words:
+            self._learn(set(words))
+            seq = np.fromiter(map(self.word.__getitem__, words), np.int32, len(words))
+            some = length > 0
+            n = length[some]
+            start = np.cumsum(n) - n
+            sums = window_sums(np.frombuffer(self.value)[seq], entered(seq, start, n), start, n)
+            out[some] = np.maximum.reduceat(sums, start) / WORDS + self.bias
+        return out
+
+    def logit(self, text: str | None) -> float:
+        return float(self.logits([text])[0])
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -256,12 +317,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if mark not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[mark] = Scorer(model)
-        logit = _SCORERS[mark].logit
+        logits = _SCORERS[mark].logits
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                logits = np.array([logit(t) for t in some.column("text").to_pylist()])
-                p = _softmax(logits)
+                p = _softmax(logits(some.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
