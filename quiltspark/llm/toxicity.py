@@ -20,7 +20,9 @@ Once the softmax is linear, a word adds one number, so scoring is a cached
 look-up per word and a running sum.  The numbers are multiples of ``UNIT``, so
 that running sums are exact and a score does not depend on the texts beside it.
 
-A null, empty or blank text has no window and gets the softmax of the bias
+A word is what stands between white space; one of more than ``LONGEST`` signs (a
+text of a script without spaces, for example) is read whole, in pieces that each
+take a place.  A null, empty or blank text has no window and gets the softmax of the bias
 alone.  Labels that are null, and ids labelled differently (then 1 wins), are
 handled; without labels of both classes every score is the share of toxic rows.
 Repeated rows get equal scores.  Columns named like the results are refused;
@@ -50,12 +52,29 @@ TRAIN_CHARS = 40_000_000
 STEPS = 400  # at least, also on a small sample
 CACHE_WORDS = 1_000_000
 UNIT = 2.0**-32
+LONGEST, SHARED = 64, 4
 _EDGE = ".,;:!?\"'()[]{}|<>-–—…«»„“”‘’¡¿"
 
 
+def places(text: str | None) -> list[str]:
+    """The words at a text's places; one of more than ``LONGEST`` signs is one place for
+    each piece of it.  Pieces share ``SHARED`` signs, so every n-gram is in one whole."""
+    words = (text or "").split()
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) > LONGEST:
+            w = w.strip(_EDGE)
+            out.extend(w[a : a + LONGEST] for a in range(0, max(1, len(w) - SHARED), LONGEST - SHARED))
+        else:
+            out.append(w)
+    return out
+
+
 def grams(word: str) -> list[str]:
     """Itself and its n-grams of 3 to 5 characters, edges marked; none for a bare edge sign."""
-    bare = word.lower().strip(_EDGE)[:64]
+    bare = word.lower().strip(_EDGE)
     if not bare:
         return []
     w = f"<{bare}>"
@@ -132,7 +151,7 @@ def train(texts: list[str], toxic: list[int], base_rate: float, epochs: int = 9,
     bucket = Buckets()
     flat, size, seq, length, doc = array("i"), array("i"), array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
-        words = (text or "").split()
+        words = places(text)
         if not words:
             continue
         for w in words:
@@ -285,7 +304,7 @@ class Scorer:
                 self.value.append(sum(map(of, found)) / len(found) if found else 0.0)
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        split = [(t or "").split() for t in texts]
+        split = [places(t) for t in texts]
         length = np.array([len(x) for x in split], np.int64)
         words = [w for x in split for w in x]
         out = np.full(len(texts), self.bias)

@@ -37,3 +37,19 @@ def test_toxicity_does_not_depend_on_the_word_offset():
     insult = "vilegrub scumhead"
     scores = [toxicity.Scorer(model).logit(" ".join(["..."] * k + [insult] + ["..."] * 80)) for k in range(70)]
     assert max(scores) == min(scores) > 0
+
+
+def test_toxicity_reads_words_without_spaces_to_their_end():
+    text = "".join(chr(0x4E00 + 7 * k % 5000) for k in range(700))
+    pieces = toxicity.places(f"a {text} ({text[:64]}) {'-' * 100}")
+    assert pieces[0] == "a" and pieces[-2:] == [text[:64], ""]
+    whole = {text[i : i + 5] for i in range(len(text) - 4)}
+    assert whole <= {g for p in pieces for g in toxicity.grams(p)}
+    assert max(map(len, pieces)) <= toxicity.LONGEST
+    model = toxicity.Model([0.0] * toxicity.BUCKETS, -1.0)
+    for g in toxicity.grams("vilegrub"):
+        model.weight[toxicity.Buckets()[g]] = 2000.0
+    clean = toxicity.Scorer(model).logit(text)
+    for at in (0, 30, 60, 62, 64, 66, 300, 692):
+        for insult in ("vilegrub", ".vilegrub.", "_vilegrub\u200b"):
+            assert toxicity.Scorer(model).logit(text[:at] + insult + text[at:]) > 0 > clean
