@@ -3,16 +3,16 @@
 A text's symbols are its lower-cased words.  A k-mer of ``K`` words is an anchor
 if the smallest hash among its inner runs of ``S`` words is that of its first
 or its last run.  Whether it is depends on its own words alone, so a passage
-has the same anchors wherever it stands.  The fingerprint keeps, of all anchors
-of the whole text, the ``KEEP`` with the smallest hashes, each with the number
-of the word it starts at (the first, if it repeats).  Texts of fewer than ``K``
-words have one anchor, of all their words.
+has the same anchors wherever it stands.  The fingerprint holds every anchor of
+the whole text, however long, each with the number of the word it starts at
+(the first, if it repeats); ``KEEP`` is no number but None.  Texts of fewer than
+``K`` words have one anchor, of all their words.
 
-Likeness of two fingerprints: of the smallest ``KEEP`` hashes of both together,
-the share that both have at matching places.  Places match when their distance
-is within a quarter of the longer text of the median distance, so moved text
-matches and scattered chance hits don't.  Two fingerprints without anchors are
-alike (1.0), one with and one without are not (0.0).
+Likeness of two fingerprints: of the hashes of both together, the share that
+both have at matching places.  Places match when their distance is within a
+quarter of the longer text of the median distance, so moved text matches and
+scattered chance hits don't.  Two fingerprints without anchors are alike (1.0),
+one with and one without are not (0.0).
 
 Only Spark's own functions are used.  Null texts are empty texts.  Rows with
 equal ids are ordered by text; null ids come first; the one row of a table is
@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-K, S, KEEP = 5, 2, 64
+K, S = 5, 2
+KEEP = None  # all anchors: a slice up to None is whole
 #: Rows of a range of ids and how many ranges there are at most.
 RANGE_ROWS, MAX_RANGES = 2048, 8192
 ANCHOR = "array<struct<h:bigint,p:int>>"
@@ -40,7 +41,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """The kept anchors (h, p) by rising hash."""
+    """All anchors (h, p) by rising hash."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -60,40 +61,49 @@ def anchors(text: Column) -> Column:
         return F.when(n >= K, let(runs, chosen)).when(n > 0, one).otherwise(F.array().cast(ANCHOR))
 
     def kept(found: Column) -> Column:
-        first = F.filter(found, lambda x, i: (i == 0) | (x["h"] != F.element_at(found, F.greatest(i, F.lit(1)))["h"]))
-        return F.slice(first, 1, KEEP)
+        return F.filter(found, lambda x, i: (i == 0) | (x["h"] != F.element_at(found, F.greatest(i, F.lit(1)))["h"]))
 
-    return let(F.array_sort(let(hashes, of)), kept)
+    return let(F.sort_array(let(hashes, of)), kept)
 
 
 def as_text(found: Column) -> Column:
     """``h.p`` of every anchor, in order of place."""
-    return F.array_join(F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["p"], x["h"]))), lambda x: F.concat(F.lower(F.hex(x["h"])), F.lit("."), x["p"].cast("string"))), " ")
+    return F.array_join(F.transform(F.sort_array(F.transform(found, lambda x: F.struct(x["p"], x["h"]))), lambda x: F.concat(F.lower(F.hex(x["h"])), F.lit("."), x["p"].cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1, of two columns of ``anchors``."""
-    both = F.slice(F.array_sort(F.array_union(a["h"], b["h"])), 1, KEEP)
-    shared = F.filter(both, lambda x: F.array_contains(a["h"], x) & F.array_contains(b["h"], x))
-    place = lambda side, x: F.element_at(side["p"], F.array_position(side["h"], x).cast("int"))
-    moved = F.transform(shared, lambda x: place(b, x) - place(a, x))
+    tagged = lambda side, t: F.transform(side, lambda x: F.struct(x["h"].alias("h"), F.lit(t).alias("side"), x["p"].alias("p")))
+
+    def moves(m: Column) -> Column:
+        """Place in b less place in a of every hash that both have; equal hashes are neighbours in m."""
+        at = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda i: F.element_at(m, i)["h"] == F.element_at(m, i + 1)["h"])
+        moved = F.transform(at, lambda i: F.element_at(m, i + 1)["p"] - F.element_at(m, i)["p"])
+        return F.when(F.size(m) > 1, F.sort_array(moved)).otherwise(F.array().cast("array<int>"))
+
     reach = F.greatest(F.lit(8), F.coalesce(F.greatest(F.array_max(a["p"]), F.array_max(b["p"])), F.lit(0)) / 4)
 
     def matching(shift: Column) -> Column:
         middle = F.element_at(shift, F.floor((F.size(shift) + 1) / 2).cast("int"))
-        return F.size(F.filter(shift, lambda s: F.abs(s - middle) <= reach))
+        bounds = F.struct((middle - reach).alias("low"), (middle + reach).alias("high"))
+        return let(bounds, lambda x: F.size(F.filter(shift, lambda s: s.between(x["low"], x["high"]))))
+
+    def share(moved: Column) -> Column:
+        both = F.size(a) + F.size(b) - F.size(moved)
+        same = F.when(F.size(moved) == 0, F.lit(0)).otherwise(matching(moved))
+        return F.when(both == 0, F.lit(1.0)).otherwise(same / both).cast("double")
 
-    same = F.when(F.size(shared) == 0, F.lit(0)).otherwise(let(F.array_sort(moved), matching))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(same / F.size(both)).cast("double")
+    return let(let(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), moves), share)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` and, as ``next_<column>``, the columns of the row with the next doc_id
-    (after the last: the first).
+def with_next(docs: DataFrame, columns: list[str], also: dict[str, Column]) -> DataFrame:
+    """``docs`` with the columns ``also``, and, as ``next_<column>``, the columns of the row
+    with the next doc_id (after the last: the first).
 
     Rows are dealt by ranges of doc_id, whose bounds are quantiles, in one
     shuffle.  A copy of the first row of each range visits the range before it,
-    so that every row finds its next within its range."""
+    so that every row finds its next within its range.  ``also`` is worked out
+    after the shuffle, which does not carry it."""
     spark = docs.sparkSession
     rows = docs.count()
     n = max(1, min(MAX_RANGES, rows // RANGE_ROWS))
@@ -110,16 +120,16 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     kind = T.StructType([T.StructField("_head", T.LongType()), T.StructField("_range", T.IntegerType())])
     visitors = docs.join(F.broadcast(spark.createDataFrame(visits, kind)), F.col("doc_id").eqNullSafe(F.col("_head"))).drop("_head")
     own = docs.withColumn("_range", of.cast("int")).withColumn("_visits", F.lit(False))
-    every = own.unionByName(visitors.withColumn("_visits", F.lit(True)))
+    every = own.unionByName(visitors.withColumn("_visits", F.lit(True))).repartition("_range").withColumns(also)
     w = Window.partitionBy("_range").orderBy("_visits", "doc_id", "text")
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
-    return every.select(*docs.columns, "_visits", *nexts).filter(~F.col("_visits")).drop("_visits")
+    return every.select(*docs.columns, *also, "_visits", *nexts).filter(~F.col("_visits")).drop("_visits")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = with_next(texts.withColumn("_a", anchors(F.col("text"))), ["text", "_a"])
+    found = with_next(texts, ["text", "_a"], {"_a": anchors(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

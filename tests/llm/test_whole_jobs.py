@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from quiltspark.llm import toxicity
+from pyspark.sql import functions as F
+
+from quiltspark.llm import syncmers, toxicity
 
 
 def toxicity_model(seed=6):
@@ -53,3 +55,17 @@ def test_toxicity_reads_words_without_spaces_to_their_end():
     for at in (0, 30, 60, 62, 64, 66, 300, 692):
         for insult in ("vilegrub", ".vilegrub.", "_vilegrub\u200b"):
             assert toxicity.Scorer(model).logit(text[:at] + insult + text[at:]) > 0 > clean
+
+
+def test_a_passage_has_its_anchors_in_any_text(spark):
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in rng.integers(0, 10**6, 60)]
+    long = [f"w{k}" for k in rng.integers(0, 10**6, 20_000)]
+    rows = [" ".join(passage), " ".join(long[:9_000] + passage + long[9_000:]), " ".join(long[:100] + ["other"] + long[101:])]
+    df = spark.createDataFrame([(rows[0], rows[1], rows[2], " ".join(long))], "a string, b string, c string, d string")
+    found = df.select(*[syncmers.anchors(F.col(x)).alias(x) for x in "abcd"])
+    r = found.select("a", "b", syncmers.likeness(F.col("c"), F.col("d")).alias("near")).first()
+    own, there = ({x["h"]: x["p"] for x in r[n]} for n in "ab")
+    assert len(own) > 15 and all(there[h] == p + 9_000 for h, p in own.items())
+    assert len(there) > 20_060 / 3
+    assert 0.99 < r["near"] < 1  # one changed word of 20,000 is seen
