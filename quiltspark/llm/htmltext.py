@@ -9,8 +9,12 @@ is the threshold: parts beside the path reach it or are left out, save a first
 heading; parts of the subtree that don't reach it are left out if they are
 mostly links.  Inline elements count as tags, not as nodes.  Parts that say
 what they are by their element or by a word of their class or id (menus,
-adverts, comments and so on) count for nothing, unless they hold the article
-itself; so does a header outside an article.
+adverts, comments and so on) count for nothing; so does a header outside an
+article.  A word of a class or id may say something else (``has-sidebar``) and
+a form may be around the whole page, so such a part is kept if it holds the
+article itself, or more than ``MOST`` times the characters outside links that
+are there without it; the largest first, those named for readers' texts or other
+pages last.
 
 Text comes out in page order: character references decoded, inline elements
 joined, blocks separated by a space, white space runs made one space.  A null,
@@ -20,6 +24,7 @@ unknown end tags are ignored and open elements end with their parent.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -59,31 +64,35 @@ _SAYS = frozenset(
     login register paywall comment comments disqus respond reply replies share sharing social related recommended recommendations popular trending
     pagination pager widget copyright skip search""".split()
 )
+_OTHERS = frozenset("comment comments disqus respond reply replies related recommended recommendations popular trending".split())
 _MAIN = frozenset("html body main article".split())
+MOST = 9
+#: Why a part is dropped: by its element or as hidden; by its name; by a name for texts of others.
+_SURE, _NAMED, _OTHER = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("name", "items", "drop", "up", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "items", "drop", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain")
 
-    def __init__(self, name: str, up: Node | None, drop: bool = False):
+    def __init__(self, name: str, up: Node | None, drop: int = 0):
         self.name, self.up, self.drop, self.items = name, up, drop, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.plain = 0
 
 
-def _dropped(name: str, rest: str, inside: bool) -> bool:
-    if name in _NEVER or (name == "header" and not inside):
-        return True
-    if not rest or name in _MAIN:
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    for key, value in _MARKS.findall(rest):
-        if key.lower() in ("class", "id", "role"):
-            said = _WORD.findall(value.lower())
-            if not _SAYS.isdisjoint(said) or (not inside and "header" in said):
-                return True
-    return False
+def _dropped(name: str, rest: str, inside: bool) -> int:
+    if (name in _NEVER and name != "form") or (name == "header" and not inside):
+        return _SURE
+    if rest and name not in _MAIN:
+        if _HIDDEN.search(rest):
+            return _SURE
+        said = {w for key, value in _MARKS.findall(rest) if key.lower() in ("class", "id", "role") for w in _WORD.findall(value.lower())}
+        if not _OTHERS.isdisjoint(said):
+            return _OTHER
+        if not _SAYS.isdisjoint(said) or (not inside and "header" in said):
+            return _NAMED
+    return _NAMED if name == "form" else 0
 
 
 def parse(html: str) -> Node:
@@ -157,13 +166,49 @@ def _undrop(root: Node) -> None:
     while todo:
         node, above = todo.pop()
         above = [*above, node] if node.drop else above
-        if above and node.name in ("article", "main") and all(x.name not in _NEVER for x in above):
+        if above and node.name in ("article", "main") and all(x.name == "form" or x.name not in _NEVER for x in above):
             for x in above:
-                x.drop = False
+                x.drop = 0
             above = []
         todo += [(x, above) for x in node.items if x.__class__ is Node]
 
 
+def _undrop_most(root: Node) -> None:
+    """Parts dropped by their name without which next to no text is left are kept."""
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(x for x in node.items if x.__class__ is Node and x.drop != _SURE)
+    if not any(x.drop for x in nodes):
+        return
+    for node in reversed(nodes):
+        if node.name != "a":
+            node.plain += sum(len(x.strip()) for x in node.items if x.__class__ is str)
+            if node.up:
+                node.up.plain += node.plain
+    parts: list[tuple[int, int, int, Node]] = []
+
+    def opened(part: Node) -> int:
+        """What is there of a part's unlinked characters; the parts dropped in it are noted."""
+        there, todo = part.plain, [part]
+        while todo:
+            for x in todo.pop().items:
+                if x.__class__ is Node and x.drop in (_NAMED, _OTHER):
+                    there -= x.plain
+                    heapq.heappush(parts, (x.drop, -x.plain, len(seen), x))
+                    seen.append(x)
+                elif x.__class__ is Node and not x.drop and x.name != "a":
+                    todo.append(x)
+        return there
+
+    seen: list[Node] = []
+    kept = opened(root)
+    while parts:
+        part = heapq.heappop(parts)[-1]
+        if part.plain > MOST * kept:
+            part.drop = 0
+            kept += opened(part)
+
+
 def measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of the kept nodes; parents first."""
     nodes = _order(root)
@@ -195,6 +240,7 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     _undrop(root)
+    _undrop_most(root)
     nodes = measure(root)
     best = max((n for n in nodes if n.name not in _INLINE), key=lambda n: n.total)
     path, threshold = [best], best.density

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quiltspark.llm import syncmers, toxicity
+from quiltspark.llm import htmltext, syncmers, toxicity
 
 
 def toxicity_model(seed=6):
@@ -69,3 +69,19 @@ def test_a_passage_has_its_anchors_in_any_text(spark):
     assert len(own) > 15 and all(there[h] == p + 9_000 for h, p in own.items())
     assert len(there) > 20_060 / 3
     assert 0.99 < r["near"] < 1  # one changed word of 20,000 is seen
+
+
+def test_main_text_of_parts_with_misleading_names():
+    text = "<h1>A title</h1><p>The first paragraph of this page is here.</p><p>Then, after it, the second paragraph.</p>"
+    plain = "A title The first paragraph of this page is here. Then, after it, the second paragraph."
+    menu = "<nav><a href=a>Home</a></nav><div class=menu><a href=b>News</a> <a href=c>Sport</a></div>"
+    for name in ("content has-sidebar", "site no-sidebar", "post-notice", "post comments-open", "page header-fixed"):
+        assert htmltext.main_text(f"<body>{menu}<div class='{name}'>{text}</div><footer>f</footer></body>") == plain
+        assert htmltext.main_text(f"<main>{menu}<div id=no-share><div class='{name}'>{text}</div></div></main>") == plain
+    for page in (text, f"<article>{text}</article>", f"<div class=content>{text}</div>"):
+        assert htmltext.main_text(f"<body><form method=post><input>{menu}{page}<button>Go</button></form></body>") == plain
+    # what they name stays out, also if it is long
+    reader = "<div class=comments><p>" + "a reader wrote this. " * 12 + "</p></div>"
+    assert htmltext.main_text(f"<div class=content>{text}</div>{reader}<form><p>Sign up here</p></form>") == plain
+    assert htmltext.main_text(f"<div class='site no-sidebar'><div class=content>{text}</div>{reader}<div class=sidebar><p>aside text</p></div></div>") == plain
+    assert htmltext.main_text("<div class=x style='display:none'><p>hidden text</p></div>") == ""
