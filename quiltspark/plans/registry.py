@@ -1139,7 +1139,7 @@ def q_validator_comparison(spark, sf):
     """Same parts, concatenation baseline vs. a validated join with the fixed scorer."""
     real = orders_with_id(spark, sf)
     rows = H.validator_comparison(
-        _h_parts(real), {"linear": SCORER}, lambda v: J.ValidatedJoin(v, behaviour="adaptive", seed=SEED, max_iter=10), _h_eval(real), baseline=Concatenating())
+        _h_parts(real), {"linear": SCORER}, lambda v: J.ValidatedJoin(v, behaviour="adaptive", seed=SEED), _h_eval(real), baseline=Concatenating())
     return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "validator string, metric string, value double")
 
 
