@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from oracle_check import compare, duck
 
-from conftest import SF0001
+from paths import SF0001
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
