@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccardjoin, kdtopk, linededup, nbest, packing, pitmanyor, syncmers, tokenstore, toxicity
+from . import htmltext, jaccardjoin, kdtopk, linededup, nbest, packing, pitmanyor, simhash, syncmers, tokenstore, toxicity
 from .common import id_text_crc, new_path, table
 
 PACK_CAP, PACK_END, STORE_END, N_BEST = 4096, 1, 2, 4
@@ -112,6 +112,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", (id_text_crc() % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_jaccard_join": op2_jaccard_join,
@@ -123,5 +127,6 @@ QUERIES = {
     "op8_nbest_pieces": op8_nbest_pieces,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
+    "op11_simhash_pigeonring": op11_simhash_pigeonring,
 }
 SQL = {"op4_kd_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL}
