@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccardjoin, kdtopk, linededup, nbest, packing, pitmanyor, simhash, syncmers, tokenstore, toxicity
+from . import crosstoken, htmltext, jaccardjoin, kdtopk, linededup, nbest, packing, pitmanyor, ranked, simhash, syncmers, tokenstore, toxicity
 from .common import id_text_crc, new_path, table
 
 PACK_CAP, PACK_END, STORE_END, N_BEST = 4096, 1, 2, 4
@@ -116,6 +116,43 @@ def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crosstoken.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+with d as (
+  select row_number() over () as r, doc_id, {_TERMS} as terms from documents
+), total as (
+  select count(*) as n_texts, sum(len(terms)) as n_terms from d where len(terms) > 0
+), item as (
+  select distinct item_id, unnest({_TERMS}) as term from benchmark
+), each as (
+  select r, unnest(terms) as term from d
+), held as (
+  select r, term, count(*) as tf from each where term in (select term from item) group by r, term
+), weight as (
+  select term, cast(floor(1000 * ln(cast(2 * n_texts + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+  from held, total group by term, n_texts
+), long as (
+  select r, doc_id, cast(50 + (50 * len(terms) * n_texts) // n_terms as bigint) as m from d, total where len(terms) > 0
+), scored as (
+  select item_id, long.r, any_value(long.doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from item join weight using (term) join held using (term) join long on held.r = long.r
+  group by item_id, long.r
+), ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+  from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
 QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_jaccard_join": op2_jaccard_join,
@@ -128,5 +165,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
     "op11_simhash_pigeonring": op11_simhash_pigeonring,
+    "op12_cross_tokens": op12_cross_tokens,
+    "op13_ranked_search": op13_ranked_search,
 }
-SQL = {"op4_kd_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL}
+SQL = {"op4_kd_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL, "op13_ranked_search": OP13_SQL}
