@@ -77,15 +77,17 @@ def kth_value(
     descending: bool = False,
     max_collect: int = 50_000,
     buckets: int = 4096,
+    weight: str | None = None,
 ):
-    """Exact value at 0-based index ``k`` of ``col`` sorted (nulls ignored).
+    """Exact value at 0-based index ``k`` of ``col`` sorted (nulls ignored, NaN above all numbers).
 
-    Matches ``ORDER BY col [DESC] LIMIT 1 OFFSET k``.  Returns None when k is out
-    of range.
+    Matches ``ORDER BY col [DESC] LIMIT 1 OFFSET k``.  With ``weight`` a row counts
+    as so many rows.  Returns None when k is out of range.
     """
     # one column, reused by every pass; recomputation after a lost block is
     # deterministic, so a plain persist is safe here
-    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    w = F.lit(1) if weight is None else F.col(weight)
+    x = df.select(F.col(col).alias("x"), w.cast("long").alias("w")).where(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _kth(x, k, descending, max_collect, buckets)
     finally:
@@ -93,23 +95,45 @@ def kth_value(
 
 
 def _kth(x: DataFrame, k: int, descending: bool, max_collect: int, buckets: int):
-    row = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n, lo, hi = row["n"], row["lo"], row["hi"]
+    real = dict(x.dtypes)["x"] in ("double", "float")
+    usual = ~F.isnan("x") if real else F.lit(True)
+    row = x.agg(F.sum("w").alias("n"), F.sum(F.when(usual, F.col("w"))).alias("numbers"),
+                F.min(F.when(usual, F.col("x"))).alias("lo"), F.max(F.when(usual, F.col("x"))).alias("hi")).first()
+    n, numbers, lo, hi = row["n"] or 0, row["numbers"] or 0, row["lo"], row["hi"]
     if k < 0 or k >= n:
         return None
     target = (n - 1 - k) if descending else k  # ascending index
-    in_range = n
+    if target >= numbers:
+        return float("nan")
+    if real and (lo == float("-inf") or hi == float("inf")):  # infinities are counted apart, as NaN is
+        ends = x.where(F.abs("x") < float("inf")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("n")).first()
+        low = x.where(F.col("x") == float("-inf")).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        if target < low:
+            return float("-inf")
+        if target >= low + (ends["n"] or 0):
+            return float("inf")
+        target, lo, hi, numbers = target - low, ends["lo"], ends["hi"], ends["n"]
+    in_range = numbers
     while in_range > max_collect and lo < hi:
-        width = float(hi - lo) / buckets
-        # subtract in the column's own type (exact for 60-bit integer keys), then scale
-        b = F.least(F.floor((F.col("x") - F.lit(lo)).cast("double") / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        if real:  # no difference that could overflow
+            width = float(hi) / buckets - float(lo) / buckets
+            if width <= 0:
+                break  # fewer than ``buckets`` different numbers are left
+            place = F.col("x").cast("double") / F.lit(width) - F.lit(float(lo) / width)
+            if not abs(float(lo) / width) < 2**52:
+                place = (F.col("x").cast("double") - F.lit(float(lo))) / F.lit(width)
+        else:
+            width = float(hi - lo) / buckets
+            # subtract in the column's own type (exact for 60-bit integer keys), then scale
+            place = (F.col("x") - F.lit(lo)).cast("double") / F.lit(width)
+        b = F.greatest(F.lit(0), F.least(F.floor(place), F.lit(buckets - 1))).cast("int")
         stats = (
             x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
             .groupBy(b.alias("b"))
-            .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+            .agg(F.sum("w").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
             .collect()  # <= `buckets` rows
         )
-        stats.sort(key=lambda r: r["b"])
+        stats.sort(key=lambda r: r["mn"])
         before = (lo, hi)
         for r in stats:
             if target < r["c"]:
@@ -120,13 +144,15 @@ def _kth(x: DataFrame, k: int, descending: bool, max_collect: int, buckets: int)
             break
     if lo == hi:
         return lo
-    vals = (
-        x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-        .orderBy("x")
-        .limit(int(target) + 1)  # bounded by max_collect
-        .collect()
-    )
-    return vals[int(target)]["x"]
+    # a row per value: no more than ``max_collect`` of them, or than the range has numbers
+    values = x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))).groupBy("x").agg(F.sum("w").alias("c"))
+    if in_range > max_collect and (found := values.count()) > max_collect:
+        raise ArithmeticError(f"{found} values between {lo} and {hi} could not be told apart")
+    for r in sorted(values.collect(), key=lambda r: r["x"]):
+        if target < r["c"]:
+            return r["x"]
+        target -= r["c"]
+    return hi
 
 
 def slice_bounds(df: DataFrame, col: str, ranges: int = 64) -> list:

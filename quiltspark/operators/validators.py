@@ -272,6 +272,10 @@ def classifier_backend(name: str, seed: int = 0):
         return lambda n_features: mlp_backend(n_features, seed)
     if name == "linear_svm":  # no probability: the validator scores its margin
         return C.LinearSVC(maxIter=100)
+    if name == "knn":
+        from quiltspark.operators.knn import KNeighborsClassifier
+
+        return KNeighborsClassifier(k=15)
     raise ValueError(f"unknown backend {name!r}")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quiltspark.functions.keys import sql_key, sql_key_to_long
 from quiltspark.operators import joins as J
+from quiltspark.operators import privacy as P
 from quiltspark.operators import sampling as M
 from quiltspark.operators.positions import kth_value
 from quiltspark.operators.validators import LinearScoreValidator
@@ -1101,6 +1102,73 @@ def q_mia(spark, sf):
     return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "metric string, value double")
 
 
+# customers re-joined from two column splits, next to the real ones; all pairs in SQL
+_NEAR_SQL = f"""
+real AS (SELECT c_custkey AS id, c_acctbal, c_nationkey, c_mktsegment FROM customer),
+a AS (SELECT c_acctbal, c_nationkey, {rank_sql(SEED, 'a', 'c_custkey')} AS __pos FROM customer),
+b AS (SELECT c_mktsegment, {rank_sql(SEED, 'b', 'c_custkey')} AS __pos FROM customer),
+syn AS (SELECT * FROM a JOIN b USING (__pos)),
+span AS (SELECT max(c_acctbal) - min(c_acctbal) AS s FROM customer)
+"""
+NEAR_NUMERIC, NEAR_CATEGORICAL = ["c_acctbal"], ["c_nationkey", "c_mktsegment"]
+
+
+def _near_sql(weights: str) -> str:
+    """Per synthetic row the nearest real distance, per real row the nearest other and the nearest synthetic one."""
+    far = "abs(x.c_acctbal - y.c_acctbal) / s * w1 + (x.c_nationkey <> y.c_nationkey)::INT * w2 + (x.c_mktsegment <> y.c_mktsegment)::INT * w3"
+    return f"""WITH {_NEAR_SQL}, w AS ({weights}),
+to_real AS (SELECT min({far}) AS d FROM syn x, real y, span, w GROUP BY x.__pos),
+own AS (SELECT x.id, min({far}) AS d FROM real x, real y, span, w WHERE x.id <> y.id GROUP BY x.id),
+to_syn AS (SELECT x.id, min({far}) AS d FROM real x, syn y, span, w GROUP BY x.id)
+"""
+
+
+def _customers(spark, sf):
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", ROW_ID)
+    real = c.select(ROW_ID, *NEAR_NUMERIC, *NEAR_CATEGORICAL)
+    syn = J.random_join({"a": c.select(ROW_ID, "c_acctbal", "c_nationkey"), "b": c.select(ROW_ID, "c_mktsegment")}, SEED)
+    return real, syn
+
+
+@register(
+    "U4_dcr",
+    _near_sql("SELECT 1.0::DOUBLE AS w1, 1.0::DOUBLE AS w2, 1.0::DOUBLE AS w3")
+    + """SELECT round(s.m, 9) AS median_synthetic, round(r.m, 9) AS median_real, round(s.m / r.m, 6) AS median_dcr
+FROM (SELECT median(d) AS m FROM to_real) s, (SELECT median(d) AS m FROM own) r""",
+)
+def q_dcr(spark, sf):
+    """Distance to the closest record of a random re-join of all customers."""
+    r = P.median_dcr(*_customers(spark, sf), NEAR_NUMERIC, NEAR_CATEGORICAL)
+    out = spark.createDataFrame([tuple(r.values())], "median_synthetic double, median_real double, median_dcr double")
+    return out.select(F.round("median_synthetic", 9).alias("median_synthetic"), F.round("median_real", 9).alias("median_real"),
+                      F.round("median_dcr", 6).alias("median_dcr"))
+
+
+def _entropy_sql(column: str) -> str:
+    return f"(SELECT 1.0 / (ln(sum(n)) - sum(n * ln(n)) / sum(n)) FROM (SELECT count(*)::DOUBLE AS n FROM customer GROUP BY {column}))"
+
+
+@register(
+    "U5_eps_risk",
+    _near_sql(f"SELECT {_entropy_sql('c_acctbal')} AS w1, {_entropy_sql('c_nationkey')} AS w2, {_entropy_sql('c_mktsegment')} AS w3")
+    + """SELECT round(avg((round(t.d, 9) < round(o.d, 9))::INT), 9) AS eps_identif_risk, count(*) AS rows, round(max(o.d), 6) AS farthest
+FROM own o JOIN to_syn t USING (id)""",
+)
+def q_eps_risk(spark, sf):
+    """Identifiability risk of a random re-join of all customers."""
+    rows = P.identifiability(*_customers(spark, sf), NEAR_NUMERIC, NEAR_CATEGORICAL)
+    risk = F.sum(F.when(F.col("at_risk"), F.col("n")).otherwise(0)) / F.sum("n")
+    return rows.agg(F.round(risk, 9).alias("eps_identif_risk"), F.sum("n").alias("rows"), F.round(F.max("own"), 6).alias("farthest"))
+
+
+@register("V10_knn_backend")
+def q_knn(spark, sf):
+    """Scores of a random re-join of orders by a k-NN validator trained on the true joins."""
+    parts = {n: p.drop("o_orderstatus", "o_orderpriority") for n, p in orders_parts(spark, sf).items()}
+    v = V.ClassifierValidator(V.classifier_backend("knn"), calibration=None, seed=SEED).fit(parts)
+    return v.score(J.random_join(parts, SEED)).select(J.POS, "o_totalprice", "o_custkey", "score")
+
+
 @register("U9_evaluate")
 def q_evaluate(spark, sf):
     """Metric table of one synthetic table (Hellinger, association, PCA, classifier utility)."""
