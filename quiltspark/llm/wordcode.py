@@ -5,7 +5,10 @@ text's ids are the joined ids of its space-separated words.  A worker keeps the
 ids of the words it has met (at most ``CACHE_WORDS``, then it starts afresh), so
 common words cost one dictionary lookup.  Texts in which a space stands beside
 another white-space character are given to the tokenizer whole when the
-tokenizer keeps white space, because there the cut would not be exact.
+tokenizer keeps white space, because there the cut would not be exact; so are
+texts that hold the string of an added (special) token, which is that token.
+A new word of letters and one closing sign is put together from both: no
+pre-tokenizer used here leaves them in one piece.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 
 CACHE_WORDS = 1_500_000
 _BESIDE = re.compile(r"\s | \s")
+_CLOSING = ",.;:!?"
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
@@ -28,25 +32,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.closing = dict(zip(_CLOSING, self.whole(list(_CLOSING)), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.array([i for some in ids for i in some], self.kind).tobytes()
+        ends = (np.cumsum([len(some) for some in ids]) * self.width).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, known: dict[str, bytes], words: set[str], mark: str) -> None:
         new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = list(words)
+        closed = [w for w in new if w[-1:] in self.closing and w[:-1].isalpha()]
+        rest = {w for w in new if not (w[-1:] in self.closing and w[:-1].isalpha())}
+        rest.update(c for w in closed if (c := w[:-1]) not in known)
+        new = list(rest)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, self.whole([mark + w for w in part]), strict=True))
+        known.update((w, known[w[:-1]] + self.closing[w[-1]]) for w in closed)
+
+    def _holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
 
     def encode(self, texts: list[str | None], per_call: int = 512) -> list[bytes]:
         out: list[bytes] = []
@@ -55,17 +70,17 @@ class WordEncoder:
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
-        if not self.keeps_space:
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        odd = {i for i, t in enumerate(texts) if t and ((self.keeps_space and _BESIDE.search(t)) or self._holds_added(t))}
+        split = [[""] if i in odd else (t or "").split(" ") if self.keeps_space else (t or "").replace("\n", " ").split(" ") for i, t in enumerate(texts)]
+        if self.keeps_space:
+            self._learn(self.first, {words[0] for words in split}, "")
+            self._learn(self.later, set().union(*(words[1:] for words in split)), " ")
+            get = self.later.__getitem__
+            out = [self.first[words[0]] + b"".join(map(get, words[1:])) for words in split]
+        else:
             self._learn(self.first, set().union(*split), "")
             get = self.first.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        odd = {i for i, t in enumerate(texts) if t and _BESIDE.search(t)}
-        split = [[""] if i in odd else (t or "").split(" ") for i, t in enumerate(texts)]
-        self._learn(self.first, {words[0] for words in split}, "")
-        self._learn(self.later, set().union(*(words[1:] for words in split)), " ")
-        get = self.later.__getitem__
-        out = [self.first[words[0]] + b"".join(map(get, words[1:])) for words in split]
+            out = [b"".join(map(get, words)) for words in split]
         for i in odd:
             out[i] = self.whole([texts[i]])[0]
         return out

@@ -21,9 +21,11 @@ BYTES, WORDS, PIECES = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json",
 
 
 def plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    """The tokenizer as it comes: strings of special tokens are those tokens."""
+    return Tokenizer.from_file(path)
+
+
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "hi", "End.", "ΟΔΟΣ,", "\n", "x!", "é;", "e\u0301."]
 
 
 @pytest.mark.parametrize("path,keeps", [(BYTES, True), (WORDS, False)])
