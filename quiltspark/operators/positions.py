@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 
 COPIES_AT_ONCE = 100_000
-#: A table known to have no more rows is ranked in one task.
-ONE_TASK_ROWS = 200_000
 
 
 def bucket_digits(n_rows: int | None, rows_per_bucket: int = 2_000_000) -> int:
@@ -52,10 +50,6 @@ def dense_position(
     ``row_number() over (order by key, tiebreak) - 1`` but without a global
     single-partition window.
     """
-    if digits is None and n_rows is not None and n_rows <= ONE_TASK_ROWS:
-        # a proven small table: one ordered task instead of offsets and a join, same positions
-        whole = Window.orderBy("__k", tiebreak)
-        return df.withColumn("__k", key).withColumn(out, (F.row_number().over(whole) - F.lit(1)).cast("long")).drop("__k")
     d = digits or bucket_digits(n_rows)
     keyed = df.withColumn("__k", key).withColumn("__b", F.conv(F.substring("__k", 1, d), 16, 10).cast("int"))
     counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))

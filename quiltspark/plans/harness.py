@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,14 +69,19 @@ def threshold_sweep_full(parts, make_join: Callable[[float], object], evaluate,
 
 
 def validator_comparison(parts, validators: Mapping[str, object], make_join: Callable[[object], object],
-                         evaluate, baseline=None):
-    """H8: the same parts re-joined by many validators, concatenation as baseline."""
-    rows = []
-    if baseline is not None:
-        rows += [("concat", m, v) for m, v in evaluate(baseline.join(parts)).items()]
-    for name, validator in validators.items():
-        rows += [(name, m, v) for m, v in evaluate(make_join(validator).join(parts)).items()]
-    return rows
+                         evaluate, baseline=None, at_once: int = 4):
+    """H8: the same parts re-joined by many validators, concatenation as baseline.
+
+    Every join keeps its state in its own object and its rows in its own folders, so
+    up to ``at_once`` of them run as concurrent Spark jobs; results come in the given order."""
+
+    def run(name, strategy):
+        return [(name, m, v) for m, v in evaluate(strategy.join(parts)).items()]
+
+    runs = [] if baseline is None else [("concat", baseline)]
+    runs += [(name, make_join(validator)) for name, validator in validators.items()]
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(runs)))) as pool:
+        return [row for rows in pool.map(lambda r: run(*r), runs) for row in rows]
 
 
 def parameter_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:

@@ -311,8 +311,8 @@ def q_accumulate(spark, sf):
 
 @register("J3_validated_join")
 def q_validated_join(spark, sf):
-    """Round loop of the adaptive preset, 30 rounds, no bound on rows (rows-only check: a driver loop)."""
-    return J.ValidatedJoin(SCORER, behaviour="adaptive", seed=SEED, max_iter=30).join(orders_parts(spark, sf))
+    """Round loop with the limits of the adaptive preset, no bound on rows (rows-only check: a driver loop)."""
+    return J.ValidatedJoin(SCORER, behaviour="adaptive", seed=SEED).join(orders_parts(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -1212,6 +1212,20 @@ def q_validator_comparison(spark, sf):
     return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "validator string, metric string, value double")
 
 
+@register("H8_many_validators")
+def q_many_validators(spark, sf):
+    """Three validators with the limits of their own preset, joined at once, next to the baseline."""
+    real = orders_with_id(spark, sf)
+    validators = {
+        "linear": SCORER,
+        "opposite": LinearScoreValidator({"o_totalprice": -1e-05, "o_custkey": 0.002}),
+        "steep": LinearScoreValidator({"o_totalprice": 4e-05, "o_custkey": -0.001}),
+    }
+    rows = H.validator_comparison(
+        _h_parts(real), validators, lambda v: J.ValidatedJoin(v, behaviour="standard", seed=SEED), _h_eval(real), baseline=Concatenating())
+    return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "validator string, metric string, value double")
+
+
 @register("H9_run_grid")
 def q_run_grid(spark, sf):
     """Resumable grid over seeds and strategies: a second call finds nothing missing."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,14 +65,34 @@ def spread(df, key: str | None = None):
     return df.repartition(parts, key).sortWithinPartitions(key) if key else df.repartition(parts)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder of our own under ``spark.checkpoint.dir``."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/quiltspark-stage/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what we have written to a ``stage_path`` and no plan reads any more."""
+    if "/quiltspark-stage/" not in path:
+        raise ValueError(f"{path} is not a folder of ours")
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing a parquet table under ``spark.checkpoint.dir`` and
     reading it back: one job, columnar storage on the shared folder, so a lost
     executor costs nothing and later plans start from the files."""
-    import uuid
-
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/quiltspark-stage/{name}-{uuid.uuid4().hex[:12]}"
+    path = stage_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
