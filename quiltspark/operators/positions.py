@@ -12,8 +12,8 @@ funnelling rows through one task:
   refinement: each pass is a scan plus a <= 4096-group partial aggregate; only
   a final bucket of at most ``max_collect`` values is ever sorted.
 * :func:`value_position` / :func:`cumulative_sum` -- rank / running sum in
-  *value* order, via driver-computed cut points (balanced slices), a window
-  per slice and broadcast slice offsets.
+  *value* order: the table is dealt by ranges of the whole order tuple, as many as
+  its rows ask for, sorted and numbered there; a row per range holds the offset.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltspark.session import materialize
+
 
 COPIES_AT_ONCE = 100_000
+#: Rows of a slice of an ordered table, and how many slices there are at most.
+ROWS_PER_SLICE, MAX_SLICES = 100_000, 32_768
 
 
 def bucket_digits(n_rows: int | None, rows_per_bucket: int = 2_000_000) -> int:
@@ -149,52 +153,41 @@ def _kth(x: DataFrame, k: int, descending: bool, max_collect: int, buckets: int)
     return hi
 
 
-def slice_bounds(df: DataFrame, col: str, ranges: int = 64) -> list:
-    """At most ``ranges - 1`` increasing cut points of ``col`` (computed once, on the driver).
+def _nulls_last(order_cols: list[str]) -> list[Column]:
+    return [F.asc_nulls_last(c) for c in order_cols]
 
-    Numeric columns use ``percentile_approx``; other orderable columns a
-    bounded sample.  The bounds only need to balance the slices: they are
-    used as literals afterwards, so every plan branch sees the same slicing
-    (``repartitionByRange`` re-samples per evaluation and would not).
-    """
-    dtype = dict(df.dtypes)[col]
-    if ranges <= 1:
-        return []
-    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-        qs = [k / ranges for k in range(1, ranges)]
-        row = df.agg(F.percentile_approx(F.col(col).cast("double"), qs, 10_000).alias("q")).first()
-        vals = row["q"] or []
-    else:
-        n = df.count()
-        frac = min(1.0, 200.0 * ranges / max(n, 1))
-        # the sample only places cut points (balance); every row is still ranked
-        sample = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).sample(False, frac, 17).collect())
-        vals = [sample[(k * len(sample)) // ranges] for k in range(1, ranges)] if sample else []
-    out = []
-    for v in vals:
-        if v is not None and (not out or v > out[-1]):
-            out.append(v)
-    return out
-
-
-def slice_of(col: str, bounds: list) -> Column:
-    """0-based slice index: how many cut points lie strictly below the value; nulls have the last slice."""
-    expr = F.lit(0)
-    for b in bounds:
-        expr = expr + (F.col(col) > F.lit(b)).cast("int")
-    return F.when(F.col(col).isNull(), F.lit(len(bounds) + 1)).otherwise(expr)
 
+def slices_for(n_rows: int) -> int:
+    """Into how many slices so many rows go."""
+    return max(1, min(MAX_SLICES, -(-n_rows // ROWS_PER_SLICE)))
 
-def _nulls_last(order_cols: list[str]) -> list[Column]:
-    return [F.asc_nulls_last(c) for c in order_cols]
 
+def sliced_in_order(df: DataFrame, order_cols: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of the whole order tuple, with ``__slice`` (the range) and
+    ``__at`` (the row's number in it, in order; nulls last).
 
-def _with_offsets(sliced: DataFrame, offsets: DataFrame, part: list[str]) -> DataFrame:
-    """Join the slice offsets on (group, slice), null groups included."""
+    The ranges are cut on the tuple, which ends with a unique column, so rows that share
+    the first value, however many, go to as many slices as their number asks for.  One
+    shuffle; the result is written, so every later plan sees the same ranges."""
+    n = slices or slices_for(df.count())
+    order = _nulls_last(order_cols)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the upper bits of this id are the partition, the lower 33 the row in it
+    numbered = ranged.withColumn("__at", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("__slice", F.shiftright("__at", 33).cast("int"))
+    return materialize(numbered.withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))), "slices")
+
+
+def _with_offsets(sliced: DataFrame, total: Column, part: list[str]) -> DataFrame:
+    """``sliced`` with ``__first`` (the group's first row in the slice) and ``__off`` (``total``
+    over the group's earlier slices).  The joined table has a row per slice and group in it."""
+    before = Window.partitionBy(*part).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy("__slice", *part).agg(total.alias("__tot"), F.min("__at").alias("__first"))
+    sums = sums.withColumn("__off", F.coalesce(F.sum("__tot").over(before), F.lit(0))).drop("__tot")
     if not part:
-        return sliced.join(F.broadcast(offsets), "__slice")  # a row per slice
-    renamed = offsets.select(F.col(part[0]).alias("__g"), F.col("__slice").alias("__s"), "__off")
-    return sliced.join(renamed, F.col(part[0]).eqNullSafe(F.col("__g")) & (F.col("__slice") == F.col("__s"))).drop("__g", "__s")
+        return sliced.join(F.broadcast(sums), "__slice")  # a row per slice
+    named = sums.select(F.col(part[0]).alias("__g"), F.col("__slice").alias("__s"), "__first", "__off")
+    return sliced.join(named, (F.col("__slice") == F.col("__s")) & F.col(part[0]).eqNullSafe(F.col("__g"))).drop("__g", "__s")
 
 
 def value_position(
@@ -202,28 +195,20 @@ def value_position(
     order_cols: list[str],
     out: str = "__pos",
     partition_col: str | None = None,
-    ranges: int = 64,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``out``: 0-based position in ``order_cols`` order (value order).
 
-    Cut points of the first order column split the order into balanced
-    slices; a window per slice ranks locally and a bounded table of slice
-    offsets (``ranges`` rows per ``partition_col`` value) makes the rank
-    global.  Nulls rank last.  ``order_cols`` must be a total order (end with a unique column).
-    With ``partition_col`` the rank restarts for every value of that column.
+    Rows are numbered within ranges of the whole order (:func:`sliced_in_order`); a
+    small table of range offsets makes the number global.  Nulls rank last.
+    ``order_cols`` must be a total order (end with a unique column).  With
+    ``partition_col`` the rank restarts for every value of that column, null included.
     """
     part = [partition_col] if partition_col else []
-    bounds = slice_bounds(df, order_cols[0], ranges)
-    sliced = df.withColumn("__slice", slice_of(order_cols[0], bounds))
-    counts = sliced.groupBy(*part, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    w_off = Window.partitionBy(*part).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, "__slice", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    w_in = Window.partitionBy(*part, "__slice").orderBy(*_nulls_last(order_cols))
-    return (
-        _with_offsets(sliced, offsets, part)
-        .withColumn(out, (F.col("__off") + F.row_number().over(w_in) - F.lit(1)).cast("long"))
-        .drop("__slice", "__off")
-    )
+    sliced = sliced_in_order(df, [*part, *order_cols], ranges)
+    placed = _with_offsets(sliced, F.count(F.lit(1)), part)
+    position = F.col("__off") + F.col("__at") - (F.col("__first") if part else F.lit(0))
+    return placed.withColumn(out, position.cast("long")).drop("__slice", "__at", "__first", "__off")
 
 
 def with_dense_id(df: DataFrame, seed: int = 0, out: str = "__row_id") -> DataFrame:
@@ -252,7 +237,7 @@ def cumulative_sum(
     out: str,
     partition_col: str | None = None,
     inclusive: bool = True,
-    ranges: int = 64,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``out``: running sum of ``value_col`` in ``order_cols`` order.
 
@@ -261,15 +246,11 @@ def cumulative_sum(
     rest.  ``inclusive=False`` excludes the row itself.
     """
     part = [partition_col] if partition_col else []
-    bounds = slice_bounds(df, order_cols[0], ranges)
-    sliced = df.withColumn("__slice", slice_of(order_cols[0], bounds))
-    totals = sliced.groupBy(*part, "__slice").agg(F.sum(value_col).alias("__tot"))
-    w_off = Window.partitionBy(*part).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, "__slice", F.coalesce(F.sum("__tot").over(w_off), F.lit(0)).alias("__off"))
+    sliced = sliced_in_order(df, [*part, *order_cols], ranges)
     end = 0 if inclusive else -1
-    w_in = Window.partitionBy(*part, "__slice").orderBy(*_nulls_last(order_cols)).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy("__slice", *part).orderBy("__at").rowsBetween(Window.unboundedPreceding, end)
     return (
-        _with_offsets(sliced, offsets, part)
-        .withColumn(out, F.col("__off") + F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
-        .drop("__slice", "__off")
+        _with_offsets(sliced, F.sum(value_col), part)
+        .withColumn(out, F.col("__off") + F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
+        .drop("__slice", "__at", "__first", "__off")
     )

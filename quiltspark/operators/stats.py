@@ -40,22 +40,28 @@ def benchmark_rank(long_df: DataFrame, maximise: Sequence[str] = (), model: str
     return ranked.groupBy(model).agg(*aggs)
 
 
+#: Consecutive positions of a group that one task averages over.
+BLOCK_ROWS = 100_000
+
+
 def moving_average(df: DataFrame, order_col: str, value: str, partition_col: str, id_col: str,
-                   window: int = 10, out: str = "moving_avg", digits: int = 6) -> DataFrame:
+                   window: int = 10, out: str = "moving_avg", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rolling mean of the last ``window`` rows in ``order_col`` order, ``min_periods=1``.
 
-    Exact and distributed: each row is copied to the ``window`` positions it
-    contributes to (a fixed 10x fan-out), then grouped by target position.
+    Every group's positions are cut into blocks; a block borrows the last ``window`` - 1
+    rows of the one before (its halo), so the window within blocks sees all it needs.
+    One shuffle after the ranking, ``window`` / ``block_rows`` more rows.  Null values are
+    left out of a mean; a null group is a group.
     """
+    rows = max(block_rows, window)
     ranked = value_position(df, [order_col, id_col], out="__p", partition_col=partition_col)
-    shifted = ranked.select(
-        partition_col, F.col(value).cast("double").alias("__v"), "__p",
-        F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("__s"),
-    ).select(partition_col, "__v", (F.col("__p") + F.col("__s")).alias("__target"))
-    ma = shifted.groupBy(partition_col, "__target").agg(F.avg("__v").alias(out))
-    return ranked.join(ma, (ranked[partition_col] == ma[partition_col]) & (ranked["__p"] == ma["__target"])).select(
-        ranked["*"], F.round(ma[out], digits).alias(out)
-    ).drop("__p")
+    block = F.floor(F.col("__p") / rows)
+    lends = F.col("__p") % rows >= rows - (window - 1)
+    blocks = F.when(lends, F.array(block, block + 1)).otherwise(F.array(block))
+    lent = ranked.withColumn("__b", F.explode(blocks))
+    last = Window.partitionBy(partition_col, "__b").orderBy("__p").rowsBetween(1 - window, 0)
+    found = lent.withColumn(out, F.round(F.avg(F.col(value).cast("double")).over(last), digits))
+    return found.where(F.col("__b") == block).drop("__p", "__b")
 
 
 def compare_results(res_a: DataFrame, res_b: DataFrame, name_a: str = "A", name_b: str = "B",

@@ -57,3 +57,33 @@ def test_value_position_and_cumsum(spark):
         running += v
         expect[i] = running
     assert all(abs(cs[i] - expect[i]) < 1e-9 for i in expect)
+
+
+def test_a_hot_value_is_many_slices(spark):
+    """Nine rows in ten share the first order column: they are dealt out all the same."""
+    from quiltspark.operators.positions import sliced_in_order
+
+    df = spark.range(4000).select("id", F.when(F.col("id") % 10 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"), F.lit(1.0).alias("w"))
+    sizes = [r["count"] for r in sliced_in_order(df, ["v", "id"], 16).groupBy("__slice").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 4000 / 16
+    want = {r["id"]: k for k, r in enumerate(sorted(df.collect(), key=lambda r: (r["v"], r["id"])))}
+    assert {r["id"]: r["p"] for r in value_position(df, ["v", "id"], out="p", ranges=16).collect()} == want
+    sums = cumulative_sum(df, ["v", "id"], "w", "s", inclusive=False, ranges=16)
+    assert {r["id"]: r["s"] for r in sums.collect()} == {k: float(v) for k, v in want.items()}
+
+
+def test_moving_average_across_blocks(spark):
+    from quiltspark.operators.stats import moving_average
+
+    rows = [(i, [None, "a", "b"][i % 3] if i % 7 else "a", float(i * 37 % 101), None if i % 11 == 0 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, o double, v double")
+    want = {}
+    for g in (None, "a", "b"):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        for k, r in enumerate(mine):
+            some = [x[3] for x in mine[max(0, k - 9) : k + 1] if x[3] is not None]
+            want[r[0]] = round(sum(some) / len(some), 6) if some else None
+    for block in (10, 13, 1000):
+        got = moving_average(df, "o", "v", "g", "id", block_rows=block)
+        assert got.columns == [*df.columns, "moving_avg"]
+        assert {r["id"]: r["moving_avg"] for r in got.collect()} == want
