@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tiled = placed.join(load, "grp").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     tiled = tiled.withColumn("_o", other).select("grp", "k", "rep", F.least("tile", "_o").alias("t1"), F.greatest("tile", "_o").alias("t2")).distinct()
-    grouped = tiled.join(docs, tiled["rep"] == docs["doc_id"]).select("grp", "t1", "t2", "k", "rep", "text")
+    # texts are moved to the groups in the same way at every size: no broadcast of groups where they are few
+    grouped = tiled.join(docs.hint("merge"), tiled["rep"] == docs["doc_id"]).select("grp", "t1", "t2", "k", "rep", "text")
     found = grouped.groupBy("grp", "t1", "t2").applyInArrow(_verified, "a long, b long")
 
     repeats = _repeats(own)
