@@ -4,12 +4,13 @@ differentially private.
 Fit, all as Spark jobs:
 1. Discretise: columns with <= ``categorical_threshold`` distinct values are
    categories; the rest fall into ``histogram_size`` equal-width bins.
-2. Structure: greedy, ``k`` parents.  Every step scores all candidate
-   (attribute, parent set) pairs in *one* pass: each row emits one record per
-   candidate, a grouped count gives the joint tables (map-side combined: at
-   most bins^(k+1) cells per candidate leave a task) and the mutual
-   information per candidate is a further grouped aggregate.  Only the
-   per-candidate scores (a few thousand numbers) reach the driver.
+2. Structure: greedy, ``k`` parents.  The rows are first counted into a sparse
+   cube, one row per combination of codes that occurs, and read no more.  Every
+   step scores the candidate (attribute, parent set) pairs that no earlier step
+   has scored, in *one* pass over the cube: a grouped sum gives the joint tables
+   (map-side combined: at most bins^(k+1) cells per candidate leave a task) and
+   the mutual information per candidate is a further grouped aggregate.  Only
+   the per-candidate scores (a few thousand numbers) reach the driver.
 3. Conditionals: counts per (parents, attribute), optionally with seeded
    Laplace noise over the full cell grid, turned into cumulative arrays per
    parent key -- a table of at most bins^k rows, broadcast when sampling.
@@ -95,15 +96,22 @@ class BayesNet(Generator):
         return len(self.categories[c]) if c in self.categories else self.histogram_size
 
     # -- structure ----------------------------------------------------------
+    def cube(self, disc: DataFrame) -> DataFrame:
+        """The combinations of all codes that occur, with ``__n`` rows each: what structure and
+        conditionals are counted from, so a row of the table is read once."""
+        return disc.groupBy(*[_q(c) for c in disc.columns if c != ROW_ID]).agg(F.count(F.lit(1)).alias("__n"))
+
     def mutual_information(self, disc: DataFrame, candidates: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
-        """``(cid, mi)`` for every candidate (attribute, parents) in one pass."""
+        """``(cid, mi)`` for every candidate (attribute, parents) in one pass over the cube
+        (of discretised rows, the cube is made first)."""
         m = F.lit(float(self._m))
+        cube = disc if "__n" in disc.columns else self.cube(disc)
         recs = F.array(*[
             F.struct(F.lit(cid).alias("cid"), _q(x).alias("xv"),
-                     F.concat_ws("|", *[_q(p).cast("string") for p in ps]).alias("pk"))
+                     F.concat_ws("|", *[_q(p).cast("string") for p in ps]).alias("pk"), F.col("__n").alias("w"))
             for cid, (x, ps) in enumerate(candidates)
         ])
-        joint = disc.select(F.inline(recs)).groupBy("cid", "xv", "pk").agg(F.count(F.lit(1)).alias("n"))
+        joint = cube.select(F.inline(recs)).groupBy("cid", "xv", "pk").agg(F.sum("w").alias("n"))
         px = joint.groupBy("cid", "xv").agg(F.sum("n").alias("nx"))
         pp = joint.groupBy("cid", "pk").agg(F.sum("n").alias("np"))
         j = joint.join(px, ["cid", "xv"]).join(pp, ["cid", "pk"])
@@ -111,7 +119,7 @@ class BayesNet(Generator):
             F.sum((F.col("n") / m) * F.log((F.col("n") * m) / (F.col("nx") * F.col("np")))).alias("mi")
         )
 
-    def _learn_structure(self, disc: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
+    def _learn_structure(self, cube: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
         rng = np.random.default_rng(self.noise_seed if self.epsilon > 0 else self.seed)
         cols = list(self.columns)
         root = cols[int(rng.integers(len(cols)))]
@@ -119,11 +127,15 @@ class BayesNet(Generator):
         visited = [root]
         steps = max(1, len(cols) - 1)
         eps_step = (self.epsilon / 2.0) / steps if self.epsilon > 0 else 0.0
+        known: dict[tuple[str, tuple[str, ...]], float] = {}  # scores don't change from step to step
         while len(visited) < len(cols):
             kk = min(self.k, len(visited))
             cands = [(x, ps) for x in cols if x not in visited for ps in combinations(visited, kk)]
-            scores = {r["cid"]: r["mi"] for r in self.mutual_information(disc, cands).collect()}  # <= #candidates
-            mi = np.array([scores.get(i, 0.0) or 0.0 for i in range(len(cands))])
+            new = [c for c in cands if c not in known]
+            if new:
+                scores = {r["cid"]: r["mi"] for r in self.mutual_information(cube, new).collect()}  # <= #candidates
+                known.update((c, scores.get(i, 0.0) or 0.0) for i, c in enumerate(new))
+            mi = np.array([known[c] for c in cands])
             if eps_step > 0:
                 n = self._m
                 sens = (2.0 / n) * math.log((n + 1) / 2.0) + ((n - 1) / n) * math.log((n + 1) / max(n - 1, 1))
@@ -145,7 +157,7 @@ class BayesNet(Generator):
     # -- conditionals -------------------------------------------------------
     def _conditional(self, disc: DataFrame, x: str, parents: tuple[str, ...], salt: int) -> DataFrame:
         """``(pk, vals, cum)``: cumulative distribution of ``x`` per parent key."""
-        counts = disc.groupBy(*[_q(p) for p in parents], _q(x)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        counts = disc.groupBy(*[_q(p) for p in parents], _q(x)).agg(F.sum("__n").cast("double").alias("n"))
         if self.epsilon > 0:
             dims = list(parents) + [x]
             grid = disc.sparkSession.range(1).select(
@@ -181,7 +193,7 @@ class BayesNet(Generator):
         train = spread(complete_rows(train), ROW_ID)
         self._train_ids = train.select(ROW_ID)
         self._m = train.count()
-        disc = self._discretise(train).persist()
+        disc = materialize(self.cube(self._discretise(train)), "bn-cube")
         self.network = self._learn_structure(disc)
         self.conditionals = {}
         self.marginals = {}
@@ -189,7 +201,6 @@ class BayesNet(Generator):
             self.conditionals[x] = materialize(self._conditional(disc, x, ps, salt=i), f"bn-cond-{i}")
             marg = self._conditional(disc, x, (), salt=100 + i).first()  # one row, <= bins values
             self.marginals[x] = (list(marg["vals"]), list(marg["cum"]))
-        disc.unpersist()
         return self
 
     # -- sampling -----------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Utility and privacy metrics of a synthetic table against the real one.
+"""Utility and privacy metrics of a synthetic table against the real one (U1-U3, U6-U9; U4, U5: privacy.py).
 
 Definitions are ours, from the literature (the reference calls an outside
 package): Hellinger distance of marginals, Frobenius norm of the difference of
@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltspark.operators.aggregates import tag_real_synthetic
+from quiltspark.operators.privacy import identifiability_risk, median_dcr
+from quiltspark.operators.splits import PAIRS_PER_AGG, _pairwise_r
 
 
 def _q(c: str):
@@ -63,63 +65,88 @@ def hellinger(real: DataFrame, synthetic: DataFrame, discrete: Sequence[str], co
     return per.unionByName(avg).select("column", F.round("h", digits).alias("h_dist"))
 
 
-def _pearson(df: DataFrame, a: str, b: str) -> float:
-    both = df.where(_q(a).isNotNull() & _q(b).isNotNull())
-    r = both.agg(F.coalesce(F.try_divide(F.covar_pop(_q(a).cast("double"), _q(b).cast("double")),
-                                         F.stddev_pop(_q(a).cast("double")) * F.stddev_pop(_q(b).cast("double"))),
-                            F.lit(0.0)).alias("r")).first()["r"]
-    return float(r or 0.0)
-
-
-def _eta(df: DataFrame, cat: str, num: str) -> float:
-    """Correlation ratio of a numeric column given a categorical one."""
-    y = _q(num).cast("double")
-    df = df.where(_q(num).isNotNull())  # a null category is a category
-    g = df.groupBy(_q(cat).alias("__g")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"))
-    tot = df.agg(F.avg(y).alias("mu"), (F.var_pop(y) * F.count(F.lit(1))).alias("sst")).first()
-    if not tot["sst"]:
-        return 0.0
-    ssb = g.agg(F.sum(F.col("n") * (F.col("m") - F.lit(tot["mu"])) ** 2).alias("ssb")).first()["ssb"]
-    return math.sqrt(max(0.0, ssb / tot["sst"]))
-
-
-def _cramers_v(df: DataFrame, a: str, b: str) -> float:
-    cells = df.groupBy(_q(a).alias("__a"), _q(b).alias("__b")).agg(F.count(F.lit(1)).alias("o"))
-    ra = cells.groupBy("__a").agg(F.sum("o").alias("ra"))
-    cb = cells.groupBy("__b").agg(F.sum("o").alias("cb"))
-    cells, ra, cb = cells.alias("c"), ra.alias("ra"), cb.alias("cb")
-    j = cells.join(ra, F.expr("c.__a <=> ra.__a")).join(cb, F.expr("c.__b <=> cb.__b"))  # null levels too
-    r = j.agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s"), F.sum("o").alias("n")).first()
-    k = min(ra.count(), cb.count())
-    if k < 2 or not r["n"]:
-        return 0.0
-    chi2 = r["n"] * (r["s"] - 1.0)
-    return math.sqrt(max(0.0, chi2 / r["n"] / (k - 1)))
+def _numeric_moments(df: DataFrame, numeric: Sequence[str]) -> tuple[dict[tuple[str, str], float], dict[str, tuple[float, float]]]:
+    """Pearson's r of every pair (rows that have both), and mean and total sum of squares
+    of every column, in one aggregate per ``PAIRS_PER_AGG`` pairs."""
+    x = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(numeric)])
+    pairs = list(combinations(range(len(numeric)), 2))
+    moments = [e.alias(f"{k}{i}") for i in range(len(numeric)) for k, e in (("m", F.avg(f"c{i}")), ("v", F.var_pop(f"c{i}") * F.count(f"c{i}")))]
+    r: dict[tuple[str, str], float] = {}
+    for at in range(0, max(1, len(pairs)), PAIRS_PER_AGG):
+        chunk = pairs[at : at + PAIRS_PER_AGG]
+        row = x.agg(*moments, *[_pairwise_r(f"c{i}", f"c{j}").alias(f"r_{i}_{j}") for i, j in chunk]).first()
+        for i, j in chunk:
+            v = row[f"r_{i}_{j}"]
+            r[numeric[i], numeric[j]] = 0.0 if v is None or v != v else float(v)
+    return r, {c: (row[f"m{i}"] or 0.0, row[f"v{i}"] or 0.0) for i, c in enumerate(numeric)}
+
+
+def _cube(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    """One row per combination of categories that occurs: its rows, and of each number how
+    many values and their sum."""
+    sums = [e.alias(f"{k}{j}") for j, c in enumerate(numeric) for k, e in (("c", F.count(_q(c))), ("s", F.sum(_q(c).cast("double"))))]
+    keys = [_q(c).cast("string").alias(f"k{i}") for i, c in enumerate(categorical)]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
 def association_matrix(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> tuple[list[str], np.ndarray]:
-    """Mixed association: Pearson (num-num), correlation ratio (cat-num), Cramer's V (cat-cat)."""
+    """Mixed association: Pearson (num-num), correlation ratio (cat-num), Cramer's V (cat-cat).
+
+    Two scans whatever the number of columns: the moments of all numbers, and a sparse
+    cube of the combinations of categories that occur.  The cells of every pair are
+    sums over the cube, and every pair's figure is one row of one aggregate.  A null
+    category is a category; null numbers are left out pair by pair."""
     cols = list(categorical) + list(numeric)
     m = np.eye(len(cols))
-    for i, j in combinations(range(len(cols)), 2):
-        a, b = cols[i], cols[j]
-        if a in categorical and b in categorical:
-            v = _cramers_v(df, a, b)
-        elif a in categorical:
-            v = _eta(df, a, b)
-        elif b in categorical:
-            v = _eta(df, b, a)
+    r, moments = _numeric_moments(df, numeric) if numeric else ({}, {})
+    place = {c: k for k, c in enumerate(cols)}
+
+    def put(a: str, b: str, v: float) -> None:
+        m[place[a], place[b]] = m[place[b], place[a]] = v
+
+    for (a, b), v in r.items():
+        put(a, b, v)
+    of: list[tuple[str, str]] = []
+    records = []
+    cell = lambda a, b, n, s: F.struct(F.lit(len(of)).alias("id"), a.alias("a"), b.alias("b"), n.alias("n"), s.alias("s"))
+    for i, a in enumerate(categorical):
+        for j, b in enumerate(numeric):
+            # sums about the mean, so that no digits are lost
+            records.append(cell(F.col(f"k{i}"), F.lit(None).cast("string"), F.col(f"c{j}"), F.coalesce(F.col(f"s{j}"), F.lit(0.0)) - F.col(f"c{j}") * F.lit(moments[b][0])))
+            of.append((a, b))
+        for j in range(i + 1, len(categorical)):
+            records.append(cell(F.col(f"k{i}"), F.col(f"k{j}"), F.col("n"), F.lit(0.0)))
+            of.append((a, categorical[j]))
+    if not records:
+        return cols, m
+    cells = _cube(df, categorical, numeric).select(F.inline(F.array(*records))).groupBy("id", "a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    by_a, by_b = Window.partitionBy("id", "a"), Window.partitionBy("id", "b")
+    cells = cells.where("n > 0").select("id", "n", "s", F.sum("n").over(by_a).alias("na"), F.sum("n").over(by_b).alias("nb"),
+                                        F.count(F.lit(1)).over(by_a).alias("ka"), F.count(F.lit(1)).over(by_b).alias("kb"))
+    found = cells.groupBy("id").agg(
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("o"),
+        F.sum(1 / F.col("ka")).alias("levels_a"), F.sum(1 / F.col("kb")).alias("levels_b"),
+    ).collect()  # a row per pair
+    for row in found:
+        a, b = of[row["id"]]
+        if b in moments:
+            total = moments[b][1]
+            put(a, b, math.sqrt(max(0.0, row["between"] / total)) if total else 0.0)
         else:
-            v = _pearson(df, a, b)
-        m[i, j] = m[j, i] = v
+            k = round(min(row["levels_a"], row["levels_b"]))
+            put(a, b, math.sqrt(max(0.0, (row["o"] - 1.0) / (k - 1))) if k >= 2 else 0.0)
+    for i, a in enumerate(categorical):  # pairs without any row
+        for b in [*numeric, *categorical[i + 1 :]]:
+            if not any(of[row["id"]] == (a, b) for row in found):
+                put(a, b, 0.0)
     return cols, m
 
 
 def corr_diff(real: DataFrame, synthetic: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> float:
     """Frobenius norm of the difference of the two association matrices.
 
-    Each entry is one grouped aggregate over the table; the d x d matrices
-    are the only thing on the driver.
+    Each table is scanned twice; the d x d matrices are the only thing on the driver.
     """
     _, a = association_matrix(real, categorical, numeric)
     _, b = association_matrix(synthetic, categorical, numeric)
@@ -228,6 +255,11 @@ def evaluate(real: DataFrame, synthetic: DataFrame, holdout: DataFrame, categori
     rows.append(("corr_mat_diff", corr_diff(real, synthetic, categorical, numeric)))
     if len(numeric) >= 2:
         rows += list(pca_difference(real, synthetic, numeric).items())
+    near = median_dcr(real, synthetic, numeric, categorical)["median_dcr"]
+    risk = identifiability_risk(real, synthetic, numeric, categorical)
+    other = identifiability_risk(holdout, synthetic, numeric, categorical)
+    rows += [(m, float("nan") if v is None else v) for m, v in (
+        ("median_DCR", near), ("eps_identif_risk", risk), ("priv_loss_eps", None if risk is None or other is None else risk - other))]
     if label is not None:
         feats = [c for c in list(categorical) + list(numeric) if c != label]
         rows += list(classifier_utility(real, synthetic, holdout, feats, label, seed).items())
