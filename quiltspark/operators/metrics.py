@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltspark.operators.aggregates import tag_real_synthetic
+from quiltspark.operators.encode import OrdinalEncoder
 from quiltspark.operators.privacy import identifiability_risk, median_dcr
 from quiltspark.operators.splits import PAIRS_PER_AGG, _pairwise_r
 
@@ -210,29 +211,27 @@ def classifier_utility(real: DataFrame, synthetic: DataFrame, holdout: DataFrame
 def membership_inference(real_train: DataFrame, synthetic: DataFrame, holdout: DataFrame, features: Sequence[str],
                          rounds: int = 5, seed: int = 0) -> dict:
     """U8: a forest learns synthetic (+) vs one half of the holdout (-); it is then asked
-    to tell training rows (members) from the other holdout half (non-members).
+    to tell all training rows (members) from the other holdout half (non-members).
 
-    Halves and the member sample are exact seeded splits (S7); recall and
-    precision of "member" are averaged over ``rounds``.
+    Halves are exact seeded splits (S7); recall and precision of "member" are averaged
+    over ``rounds``.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    from quiltspark.operators.sampling import smallest_by_key, train_test_split
+    from quiltspark.operators.sampling import train_test_split
 
     feats = list(features)
     rec, prec = [], []
     n_hold = holdout.count()
     for r in range(rounds):
         h1, h2 = train_test_split(holdout, 0.5, seed=seed + r, n=n_hold)
-        n2 = h2.count()
-        members = smallest_by_key(real_train, n2, seed + r, "mia", "__row_id")
         fit_df = synthetic.select(*feats, F.lit(1.0).alias("__y")).unionByName(h1.select(*feats, F.lit(0.0).alias("__y")))
         pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
                                 RandomForestClassifier(labelCol="__y", numTrees=50, maxDepth=5, seed=seed + r)])
         model = pipe.fit(fit_df)
-        test = members.select(*feats, F.lit(1.0).alias("__y")).unionByName(h2.select(*feats, F.lit(0.0).alias("__y")))
+        test = real_train.select(*feats, F.lit(1.0).alias("__y")).unionByName(h2.select(*feats, F.lit(0.0).alias("__y")))
         c = model.transform(test).agg(
             F.sum(((F.col("prediction") == 1.0) & (F.col("__y") == 1.0)).cast("long")).alias("tp"),
             F.sum(((F.col("prediction") == 1.0) & (F.col("__y") == 0.0)).cast("long")).alias("fp"),
@@ -260,6 +259,13 @@ def evaluate(real: DataFrame, synthetic: DataFrame, holdout: DataFrame, categori
     other = identifiability_risk(holdout, synthetic, numeric, categorical)
     rows += [(m, float("nan") if v is None else v) for m, v in (
         ("median_DCR", near), ("eps_identif_risk", risk), ("priv_loss_eps", None if risk is None or other is None else risk - other))]
+    if label is not None or mia_rounds:
+        # the models take numbers: one dictionary for the values of all three tables
+        words = [c for c in categorical if dict(real.dtypes)[c] == "string"]
+        if words:
+            tables = (real, synthetic, holdout)
+            codes = OrdinalEncoder(words).fit(tables[0].select(*words).unionByName(tables[1].select(*words)).unionByName(tables[2].select(*words)))
+            real, synthetic, holdout = (codes.transform(t) for t in tables)
     if label is not None:
         feats = [c for c in list(categorical) + list(numeric) if c != label]
         rows += list(classifier_utility(real, synthetic, holdout, feats, label, seed).items())

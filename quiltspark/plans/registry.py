@@ -1171,14 +1171,14 @@ def q_knn(spark, sf):
 
 @register("U9_evaluate")
 def q_evaluate(spark, sf):
-    """Metric table of one synthetic table (Hellinger, association, PCA, classifier utility)."""
+    """Metric table of one synthetic table with all of U1-U8."""
     real, holdout = _halves(spark, sf)
     real = real.withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
     holdout = holdout.withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
     syn = RandomJoining(SEED).join({"a": real.select(ROW_ID, "o_orderstatus", "label", "o_totalprice"),
                                     "b": real.select(ROW_ID, "o_custkey", "o_orderpriority")})
     return U.evaluate(real, syn, holdout, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"],
-                      label=None, seed=SEED)
+                      label="label", seed=SEED, mia_rounds=5)
 
 
 def _h_eval(real):
