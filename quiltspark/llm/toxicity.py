@@ -276,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         got, toxic, room = [], [], TRAIN_CHARS
         for batch in batches:
             for text, c in zip(batch.column("text").to_pylist(), batch.column("_t_toxic").to_pylist(), strict=True):
-                room -= len(text or "")
-                if room >= 0:
+                if len(text or "") <= room:  # a text too long for what is left is no sample; later ones are
+                    room -= len(text or "")
                     got.append(text or "")
                     toxic.append(c)
         model = train(got, toxic, rate)
