@@ -44,7 +44,7 @@ from .components import components
 from .shingles import shingle_sets
 
 HEAVY, TASK_HEAVY, SHORT = 200_000, 20_000, 16
-LIST_ROWS, GROUP_SHINGLES = 1_000_000, 4_000_000
+LIST_ROWS, GROUP_SHINGLES = 500_000, 4_000_000
 CHUNK_ROWS = 1_000_000
 
 
@@ -131,9 +131,12 @@ def _lists(heavy: np.ndarray, count: np.ndarray, parts: int):
             order = np.lexsort((h, part))
             h, owner, part = h[order], owner[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            head = np.array([len(keys)], "<u4").tobytes() + np.array(keys, "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
-            some = [p for p in range(parts) if cut[p + 1] > cut[p]]
-            blobs = [head + h[cut[p] : cut[p + 1]].tobytes() + owner[cut[p] : cut[p + 1]].tobytes() for p in some]
+            all_keys, all_sizes = np.array(keys, "<i8"), np.array(sizes, "<u4")
+            some, blobs = [p for p in range(parts) if cut[p + 1] > cut[p]], []
+            for p in some:  # with the classes that this part has, not those of the whole chunk
+                own, at = np.unique(owner[cut[p] : cut[p + 1]], return_inverse=True)
+                head = np.array([len(own)], "<u4").tobytes() + all_keys[own].tobytes() + all_sizes[own].tobytes()
+                blobs.append(head + h[cut[p] : cut[p + 1]].tobytes() + at.astype("<u4").tobytes())
             nothing = pa.nulls(len(some), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), nothing, nothing], names)
 
