@@ -10,7 +10,7 @@ and no driver-side range is materialised.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
@@ -113,9 +113,12 @@ def generate_synthetic_data(train: DataFrame, model: str | Generator, n: int | N
 
 
 def fan_out(parts: Mapping[str, DataFrame], models: Mapping[str, str | Generator], n: int, seed: int = 0,
-            max_workers: int | None = None) -> dict[str, DataFrame]:
+            max_workers: int | None = None, categorical: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Fit and sample every split with its own model as concurrent Spark jobs.
 
+    ``categorical`` names the encoded categories; a model that tells them from
+    numbers (an attribute ``categorical`` that is still None) gets those of its split.
+
     Each split's jobs run from a driver thread in their own scheduler pool;
     results are written to the checkpoint folder so the re-join reads
     materialised parts.
@@ -127,7 +130,10 @@ def fan_out(parts: Mapping[str, DataFrame], models: Mapping[str, str | Generator
         df0 = parts[name]
         sc = df0.sparkSession.sparkContext
         sc.setLocalProperty("spark.scheduler.pool", f"split-{name}")
-        out = generate_synthetic_data(df0, models[name], n, seed + 1000 * i)
+        generator = make_generator(models[name])
+        if getattr(generator, "categorical", ()) is None:
+            generator.categorical = [c for c in df0.columns if c in set(categorical)]
+        out = generator.generate(df0, n, seed + 1000 * i)
         return name, materialize(out, f"part-{name}")
 
     with ThreadPoolExecutor(max_workers=max_workers or len(names)) as ex:

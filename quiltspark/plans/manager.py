@@ -78,7 +78,10 @@ class DisjointSynthesizer:
             df = with_dense_id(df, seed=self.seed)
         self.columns = [c for c in self.original.columns if c != ROW_ID]
         self.encoder = OrdinalEncoder().fit(df)
-        enc = materialize(complete_rows(to_numeric(self.encoder.transform(df))), "encoded")
+        enc = to_numeric(self.encoder.transform(df))
+        if isinstance(self._strategy, ValidatedJoin):  # validators score complete rows
+            enc = complete_rows(enc)
+        enc = materialize(enc, "encoded")
         self.encoded = enc
         if self.models and isinstance(self.models[0], tuple) and isinstance(self.models[0][1], (int, float)):  # C4: [(model, share), ...]
             splits, self.split_models = C.ratio_split(self.columns, self.models, seed=self.seed)
@@ -110,7 +113,8 @@ class DisjointSynthesizer:
             to_generate = (self.oversample or 3) * n
         elif self.oversample:
             to_generate = self.oversample * n
-        self.synthetic_parts = fan_out(self.training_parts, self.split_models, to_generate, seed=self.seed)
+        self.synthetic_parts = fan_out(self.training_parts, self.split_models, to_generate, seed=self.seed,
+                                       categorical=self.encoder.columns)
         joined = self.conduct_joining(max_size=n if isinstance(strategy, ValidatedJoin) else None)
         self.synthetic = self.postprocess(joined)
         return self.synthetic
