@@ -114,6 +114,13 @@ def calibration_curve(df: DataFrame, prob: str = "score", label: str = "label",
     )
 
 
+def calibration_pair(train: DataFrame, holdout: DataFrame, prob: str = "score", label: str = "label", bins: int = 10,
+                     digits: int = 6) -> DataFrame:
+    """A8 side by side: the curve and its histogram for the training set (``k`` = 1) and the holdout set (``k`` = 2)."""
+    sides = [calibration_curve(df, prob, label, bins, digits).select(F.lit(k).alias("k"), "*") for k, df in ((1, train), (2, holdout))]
+    return sides[0].unionByName(sides[1])
+
+
 def group_point_estimates(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) -> DataFrame:
     """Mean, sample sd and sem per group (the data behind the figures)."""
     return df.groupBy(*keys).agg(

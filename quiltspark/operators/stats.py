@@ -95,72 +95,110 @@ def friedman_statistic(df: DataFrame, block: Sequence[str], model: str = "model"
     One row ``(statistic, dof, n_blocks)``; :func:`friedman_test` adds the p value.
     """
     r = average_ranks(df, block, value)
-    k_models = df.select(model).distinct().count()
-    sums = r.groupBy(model).agg(F.sum("avg_rank").alias("R"))
-    ties = r.groupBy(*block, value).agg(F.count(F.lit(1)).alias("t")).agg(
-        F.sum(F.col("t") ** 3 - F.col("t")).alias("tt")
-    )
-    b = df.select(*block).distinct().count()
-    k = k_models
-    ssr = sums.agg(F.sum(F.col("R") * F.col("R")).alias("ssr")).first()["ssr"]
-    tt = ties.first()["tt"] or 0.0
-    chi2 = 12.0 / (b * k * (k + 1)) * ssr - 3.0 * b * (k + 1)
-    c = 1.0 - tt / (b * k * (k * k - 1))
-    chi2 = chi2 / c if c > 0 else float("nan")
+    per_model = r.groupBy(model).agg(F.sum("avg_rank").alias("R"))
+    k, ssr = per_model.agg(F.count(F.lit(1)), F.sum(F.col("R") * F.col("R"))).first()
+    per_value = r.groupBy(*block, value).agg(F.count(F.lit(1)).alias("t"))
+    per_block = per_value.groupBy(*block).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("tt"))
+    b, tt = per_block.agg(F.count(F.lit(1)), F.coalesce(F.sum("tt"), F.lit(0.0))).first()
+    chi2 = float("nan")
+    if b and k > 1:
+        c = 1.0 - tt / (b * k * (k * k - 1))
+        chi2 = (12.0 / (b * k * (k + 1)) * ssr - 3.0 * b * (k + 1)) / c if c > 0 else chi2
     spark = df.sparkSession
-    return spark.createDataFrame([(round(chi2, digits), k - 1, b)], "statistic double, dof int, n_blocks long")
+    return spark.createDataFrame([(round(chi2, digits), max(k - 1, 0), b)], "statistic double, dof int, n_blocks long")
 
 
 def friedman_test(df: DataFrame, block: Sequence[str], model: str = "model", value: str = "value"):
-    row = friedman_statistic(df, block, model, value).first()
-    return row["statistic"], chi2_sf(row["statistic"], row["dof"])
+    """statistic and p value; both are NaN where all ranks are tied or there is one model."""
+    row = friedman_statistic(df, block, model, value, digits=12).first()
+    return row["statistic"], float("nan") if math.isnan(row["statistic"]) else chi2_sf(row["statistic"], row["dof"])
 
 
-def wilcoxon_pairs(wide: DataFrame, models: Sequence[str], digits: int = 6) -> DataFrame:
+def wilcoxon_pairs(wide: DataFrame, models: Sequence[str], digits: int = 6, ties: bool = False) -> DataFrame:
     """F3 statistic: signed-rank sums for every pair of model columns of ``wide``
     (one row per block, one column per model).
 
     Pairs come from the *parameter* list of models (column expressions), not
-    from a self-join; zero differences are dropped; ties get average ranks
-    computed with sliced positions, so no block set is ranked in one task.
+    from a self-join; zero and null differences are dropped.  Rows are counted by
+    absolute difference before they are ranked, so ties get their average rank
+    from a running count, and a hot difference is one row.  ``ties`` adds
+    ``tie_sum``, the sum of t**3 - t over tied groups, for the variance.
     """
     pairs = list(combinations(models, 2))
     diffs = wide.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"),
                  (F.col(a) - F.col(b)).cast("double").alias("d"))
         for a, b in pairs
-    ]))).where(F.col("d") != 0).withColumn("pair", F.concat_ws("|", "model_a", "model_b")).withColumn(
-        "absd", F.abs("d")).withColumn("__uid", F.monotonically_increasing_id())
-    ranked = value_position(diffs, ["absd", "__uid"], out="__p", partition_col="pair")
-    tie = ranked.groupBy("pair", "absd").agg(((F.min("__p") + F.max("__p")) / 2.0 + 1.0).alias("r"))
-    with_r = ranked.join(tie, ["pair", "absd"])
-    return with_r.groupBy("model_a", "model_b").agg(
-        F.round(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)), digits).alias("w_plus"),
-        F.round(F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)), digits).alias("w_minus"),
-        F.count(F.lit(1)).alias("n"),
+    ]))).where(F.col("d") != 0)
+    per = diffs.groupBy("model_a", "model_b", F.abs("d").alias("absd")).agg(
+        F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.count(F.lit(1)).alias("t"))
+    per = per.withColumn("pair", F.concat_ws("|", "model_a", "model_b"))
+    ranked = cumulative_sum(per, ["absd"], "t", "below", partition_col="pair", inclusive=False)
+    r, t = F.col("below") + (F.col("t") + 1) / 2.0, F.col("t").cast("double")
+    return ranked.groupBy("model_a", "model_b").agg(
+        F.round(F.sum(F.col("up") * r), digits).alias("w_plus"),
+        F.round(F.sum((F.col("t") - F.col("up")) * r), digits).alias("w_minus"),
+        F.sum("t").cast("long").alias("n"),
+        *([F.sum(t * t * t - t).alias("tie_sum")] if ties else []),
     )
 
 
-def holm_wilcoxon(stats_rows, alpha: float = 0.1):
-    """F3 p values (normal approximation) with Holm step-down correction (driver, <= pairs rows)."""
+EXACT_BLOCKS = 50
+
+
+def _signed_rank_p(w_plus: float, n: int, tie_sum: float, alternative: str) -> float:
+    """p of a signed-rank sum: exact up to ``EXACT_BLOCKS`` untied differences, else normal with tied variance."""
+    if alternative not in ("two-sided", "less", "greater"):
+        raise ValueError(f"unknown alternative {alternative!r}")
+    if not n:
+        return 1.0
+    if n <= EXACT_BLOCKS and not tie_sum:
+        ways = [1] + [0] * (n * (n + 1) // 2)  # how many sign patterns give each sum
+        for rank in range(1, n + 1):
+            for s in range(len(ways) - 1, rank - 1, -1):
+                ways[s] += ways[s - rank]
+        w = int(round(w_plus))
+        low, high = sum(ways[: w + 1]) / 2.0 ** n, sum(ways[w:]) / 2.0 ** n
+    else:
+        sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie_sum / 48.0)
+        z = (w_plus - n * (n + 1) / 4.0) / sd
+        low, high = (0.5 * (1 + py_erf(s * z / math.sqrt(2.0))) for s in (1, -1))
+    return low if alternative == "less" else high if alternative == "greater" else min(1.0, 2.0 * min(low, high))
+
+
+def holm_wilcoxon(stats_rows, alpha: float = 0.1, alternative: str = "two-sided", correction: str = "holm"):
+    """F3 p values of :func:`wilcoxon_pairs` rows, corrected for their number (driver, <= pairs rows).
+
+    ``correction``: ``holm`` (step down), ``bonferroni`` or ``none``; ``less`` asks whether
+    ``model_a`` is below ``model_b``.  Rows without ``tie_sum`` count as untied.
+    """
+    if correction not in ("holm", "bonferroni", "none"):
+        raise ValueError(f"unknown correction {correction!r}")
     res = []
     for r in stats_rows:
-        n = r["n"]
-        w = min(r["w_plus"], r["w_minus"])
-        mu = n * (n + 1) / 4.0
-        sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24.0) if n else 0.0
-        z = (w - mu) / sd if sd else 0.0
-        p = 2.0 * (0.5 * (1 + py_erf(-abs(z) / math.sqrt(2.0))))
-        res.append({"model_a": r["model_a"], "model_b": r["model_b"], "statistic": w, "p": min(1.0, p)})
-    res.sort(key=lambda x: x["p"])
+        r = r.asDict() if hasattr(r, "asDict") else r
+        p = _signed_rank_p(r["w_plus"], r["n"], r.get("tie_sum") or 0.0, alternative)
+        res.append({"model_a": r["model_a"], "model_b": r["model_b"], "statistic": min(r["w_plus"], r["w_minus"]), "p": p})
+    res.sort(key=lambda x: (x["p"], x["model_a"], x["model_b"]))
     m, running = len(res), 0.0
     for i, x in enumerate(res):
-        running = max(running, min(1.0, (m - i) * x["p"]))
-        x["p_holm"] = running
+        factor = {"holm": m - i, "bonferroni": m, "none": 1}[correction]
+        running = max(running, min(1.0, factor * x["p"]))
+        x["p_holm" if correction == "holm" else "p_corrected"] = running
         x["reject"] = running < alpha
     return res
 
 
+def pairwise_test(wide: DataFrame, models: Sequence[str], alpha: float = 0.1, alternative: str = "two-sided",
+                  correction: str = "holm", digits: int = 9) -> DataFrame:
+    """F3 whole: ``(model_a, model_b, statistic, p_value, p_corrected, reject)``, a row per pair with any block."""
+    found = holm_wilcoxon(wilcoxon_pairs(wide, models, digits=6, ties=True).collect(), alpha, alternative, correction)
+    rows = [(x["model_a"], x["model_b"], float(x["statistic"]), round(x["p"], digits),
+             round(x.get("p_holm", x.get("p_corrected")), digits), bool(x["reject"])) for x in found]
+    return wide.sparkSession.createDataFrame(
+        rows, "model_a string, model_b string, statistic double, p_value double, p_corrected double, reject boolean")
+
+
 def auc_rank_sum(df: DataFrame, score: str = "score", label: str = "label", positive=1):
     """Exact ROC AUC = P(s+ > s-) + P(s+ = s-)/2, distributed.
 

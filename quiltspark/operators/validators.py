@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiltspark.functions.keys import key_to_long, seeded_key
 from quiltspark.functions.mathx import sigmoid
 from quiltspark.operators.joins import JoinBehaviour, feature_columns
-from quiltspark.operators.positions import kth_value
+from quiltspark.operators.positions import kth_value, value_position
 from quiltspark.operators.sampling import setup_training_data
-from quiltspark.session import spread
+from quiltspark.session import materialize, spread
 
 log = logging.getLogger(__name__)
 
@@ -424,8 +425,9 @@ class IsolationForestValidator(Validator):
     Trees: every tree's 256-row subsample is the rows with the smallest seeded
     hash for that tree (pre-filtered to ~4x256 candidates per tree, so no
     group ever holds more than a bounded sample); ``groupBy(tree).applyInPandas``
-    grows the trees; the node tables (<= trees x 511 rows) are broadcast and
-    path lengths are computed batch-wise with ``mapInPandas``.
+    grows the trees of all folds and of the final forest; the node tables (<=
+    forests x trees x 511 rows) are broadcast and path lengths are computed
+    batch-wise with ``mapInPandas``.
     Score = ``1 - (anomaly - offset)``, higher = more inlier; the auto
     threshold sorts ascending, as the reference does (defect D6).
     """
@@ -436,97 +438,131 @@ class IsolationForestValidator(Validator):
     def __init__(self, n_trees: int = 100, sample_size: int = 256, contamination: float = 0.25, seed: int = 0):
         self.n_trees, self.sample_size, self.contamination, self.seed = n_trees, sample_size, contamination, seed
 
-    def _subsamples(self, data: DataFrame, n: int) -> DataFrame:
-        m = min(self.sample_size, n)
-        factor = 4.0
+    def _subsamples(self, data: DataFrame, sizes: Mapping[int, int]) -> DataFrame:
+        """For every forest ``__forest`` and tree the rows with the smallest hash; trees are numbered through all forests."""
+        factor, trees, spark = 4.0, self.n_trees, data.sparkSession
+        want = spark.createDataFrame([(g * trees + t, min(self.sample_size, n)) for g, n in sizes.items() for t in range(trees)],
+                                     "tree int, m int")  # forests x trees rows
         while True:
-            thr = min(1.0, factor * m / max(n, 1))
-            u = lambda t: (F.xxhash64(F.lit(self.seed), F.lit(t), F.col("j")).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5))
-            recs = F.filter(F.array(*[F.struct(F.lit(t).alias("tree"), u(t).alias("u")) for t in range(self.n_trees)]),
-                            lambda s: s["u"] < F.lit(thr))
+            share = {g: min(1.0, factor * min(self.sample_size, n) / max(n, 1)) for g, n in sizes.items()}
+            thr = F.create_map(*[F.lit(x) for g, u in share.items() for x in (g, u)])[F.col("__forest")]
+            u = lambda t: F.xxhash64(F.lit(self.seed), t, F.col("j")).cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+            ids = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (F.col("__forest") * trees + t).cast("int"))
+            recs = F.filter(F.transform(ids, lambda t: F.struct(t.alias("tree"), u(t).alias("u"))), lambda s: s["u"] < thr)
             cand = data.select("*", F.explode(recs).alias("__s")).select("*", "__s.tree", "__s.u").drop("__s")
-            w = Window.partitionBy("tree").orderBy("u", "j")
-            picked = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m).drop("__r").persist()
-            short = picked.groupBy("tree").count().where(F.col("count") < m).count()
-            if short == 0 and picked.select("tree").distinct().count() == self.n_trees or thr >= 1.0:
+            w = Window.partitionBy("tree").orderBy("u", "j", *self.features)
+            picked = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= self.sample_size).drop("__r").persist()
+            had = picked.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+            short = want.join(had, "tree", "left").where(F.coalesce("n", F.lit(0)) < F.col("m")).limit(1).count()
+            if not short or min(share.values()) >= 1.0:
                 return picked
             picked.unpersist()
             factor *= 4
 
-    def _grow(self, data: DataFrame, n: int):
-        feats, limit, seed = list(self.features), int(math.ceil(math.log2(max(min(self.sample_size, n), 2)))), self.seed
-        sub = self._subsamples(data.select("j", *feats), n)
+    def _grow(self, data: DataFrame, sizes: Mapping[int, int]) -> dict[int, tuple]:
+        """All forests of ``data`` (j, features, ``__forest``) in one grouped job: ``{__forest: (forest, psi)}``."""
+        feats, trees, seed = list(self.features), self.n_trees, self.seed
+        limits = {g: int(math.ceil(math.log2(max(min(self.sample_size, n), 2)))) for g, n in sizes.items()}
+        sub = self._subsamples(data.select("j", "__forest", *feats), sizes)
         schema = "tree int, node int, feature int, split double, left int, right int, size long"
-        nodes = sub.groupBy("tree").applyInPandas(lambda pdf: _build_tree(pdf, feats, limit, seed), schema).collect()
+        grown = sub.groupBy("tree").applyInPandas(lambda pdf: _build_tree(pdf, feats, limits[int(pdf["__forest"].iloc[0])], seed), schema)
+        nodes = grown.collect()  # <= forests x n_trees x (2*256 - 1) rows
         sub.unpersist()
-        trees: dict[int, list] = {}
-        for r in nodes:  # <= n_trees * (2*256 - 1) rows
-            trees.setdefault(r["tree"], []).append(r)
-        forest = []
-        for t in sorted(trees):
-            rows = sorted(trees[t], key=lambda r: r["node"])
-            forest.append(tuple(np.array([getattr(r, k) for r in rows]) for k in ("feature", "split", "left", "right", "size")))
-        return forest, min(self.sample_size, n)
-
-    def _anomaly(self, df: DataFrame, out: str = "__anom") -> DataFrame:
-        feats = list(self.features)
-        bc = df.sparkSession.sparkContext.broadcast((self.forest, self.psi))
+        rows: dict[int, list] = {}
+        for r in nodes:
+            rows.setdefault(r["tree"], []).append(r)
+        forests: dict[int, list] = {g: [] for g in sizes}
+        for t in sorted(rows):
+            tree = sorted(rows[t], key=lambda r: r["node"])
+            forests[t // trees].append(tuple(np.array([getattr(r, k) for r in tree]) for k in ("feature", "split", "left", "right", "size")))
+        return {g: (forest, min(self.sample_size, sizes[g])) for g, forest in forests.items()}
+
+    def _anomaly(self, df: DataFrame, out: str = "__anom", forests: Mapping[int, tuple] | None = None) -> DataFrame:
+        """Anomaly by the fitted forest, or by that of ``forests`` which a row's ``__forest`` names."""
+        feats, grouped = list(self.features), forests is not None
+        bc = df.sparkSession.sparkContext.broadcast(dict(forests) if grouped else {0: (self.forest, self.psi)})
+
+        def anomalies(x, forest, psi):
+            total = np.zeros(len(x))
+            for feature, split, left, right, size in forest:
+                node = np.zeros(len(x), dtype=int)
+                depth = np.zeros(len(x))
+                active = feature[node] >= 0
+                while active.any():
+                    f = feature[node[active]]
+                    go_left = x[active, f] < split[node[active]]
+                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
+                    depth[active] += 1
+                    active = feature[node] >= 0
+                total += depth + _avg_path(size[node])
+            return np.power(2.0, -(total / len(forest)) / float(_avg_path([psi])[0]))
 
         def score_batches(it):
-            forest, psi = bc.value
-            c_psi = float(_avg_path([psi])[0])
             for pdf in it:
                 x = pdf[feats].to_numpy(dtype=float)
-                total = np.zeros(len(x))
-                for feature, split, left, right, size in forest:
-                    node = np.zeros(len(x), dtype=int)
-                    depth = np.zeros(len(x))
-                    active = feature[node] >= 0
-                    while active.any():
-                        f = feature[node[active]]
-                        go_left = x[active, f] < split[node[active]]
-                        node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                        depth[active] += 1
-                        active = feature[node] >= 0
-                    total += depth + _avg_path(size[node])
-                pdf[out] = np.power(2.0, -(total / len(forest)) / c_psi)
+                which = pdf["__forest"].to_numpy() if grouped else np.zeros(len(x), dtype=int)
+                found = np.zeros(len(x))
+                for g in np.unique(which):
+                    found[which == g] = anomalies(x[which == g], *bc.value[int(g)])
+                pdf[out] = found
                 yield pdf
 
         schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
         return df.mapInPandas(score_batches, schema)
 
+    def _folds(self, data: DataFrame, k: int, seed: int) -> DataFrame:
+        """``data`` once per forest: ``__forest`` 0 trains on all rows, ``__forest`` i on all but the i-th hold-out
+        (per class the ``ceil(n_c / k)`` rows of smallest key, as M6 with ``seed + i - 1``); ``__test`` marks those."""
+        per_class = {r["label"]: -(-r["n"] // k) if k else 0 for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        g = F.explode(F.sequence(F.lit(0), F.lit(k)))
+        rows = data.select("j", "label", *self.features, g.alias("__forest"))
+        if not k:
+            return rows.withColumn("__test", F.lit(False))
+        key = None
+        for i in range(1, k + 1):
+            for c in per_class:
+                here = F.when((F.col("__forest") == i) & (F.col("label") == c), key_to_long(seeded_key(seed + i - 1, f"holdout:{c}", "j")))
+                key = here if key is None else F.coalesce(key, here)
+        held = value_position(rows.where("__forest > 0").withColumn("__h", key).withColumn("__gc", F.concat_ws("|", "__forest", "label")),
+                              ["__h", "j"], out="__pos", partition_col="__gc").drop("__h", "__gc")
+        n_test = F.create_map(*[F.lit(x) for c, m in per_class.items() for x in (c, m)])[F.col("label")]
+        held = held.withColumn("__test", F.col("__pos") < n_test).drop("__pos")
+        return rows.where("__forest = 0").withColumn("__test", F.lit(False)).unionByName(held)
+
     def fit(self, parts: Mapping[str, DataFrame], number_of_k_fold: int = 5, num_batches_of_bad_joins: int = 2,
             seed: int | None = None) -> "IsolationForestValidator":
-        from quiltspark.operators.sampling import holdout_split, subsample_negatives
+        """The trees of all folds and of the final forest grow in one job; one more scores every row
+        with each of them, one ranks the training scores of all, one counts the folds' hits."""
+        from quiltspark.operators.sampling import subsample_negatives
 
-        seed = self.seed if seed is None else seed
+        seed, k = self.seed if seed is None else seed, number_of_k_fold or 0
+        if k == 1:
+            raise ValueError("one fold would hold out every row")
         self.features = feature_columns(parts)
         train = setup_training_data(parts, num_batches_of_bad_joins, seed=seed, negative_class=-1)
-        data = subsample_negatives(train, seed, negative_class=-1).persist()
+        data = subsample_negatives(train, seed, negative_class=-1)
+        rows = materialize(self._folds(materialize(data, "outliers"), k, seed), "folds")
+        fitted = rows.where("not __test")
+        sizes = {r["__forest"]: r["n"] for r in fitted.groupBy("__forest").agg(F.count(F.lit(1)).alias("n")).collect()}
+        forests = self._grow(fitted, sizes)
+        scored = materialize(self._anomaly(rows, forests=forests).select("j", "__forest", "label", "__test", "__anom"), "anomalies")
+        at = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(int((1 - self.contamination) * n), n - 1))])
+        ranked = value_position(scored.where("not __test"), ["__anom", "j", "label"], out="__pos", partition_col="__forest")
+        cuts = {r["__forest"]: r["__anom"] for r in ranked.where(F.col("__pos") == at[F.col("__forest")]).collect()}  # one row a forest
         self.fold_f1_ = []
-        for i in range(number_of_k_fold or 0):
-            tr, te = holdout_split(data, number_of_k_fold, seed + i)
-            n_tr = tr.count()
-            self.forest, self.psi = self._grow(tr, n_tr)
-            cut = self._cut(self._anomaly(tr.select(*self.features)))
-            pred = self._anomaly(te).withColumn("pred", F.when(F.col("__anom") <= F.lit(cut), 1).otherwise(-1))
-            f1s = []
-            for cls in (1, -1):  # macro F1 with like labels (reference defect D9)
-                c = confusion(pred, "label", "pred", cls)
-                f1s.append(f1_from_counts(c["tp"], c["fp"], c["fn"]))
-            self.fold_f1_.append(sum(f1s) / 2)
-        n = data.count()
-        self.forest, self.psi = self._grow(data, n)
-        self.offset_ = self._cut(self._anomaly(data.select(*self.features)))
-        data.unpersist()
+        if k:
+            cut = F.create_map(*[F.lit(x) for g, c in cuts.items() for x in (g, c)])[F.col("__forest")]
+            inlier, is_true = F.col("__anom") <= cut, F.col("label") == 1
+            hits = scored.where("__test").groupBy("__forest").agg(
+                F.count(F.when(inlier & is_true, 1)).alias("tp"), F.count(F.when(inlier & ~is_true, 1)).alias("fp"),
+                F.count(F.when(~inlier & is_true, 1)).alias("fn"), F.count(F.when(~inlier & ~is_true, 1)).alias("tn"))
+            for r in sorted(hits.collect()):  # macro F1 with like labels (reference defect D9)
+                self.fold_f1_.append((f1_from_counts(r["tp"], r["fp"], r["fn"]) + f1_from_counts(r["tn"], r["fn"], r["fp"])) / 2)
+        self.forest, self.psi = forests[0]
+        self.offset_ = cuts[0]  # above it lies the ``contamination`` share of the training rows
         self.pre_fit = True
         return self
 
-    def _cut(self, anomalies: DataFrame) -> float:
-        """Anomaly score above which the ``contamination`` share of training rows lies."""
-        n = anomalies.count()
-        return kth_value(anomalies, "__anom", min(int((1 - self.contamination) * n), n - 1))
-
     def score(self, df: DataFrame) -> DataFrame:
         self._check(df)
         return self._anomaly(df).withColumn("score", F.lit(1.0) - (F.col("__anom") - F.lit(self.offset_))).drop("__anom")

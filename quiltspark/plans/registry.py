@@ -585,6 +585,22 @@ def q_calibration(spark, sf):
     return A.calibration_curve(SCORER.score(_training(spark, sf)), "score", "label", 10)
 
 
+@register(
+    "A8_calibration_pair",
+    f"""WITH t AS ({_M3_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
+        CAST(('0x' || substr(md5('{SEED}:holdout:' || CAST(label AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15)) AS BIGINT), j) AS rn,
+        count(*) OVER (PARTITION BY label) AS nc FROM t),
+st AS (SELECT CASE WHEN rn <= (nc + 4) // 5 THEN 2 ELSE 1 END AS k, label, {SCORE_SQL} AS score FROM r)
+SELECT k, CAST(least(greatest(ceil(score * 10) - 1, 0), 9) AS INTEGER) AS bin, round(avg(score), 6) AS mean_pred,
+       round(avg(CAST(label AS DOUBLE)), 6) AS frac_pos, count(*) AS n FROM st GROUP BY ALL""",
+)
+def q_calibration_pair(spark, sf):
+    """Calibration of the fixed scorer on the training rows and on the held-out fifth of each class."""
+    train, holdout = M.holdout_split(_training(spark, sf), 5, SEED)
+    return A.calibration_pair(SCORER.score(train), SCORER.score(holdout), "score", "label", 10)
+
+
 @register(
     "V11_score_validator",
     f"""WITH {_SCORED_TRAIN_SQL},
@@ -741,6 +757,50 @@ def q_wilcoxon(spark, sf):
     return S.wilcoxon_pairs(wide, MODELS)
 
 
+# three models, so two degrees of freedom, where the tail is exp(-x / 2)
+@register(
+    "F2_friedman_test",
+    f"""WITH v AS ({_BLOCK_SQL}),
+r AS (SELECT *, rank() OVER (PARTITION BY data, rep ORDER BY value) + (count(*) OVER (PARTITION BY data, rep, value) - 1) / 2.0 AS ar FROM v),
+s AS (SELECT model, sum(ar) AS rr FROM r GROUP BY model),
+t AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT count(*) AS c FROM v GROUP BY data, rep, value)),
+k AS (SELECT count(DISTINCT model) AS k, count(DISTINCT (data, rep)) AS b FROM v),
+x AS (SELECT (12.0 / (b * k * (k + 1)) * (SELECT sum(rr * rr) FROM s) - 3.0 * b * (k + 1)) / (1.0 - tt / (b * k * (k * k - 1))) AS x FROM k, t)
+SELECT round(x, 6) AS statistic, round(least(1.0, exp(-x / 2)), 6) AS p_value FROM x""",
+)
+def q_friedman_test(spark, sf):
+    stat, p = S.friedman_test(_block_values(spark, sf), ["data", "rep"], "model", "value")
+    return spark.createDataFrame([(round(stat, 6), round(p, 6))], "statistic double, p_value double")
+
+
+# at most 14 blocks: all 2^n sign patterns are counted where no difference is tied
+@register(
+    "F3_pairwise_test",
+    f"""WITH w AS ({_WIDE_SQL}),
+d AS ({' UNION ALL '.join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, \"{a}\" - \"{b}\" AS d FROM w" for a, b in combinations(MODELS, 2))}),
+r AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d))
+             + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+s AS (SELECT model_a, model_b, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0.0 END) AS DOUBLE) AS wp,
+             CAST(sum(CASE WHEN d < 0 THEN r ELSE 0.0 END) AS DOUBLE) AS wm, count(*) AS n FROM r GROUP BY ALL),
+g AS (SELECT model_a, model_b, abs(d) AS ad, CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY ALL),
+t AS (SELECT model_a, model_b, sum(c * c * c - c) AS tt FROM g GROUP BY ALL),
+m AS (SELECT model_a, model_b, wp, n, unnest(range(CAST(1 AS BIGINT) << n)) AS m FROM s),
+e AS (SELECT model_a, model_b, avg(CASE WHEN v <= wp THEN 1.0 ELSE 0.0 END) AS lo, avg(CASE WHEN v >= wp THEN 1.0 ELSE 0.0 END) AS hi
+      FROM (SELECT model_a, model_b, wp, list_sum([((m >> i) & 1) * (i + 1) for i in range(n)]) AS v FROM m) GROUP BY ALL),
+z AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tt / 48.0) AS z
+      FROM s JOIN t USING (model_a, model_b) JOIN e USING (model_a, model_b)),
+p AS (SELECT model_a, model_b, least(wp, wm) AS statistic,
+             least(1.0, CASE WHEN tt = 0 THEN 2 * least(lo, hi) ELSE 1.0 + {_erf_sql("(z / CAST('1.4142135623730951' AS DOUBLE))")} END) AS p FROM z),
+h AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, model_a, model_b) + 1) * p AS q FROM p),
+c AS (SELECT *, max(least(1.0, q)) OVER (ORDER BY p, model_a, model_b) AS pc FROM h)
+SELECT model_a, model_b, statistic, round(p, 9) AS p_value, round(pc, 9) AS p_corrected, pc < 0.1 AS reject FROM c""",
+)
+def q_pairwise(spark, sf):
+    """Signed-rank tests of all model pairs with Holm's correction."""
+    wide = _runs_wide(spark, sf).groupBy("data", "rep").pivot("model", MODELS).agg(F.avg("l_quantity"))
+    return S.pairwise_test(wide, MODELS)
+
+
 @register(
     "J7_intersect_metrics",
     f"""WITH a1 AS ({_A1_SQL})
@@ -954,7 +1014,7 @@ def q_bn_dp_sample(spark, sf):
 
 @register("G6_cart_sample")
 def q_cart_sample(spark, sf):
-    return generate_synthetic_data(_encoded_orders(spark, sf), "cart", seed=SEED)
+    return generate_synthetic_data(_encoded_orders(spark, sf), "cart", seed=SEED, categorical=BN_CATEGORICAL)
 
 
 @register("H2_fit_generate")
@@ -1027,7 +1087,7 @@ def q_density_validator(spark, sf):
 
 @register("V8_isolation_forest_validator")
 def q_iforest_validator(spark, sf):
-    v = V.IsolationForestValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS), number_of_k_fold=0)
+    v = V.IsolationForestValidator(seed=SEED).fit(orders_parts(spark, sf, _NUM_SPLITS))
     return _validated_round(spark, sf, v)
 
 
