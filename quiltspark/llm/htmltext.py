@@ -14,12 +14,18 @@ article.  A word of a class or id may say something else (``has-sidebar``) and
 a form may be around the whole page, so such a part is kept if it holds the
 article itself, or more than ``MOST`` times the characters outside links that
 are there without it; the largest first, those named for readers' texts or other
-pages last.
+pages last.  Inside an article a name that says something else besides
+(``related-work``) only counts against its part: it stays if its own composite
+density reaches the threshold and at most a quarter of its characters are links.
 
 Text comes out in page order: character references decoded, inline elements
 joined, blocks separated by a space, white space runs made one space.  A null,
 empty or text-less page gives the empty string.  Broken markup never fails:
-unknown end tags are ignored and open elements end with their parent.
+unknown end tags are ignored and open elements end with their parent; after
+``RETRIES`` tags whose quotes never close, tags end at the next ``>``.  Reading
+takes time in proportion to the page, however broken or deeply nested.  Repeated
+rows and pages get a result each, an empty table an empty one; other columns are
+kept, and a column ``text`` that is there already is refused.
 """
 
 from __future__ import annotations
@@ -34,9 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"\shidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']++))?+""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+#: Tags with open quotes that are tried before quotes count for nothing.
+RETRIES = 8
 _WORD = re.compile(r"[a-z]+")
 
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -64,11 +73,19 @@ _SAYS = frozenset(
     login register paywall comment comments disqus respond reply replies share sharing social related recommended recommendations popular trending
     pagination pager widget copyright skip search""".split()
 )
+#: Words that go with those in a name and change nothing.
+_PLAIN = frozenset(
+    """area articles bar block body bottom box button buttons bottom center col column container content feed footer form group header icons inline inner
+    item items js label left link links list main media module more news outer page panel posts right row section site slot stories strip tag tags text
+    title top unit user view wrap wrapper""".split()
+)
 _OTHERS = frozenset("comment comments disqus respond reply replies related recommended recommendations popular trending".split())
 _MAIN = frozenset("html body main article".split())
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 MOST = 9
-#: Why a part is dropped: by its element or as hidden; by its name; by a name for texts of others.
-_SURE, _NAMED, _OTHER = 1, 2, 3
+#: Why a part is dropped: by its element or as hidden; by its name; by a name for texts of others;
+#: inside an article, by a name that says something else besides.
+_SURE, _NAMED, _OTHER, _HINT = 1, 2, 3, 4
 
 
 class Node:
@@ -81,71 +98,135 @@ class Node:
         self.plain = 0
 
 
+def _attributes(rest: str) -> dict[str, str]:
+    """Lower-case names to values, without quotes; of a repeated name the first."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
 def _dropped(name: str, rest: str, inside: bool) -> int:
     if (name in _NEVER and name != "form") or (name == "header" and not inside):
         return _SURE
     if rest and name not in _MAIN:
-        if _HIDDEN.search(rest):
+        has = _attributes(rest)
+        if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or _NONE.search(has.get("style", "")):
             return _SURE
-        said = {w for key, value in _MARKS.findall(rest) if key.lower() in ("class", "id", "role") for w in _WORD.findall(value.lower())}
-        if not _OTHERS.isdisjoint(said):
-            return _OTHER
-        if not _SAYS.isdisjoint(said) or (not inside and "header" in said):
+        names = [_WORD.findall(x) for key in ("class", "id", "role") for x in has.get(key, "").lower().split()]
+        said = {w for words in names for w in words}
+        known = _OTHERS | _SAYS
+        if not known.isdisjoint(said):
+            if inside and all(any(w not in known and w not in _PLAIN for w in words) for words in names if not known.isdisjoint(words)):
+                return _HINT
+            return _NAMED if _OTHERS.isdisjoint(said) else _OTHER
+        if not inside and "header" in said:
             return _NAMED
     return _NAMED if name == "form" else 0
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, "/" of an end tag, name and the rest of each tag; comments and the
+    like have no name.  The caller may send a place to go on from."""
+    at, retries = 0, RETRIES
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            found = (start, len(html) if end < 0 else end + 3, "", "", "")
+        else:
+            head = _NAME.match(html, at)
+            if not head and html[at : at + 1] not in ("!", "?"):
+                continue
+            whole = _REST.match(html, head.end()) if head and retries else None
+            if whole:
+                found = (start, whole.end(), head[1], head[2].lower(), whole[1])
+            else:
+                end = html.find(">", at)
+                if end < 0:  # nor is there one for a later tag
+                    return
+                if head:
+                    retries = max(0, retries - 1)
+                    found = (start, end + 1, head[1], head[2].lower(), html[head.end() : end])
+                else:
+                    found = (start, end + 1, "", "", "")
+        at = found[1]
+        onward = yield found
+        if onward is not None:
+            at = onward
+            yield found
+
+
+class _Opened:
+    """The open elements; where the last of a name, block or element other than inline is, at once."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.solid: list[int] = []
+
+    def last(self, *names: str) -> int:
+        return max((at[-1] for x in names if (at := self.places.get(x))), default=-1)
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.name, []).append(k)
+        if node.name in _ENDS_P:
+            self.blocks.append(k)
+        if node.name not in _INLINE:
+            self.solid.append(k)
+
+    def end(self, k: int) -> Node:
+        """Close the element at ``k`` and all in it; what is around it."""
+        up = self.nodes[k].up
+        for i in range(len(self.nodes) - 1, k - 1, -1):
+            self.places[self.nodes[i].name].pop()
+            for kind in (self.blocks, self.solid):
+                if kind and kind[-1] == i:
+                    kind.pop()
+        del self.nodes[k:]
+        return up
+
+
 def parse(html: str) -> Node:
     """The page's tree; strings and nodes are in ``items`` in page order."""
     root = Node("html", None)
-    at, here, opened = 0, root, []
-    raw_until = 0
-    for m in _TAG.finditer(html):
-        if m.start() < raw_until:
-            continue
-        if m.start() > at:
-            here.items.append(html[at : m.start()])
-        at = m.end()
-        name = m.group(2)
+    at, here, opened = 0, root, _Opened()
+    tags = _tags(html)
+    for start, end, slash, name, rest in tags:
+        if start > at:
+            here.items.append(html[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if m.group(1):
-            k = len(opened) - 1
-            stop = _ENDS_P if name in _INLINE else ()
-            while k >= 0 and opened[k].name != name and opened[k].name not in stop:
-                k -= 1
-            if k >= 0 and opened[k].name == name:
-                here = opened[k].up
-                del opened[k:]
+        if slash:
+            k = opened.last(name)
+            if k >= 0 and not (name in _INLINE and opened.blocks and opened.blocks[-1] > k):
+                here = opened.end(k)
             continue
         if name in ("html", "body"):
             if name == "body":  # a body ends whatever of the head was left open
-                opened, here = [], root
+                opened, here = _Opened(), root
             continue
         if name in _ENDS_P:
-            k = len(opened) - 1
-            while k >= 0 and (opened[k].name in _INLINE):
-                k -= 1
-            if k >= 0 and opened[k].name == "p":
-                here = opened[k].up
-                del opened[k:]
+            k = opened.last("p")
+            if k >= 0 and opened.solid[-1] == k:
+                here = opened.end(k)
         elif name in _CLOSES:
             ended, bounds = _CLOSES[name]
-            k = len(opened) - 1
-            while k >= 0 and opened[k].name not in ended and opened[k].name not in bounds:
-                k -= 1
-            if k >= 0 and opened[k].name in ended:
-                here = opened[k].up
-                del opened[k:]
-        rest = m.group(3)
-        node = Node(name, here, _dropped(name, rest, any(x.name in ("article", "main") for x in opened)))
+            k = opened.last(*ended)
+            if k > opened.last(*bounds):
+                here = opened.end(k)
+        node = Node(name, here, _dropped(name, rest, opened.last("article", "main") >= 0))
         here.items.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = raw_until = end.end() if end else len(html)
+            close = _RAW_ENDS[name].search(html, at)
+            at = close.end() if close else len(html)
+            tags.send(at)
         elif name not in _VOID and not rest.endswith("/"):
-            opened.append(node)
+            opened.push(node)
             here = node
     if at < len(html):
         here.items.append(html[at:])
@@ -162,14 +243,16 @@ def _order(root: Node) -> list[Node]:
 
 def _undrop(root: Node) -> None:
     """A part that says it is something else but holds the article is kept."""
-    todo = [(root, [])]
+    todo: list[tuple[Node, tuple | None]] = [(root, None)]
     while todo:
         node, above = todo.pop()
-        above = [*above, node] if node.drop else above
-        if above and node.name in ("article", "main") and all(x.name == "form" or x.name not in _NEVER for x in above):
-            for x in above:
-                x.drop = 0
-            above = []
+        if node.drop:  # (part, those around it, whether all of them may be kept)
+            above = (node, above, (node.name == "form" or node.name not in _NEVER) and (above is None or above[2]))
+        if above and node.name in ("article", "main") and above[2]:
+            while above and above[0].drop:  # those further out are kept already
+                above[0].drop = 0
+                above = above[1]
+            above = None
         todo += [(x, above) for x in node.items if x.__class__ is Node]
 
 
@@ -192,7 +275,7 @@ def _undrop_most(root: Node) -> None:
         there, todo = part.plain, [part]
         while todo:
             for x in todo.pop().items:
-                if x.__class__ is Node and x.drop in (_NAMED, _OTHER):
+                if x.__class__ is Node and x.drop in (_NAMED, _OTHER, _HINT):
                     there -= x.plain
                     heapq.heappush(parts, (x.drop, -x.plain, len(seen), x))
                     seen.append(x)
@@ -212,6 +295,7 @@ def _undrop_most(root: Node) -> None:
 def measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of the kept nodes; parents first."""
     nodes = _order(root)
+    around, root.up = root.up, None  # what is around a part is not changed by it
     for node in reversed(nodes):
         node.chars += sum(len(x.strip()) for x in node.items if x.__class__ is str)
         if node.name == "a":
@@ -232,9 +316,17 @@ def measure(root: Node) -> list[Node]:
     for node in reversed(nodes):
         if node.up and node.name not in _INLINE:
             node.up.total += node.density
+    root.up = around
     return nodes
 
 
+def _stays(part: Node, threshold: float) -> bool:
+    """Whether a part with a hint of a name is as dense as the article and holds few links."""
+    part.drop = 0
+    measure(part)
+    return part.chars > 0 and part.density >= threshold and 4 * part.link_chars <= part.chars
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -258,7 +350,7 @@ def main_text(html: str | None) -> str:
         if x.__class__ is str:
             if inside:
                 out.append(x)
-        elif x.drop:
+        elif x.drop and not (inside and x.drop == _HINT and _stays(x, threshold)):
             out.append(" ")
         elif inside:
             inline = x.name in _INLINE

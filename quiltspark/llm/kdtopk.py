@@ -11,10 +11,12 @@ all other shards.
 
 Ties go to the smaller vec_id (a box that only equals the k-th score is still
 opened).  Rows without an id, and vectors that are null or hold null or
-non-finite components, take no part.  Of rows that repeat an id the smallest
-vector counts, for queries and candidates alike.  Vectors of different lengths
-are not compared; empty vectors score 0 with each other.  Fewer candidates than
-k give all of them.  Only the two named columns are read.
+non-finite components, take no part.  Where ids repeat every row is a candidate
+of its own for all other ids, none for its own id, and the queries of one id are
+ranked together (equal rows are carried once and counted, up to k times, which is
+all that k places can show).  Vectors of different lengths are not compared;
+empty vectors score 0 with each other.  Fewer candidates than k give all of
+them; an empty table gives an empty result.  Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -113,8 +115,9 @@ def _searcher(k: int):
             ids = vectors.column("vec_id").to_numpy()[tree.order]
             q = q.astype(kind)
             bounds = np.maximum(q, 0) @ tree.hi.T + np.minimum(q, 0) @ tree.lo.T
-            for row, (own, kth) in enumerate(zip(queries.column("query_id").to_pylist(), queries.column("kth").to_pylist(), strict=True)):
-                for score, i in search(tree, ids, q[row], own, bounds[row], kth, k):
+            asked = zip(*(queries.column(c).to_pylist() for c in ("query_id", "kth", "times")), strict=True)
+            for row, (own, kth, times) in enumerate(asked):
+                for score, i in search(tree, ids, q[row], own, bounds[row], kth, k) * times:
                     for column, value in zip(out, (own, i, score), strict=True):
                         column.append(value)
         return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
@@ -128,18 +131,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     ``vectors``: vec_id, embedding.  Queries against all rows, in blocks: the work
     is their product, each task's memory is one shard and one block."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v"), is_query.alias("_q"))
-    rows = rows.filter("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("_q").alias("_q"))
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_q"), 1))).first()
+    rows = rows.filter("vec_id is not null and v is not null").groupBy("vec_id", "v")
+    rows = rows.agg(F.max("_q").alias("_q"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    n, n_queries = rows.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.when(F.col("_q"), 1))).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
-    rows = rows.select("vec_id", "v", "_q", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
-    queries = rows.filter("_q").select(F.col("vec_id").alias("query_id"), "v", "dim", F.col("shard").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
-    base = rows.select("vec_id", "v", "dim", "shard")
+    rows = rows.select("vec_id", "v", "_q", "times", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))
+    queries = rows.filter("_q").select(F.col("vec_id").alias("query_id"), "v", "times", "dim", F.col("shard").alias("home"), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)).alias("block"))
+    base = rows.select("vec_id", "v", "dim", "shard", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_copy")).drop("_copy")
 
     def searched(asked: DataFrame) -> DataFrame:
         # names of its own on either side: both come from the same rows
         spread = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         spread = spread.select("vec_id", F.col("v").alias("x"), F.col("dim").alias("_dim"), F.col("shard").alias("_shard"), F.col("block").alias("_block"))
-        asked = asked.select("query_id", "kth", F.col("v").alias("q"), F.col("dim").alias("dim_"), F.col("shard").alias("shard_"), F.col("block").alias("block_"))
+        asked = asked.select("query_id", "kth", "times", F.col("v").alias("q"), F.col("dim").alias("dim_"), F.col("shard").alias("shard_"), F.col("block").alias("block_"))
         return asked.groupBy("dim_", "shard_", "block_").cogroup(spread.groupBy("_dim", "_shard", "_block")).applyInArrow(_searcher(k), FOUND)
 
     at_home = searched(queries.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("long")))

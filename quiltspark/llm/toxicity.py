@@ -325,18 +325,24 @@ class Scorer:
 _SCORERS: dict[int, Scorer] = {}
 
 
+def _scorer(mark: int, model: Model) -> Scorer:
+    """The worker's scorer of a model.  A function of the module, so that tasks of one worker
+    share its words; a nested one would take a copy of the dictionary along."""
+    if mark not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[mark] = Scorer(model)
+    return _SCORERS[mark]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (probability of toxic) and ``predicted`` (1 from 0.5 on)."""
     if bad := {"score", "predicted"} & set(docs.columns):
         raise ValueError(f"columns {sorted(bad)} are reserved")
     names = docs.columns
-    mark = zlib.crc32(np.array(model.weight).tobytes())
+    mark = zlib.crc32(np.append(np.array(model.weight, float), model.bias).tobytes())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(model)
-        logits = _SCORERS[mark].logits
+        logits = _scorer(mark, model).logits
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)

@@ -89,18 +89,16 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def brute_top(rows, k):
-    of = {}
+    """Every row is a candidate of its own; the queries of one id are ranked together."""
+    of = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        whole = [math.floor(256 * float(np.float32(x))) for x in v]
-        of[i] = min(of.get(i, whole), whole)
-    out = set()
-    for q in of:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            of.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
+    found = collections.defaultdict(list)
+    for q, v in of:
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(of[q], of[c], strict=True)), c) for c in of if c != q and len(of[c]) == len(of[q]))
-            out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best[:k])}
-    return out
+            found[q] += [(-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in of if c != q and len(w) == len(v)]
+    return sorted((q, r + 1, c, -s) for q, best in found.items() for r, (s, c) in enumerate(sorted(best)[:k]))
 
 
 @pytest.mark.parametrize("shard_rows", [40, 8192])
@@ -113,8 +111,9 @@ def test_top_k_matches_brute_force(spark, monkeypatch, shard_rows):
     rows += [(400 + i, [0.5] * 6) for i in range(60)]  # ties
     rows += [(None, [1.0] * 6), (50, None), (500, [float("nan")] + [1.0] * 5), (501, [float("inf")] * 6), (502, [None] + [1.0] * 5), (503, []), (550, [])]
     rows += [(600, [9.0, 9.0]), (601, [1.0, 2.0]), (7, [0.0] * 6), (100, rows[100][1])]
+    rows += [(8, [3.0] * 6), (8, [2.9] * 6), (150, [1.0] * 6), *[(9, [2.5] * 6)] * 9, *[(200, [-1.0] * 6)] * 3]  # repeated ids, repeated rows
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).withColumn("score", F.lit("x")).withColumn("shard", F.lit(1))
-    got = {tuple(r) for r in kdtopk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()}
+    got = sorted(tuple(r) for r in kdtopk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
     assert got == brute_top(rows, 5)
     assert kdtopk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 

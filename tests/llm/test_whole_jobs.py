@@ -1,8 +1,10 @@
 """Operators do the whole job: nothing is decided by where a text is cut."""
 
+import pickle
 import numpy as np
 import pytest
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quiltspark.llm import htmltext, syncmers, toxicity
@@ -85,3 +87,11 @@ def test_main_text_of_parts_with_misleading_names():
     assert htmltext.main_text(f"<div class=content>{text}</div>{reader}<form><p>Sign up here</p></form>") == plain
     assert htmltext.main_text(f"<div class='site no-sidebar'><div class=content>{text}</div>{reader}<div class=sidebar><p>aside text</p></div></div>") == plain
     assert htmltext.main_text("<div class=x style='display:none'><p>hidden text</p></div>") == ""
+
+
+def test_one_scorer_a_worker_and_model():
+    # pickled by reference, so that tasks of one worker share the module's words
+    assert pickle.loads(cloudpickle.dumps(toxicity._scorer)) is toxicity._scorer
+    model = toxicity_model()
+    assert toxicity._scorer(1, model) is toxicity._scorer(1, model)
+    assert toxicity._scorer(2, toxicity.Model(model.weight, 1.0)).bias == 1.0
