@@ -8,7 +8,9 @@ another white-space character are given to the tokenizer whole when the
 tokenizer keeps white space, because there the cut would not be exact; so are
 texts that hold the string of an added (special) token, which is that token.
 A new word of letters and one closing sign is put together from both: no
-pre-tokenizer used here leaves them in one piece.
+pre-tokenizer used here leaves them in one piece.  New words go to the tokenizer
+``JOINED`` at a time with a special token after each: it is taken out before
+anything else, so every word is encoded as if alone, and its id shows the ends.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS, JOINED = 1_500_000, 32
 _BESIDE = re.compile(r"\s | \s")
 _CLOSING = ",.;:!?"
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -32,7 +34,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        plain = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = plain[-1] if plain else None
         self.keeps_space = keeps_space
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -46,18 +51,31 @@ class WordEncoder:
         ends = (np.cumsum([len(some) for some in ids]) * self.width).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def words(self, texts: list[str]) -> list[bytes]:
+        """As ``whole``, for texts that don't hold an added token's string."""
+        if not self.mark:
+            return self.whole(texts)
+        own, mark = self.mark
+        ids: list[int] = []
+        for e in self.tokenizer.encode_batch_fast([mark.join([*texts[a : a + JOINED], ""]) for a in range(0, len(texts), JOINED)], add_special_tokens=False):
+            ids += e.ids
+        flat = np.array(ids, self.kind)
+        ends = np.flatnonzero(flat == own)
+        flat, ends = flat.tobytes(), (ends * self.width).tolist()
+        return [flat[a:b] for a, b in zip([0, *(x + self.width for x in ends)], ends, strict=False)]
+
     def _learn(self, known: dict[str, bytes], words: set[str], mark: str) -> None:
-        new = [w for w in words if w not in known]
+        new = words.difference(known)
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list(words)
+            new = words
         closed = [w for w in new if w[-1:] in self.closing and w[:-1].isalpha()]
-        rest = {w for w in new if not (w[-1:] in self.closing and w[:-1].isalpha())}
-        rest.update(c for w in closed if (c := w[:-1]) not in known)
+        rest = new.difference(closed)
+        rest.update({w[:-1] for w in closed}.difference(known))
         new = list(rest)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            known.update(zip(part, self.whole([mark + w for w in part]), strict=True))
+            known.update(zip(part, self.words([mark + w for w in part] if mark else part), strict=True))
         known.update((w, known[w[:-1]] + self.closing[w[-1]]) for w in closed)
 
     def _holds_added(self, text: str) -> bool:
