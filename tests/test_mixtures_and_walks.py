@@ -23,3 +23,21 @@ def test_mixtures_of_all_folds_are_those_of_mllib(spark):
             assert math.exp(logw) == pytest.approx(w, rel=1e-6)
             assert mu == pytest.approx(g.mean.toArray(), rel=1e-6)
             assert prec == pytest.approx(np.linalg.inv(g.cov.toArray() + 1e-9 * np.eye(2)), rel=1e-5)
+
+
+def test_walk_ends_in_the_leaf_that_the_splits_name():
+    rng = np.random.default_rng(4)
+    import pandas as pd
+
+    sub = pd.DataFrame({"tree": 0, "a": rng.normal(size=60), "b": rng.normal(size=60).round(1)})
+    tree = V._build_tree(sub, ["a", "b"], 6, 3)
+    start, split, child, steps, length = V._walked(*(tree[c].to_numpy() for c in ("feature", "split", "left", "right", "size")))
+    for x in [*rng.normal(size=(200, 2)), np.array([np.nan, 0.0]), np.array([0.0, np.nan])]:
+        node = 0
+        for _ in range(steps):
+            node = child[2 * node + (not x[start[node]] < split[node])]
+        at, depth = 0, 0
+        while tree.feature[at] >= 0:
+            at, depth = int(tree.left[at] if x[tree.feature[at]] < tree.split[at] else tree.right[at]), depth + 1
+        assert node == at
+        assert length[node] == depth + V._avg_path([tree["size"][at]])[0]
