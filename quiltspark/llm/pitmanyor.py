@@ -331,9 +331,10 @@ def scores(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
             samples.append({"round": k, "discount": discount, "root_discount": root_discount, "tables": tables, "root_total": root_total, "root_tables": float(root_tables)})
         else:
             root_discount = _discount(once, twice)
+    # a row a shard: broadcast, so that the blocks are not dealt by shard first
     size = asked.groupBy("shard").agg(F.ceil(F.sum("n_posts") * 4 / SCORE_BYTES).cast("int").alias("salts"))
-    dealt = asked.join(size, "shard").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
-    copies = state.join(size, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = asked.join(F.broadcast(size), "shard").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
+    copies = state.join(F.broadcast(size), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = dealt.select("shard", "salt", "block", "words", "per_word", "contexts", "posted", "posts")
     copies = copies.select("shard", "salt", "words", "per_word", "contexts", "counts", "tables", "roots")
     parts = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(

@@ -52,6 +52,17 @@ def test_model_of_odd_rows_and_many_shards(make_docs, odd_rows, monkeypatch):
     assert pitmanyor.scores(make_docs([]), id_text_crc() % 7 == 2).count() == 0
 
 
+def test_blocks_are_dealt_once(spark, make_docs):
+    """The sizes of the shards join the blocks without a shuffle of the blocks."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pitmanyor.scores(make_docs([(1, "a b"), (2, "b c")]), id_text_crc() % 7 == 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_predictive_probabilities_sum_to_one():
     """Over the vocabulary and one unknown word, in every context."""
     words = np.arange(1, 41, dtype=np.uint64) << np.uint64(20)
