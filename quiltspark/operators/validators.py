@@ -435,7 +435,7 @@ class DensityValidator(Validator):
 
             folded = kfold_assign(pos, k, seed, id_col="j").persist()
         else:
-            folded = pos.withColumn("fold", F.lit(0))
+            folded = pos.withColumn("fold", F.lit(-1))  # in no mixture's fold
         # mixture f leaves fold f out, mixture k none
         starts = {f: self._start(folded.where(F.col("fold") != f)) for f in range(k)} | {k: self._start(pos)}
         dealt = folded.select("j", "fold", *self.features).repartition(max(1, -(-pos.count() // ROWS_PER_BLOCK_TASK)), "j")
