@@ -25,7 +25,9 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ UNKNOWN_COST = 10.0
 CACHE_CHUNKS = 1_500_000
 #: Parts up to this length are worked out many at a time.
 TOGETHER = 24
+#: Texts whose new chunks are worked out together.
+TEXTS = 1024
 _STEP = 0x9E3779B97F4A7C15
 MARK = "▁"
 ROW = (
@@ -47,6 +51,12 @@ ROW = (
 Way = tuple[float, tuple[int, ...]]
 
 
+@lru_cache(4096)
+def picks(lengths: tuple[int, ...], n: int) -> list[tuple[int, ...]]:
+    """The mixes that may be among the n best: no more than n - 1 others are no worse in every chunk."""
+    return [pick for pick in product(*map(range, lengths)) if prod(i + 1 for i in pick) <= n]
+
+
 class Lattice:
     """The vocabulary as a lattice over texts that have been normalized."""
 
@@ -131,7 +141,7 @@ class Lattice:
         m, rows = len(some), np.arange(len(some))
         value = finished(np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)).reshape(m, n)
         first, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
-        back, put = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1)
+        back, put = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int64)
         first[0] = 0
         for i in range(n):
             h, alive = np.zeros(m, np.uint64), rows
@@ -149,20 +159,25 @@ class Lattice:
                 alive, h = alive[hit], h[hit]
                 if not len(alive):
                     break
-        at, steps = np.full(m, n), []
+        at, steps, places = np.full(m, n), [], []
         while at.any():
             live = at > 0
             steps.append(np.where(live, put[at, rows], -2))
             at = np.where(live, back[at, rows], 0)
-        found = np.stack(steps[::-1], 1)
-        plain, skip = ~(found == -1).any(1), (found == -2).sum(1)
-        found = found.astype("<u4")
+            places.append(at)
+        found, places = np.stack(steps[::-1], 1), np.stack(places[::-1], 1)
+        plain, ends = (~(found == -1).any(1)).tolist(), (4 * found.shape[1] * np.arange(1, m + 1)).tolist()
+        starts = (4 * (found.shape[1] * np.arange(m) + (found == -2).sum(1))).tolist()
+        flat, totals, gaps = found.astype("<u4").tobytes(), first[n].tolist(), (first[n] - second[n]).tolist()
         for k, part in enumerate(some):
-            if plain[k]:
-                blob = found[k, skip[k] :].tobytes()
-                parts[part] = blob, len(blob) // 4, float(first[n, k]), float(first[n, k] - second[n, k])
-            else:  # a character without a piece
-                parts[part] = self.best(part)
+            blob = flat[starts[k] : ends[k]]
+            if not plain[k]:  # a character without a piece
+                ids: list[int] = []
+                for i, own in zip(places[k].tolist(), found[k].tolist(), strict=True):
+                    if own != -2:
+                        ids.extend((own,) if own >= 0 else self.unknown_ids(part[i]))
+                blob = struct.pack(f"<{len(ids)}I", *ids)
+            parts[part] = blob, len(blob) // 4, totals[k], gaps[k]
 
     @staticmethod
     def _pushed(first, second, back, put, i: int, j: int, rows: np.ndarray, edge: np.ndarray, ids: np.ndarray) -> None:
@@ -279,12 +294,18 @@ class Lattice:
     def n_best(self, text: str, n: int) -> tuple[bytes, int, float, list[tuple[float, int, list[tuple[int, int, list[int]]]]]]:
         """Best ids, how many, score; then the others as (score, how many, changes),
         a change being (first id replaced, how many, the ids put there)."""
-        chunks, known = self.chunks(text), self.known
-        if not all(map(known.__contains__, chunks)):
-            self.learn(set(chunks))
+        return self.n_best_of(self.chunks(text), n)
+
+    def n_best_of(self, chunks: list[str], n: int) -> tuple[bytes, int, float, list[tuple[float, int, list[tuple[int, int, list[int]]]]]]:
+        """``n_best`` of a text that has been cut."""
+        known = self.known
         if not chunks:
             return b"", 0, 0.0, []
-        blobs, counts, scores, gaps = zip(*map(known.__getitem__, chunks), strict=True)
+        try:
+            blobs, counts, scores, gaps = zip(*map(known.__getitem__, chunks), strict=True)
+        except KeyError:
+            self.learn(set(chunks))
+            blobs, counts, scores, gaps = zip(*map(known.__getitem__, chunks), strict=True)
         ids, score, total = b"".join(blobs), sum(scores), sum(counts)
         if n < 2:
             return ids, total, score, []
@@ -303,7 +324,7 @@ class Lattice:
                 # at equal scores the one that stands in ``ids`` comes first
                 self.ways[key] = [own, *[w for w in self.search(*key) if w[1] != own[1]]][:n]
             ways.append(self.ways[key])
-        mixes = sorted((-sum(w[i][0] for w, i in zip(ways, pick, strict=True)), pick) for pick in product(*(range(len(w)) for w in ways)))
+        mixes = sorted((-sum(w[i][0] for w, i in zip(ways, pick, strict=True)), pick) for pick in picks(tuple(map(len, ways)), n))
         starts = np.concatenate(([0], np.cumsum(counts)))
         base, others = sum(w[0][0] for w in ways), []
         for cost, pick in mixes[1:n]:
@@ -361,13 +382,14 @@ def encode(docs: DataFrame, path: str, n: int) -> DataFrame:
         kinds.append(pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("changes", pa.list_(change))])))
         names = ["doc_id", "n_pieces", "score", "ids", "decoded", "others"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
                 rows: list[list] = [some.column("doc_id").to_pylist(), [], [], [], [], []]
                 texts = [c.normalized(t or "") for t in some.column("text").to_pylist()]
-                c.lattice.learn(set().union(*map(c.lattice.chunks, texts)))
-                for text in texts:
-                    ids, total, score, others = c.lattice.n_best(text, n)
+                cut = [c.lattice.chunks(t) for t in texts]
+                c.lattice.learn(set().union(*cut))
+                for chunks in cut:
+                    ids, total, score, others = c.lattice.n_best_of(chunks, n)
                     told = [
                         {"score": s, "n_pieces": m, "changes": [{"at": a, "out": o, "ids": put} for a, o, put in changes]}
                         for s, m, changes in others

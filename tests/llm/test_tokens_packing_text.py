@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -174,6 +175,25 @@ def test_n_best_with_ties(text, n):
     check_n_best(nbest.Lattice(pieces, None, 99), text, n)
 
 
+def test_parts_with_unknown_characters_are_worked_out_together(monkeypatch):
+    lattice = nbest.codec(PIECES).lattice
+    parts = [f"{a}龘{b}" for a in "abcdefgh" for b in "xyz梦"]
+    expected = {p: lattice.best(p) for p in parts}
+    monkeypatch.setattr(nbest.Lattice, "best", lambda *_: pytest.fail("one by one"))
+    found = {}
+    lattice._best_together(parts, 3, found)
+    assert {p: (v[0], v[1]) for p, v in found.items()} == {p: (v[0], v[1]) for p, v in expected.items()}
+    assert all(np.allclose(found[p][2:], expected[p][2:]) for p in parts)
+
+
+@given(st.lists(st.lists(st.floats(-9, 0), min_size=1, max_size=5), min_size=1, max_size=4), st.integers(1, 5))
+def test_mixes_left_out_are_not_among_the_best(ways, n):
+    ways = [sorted(w, reverse=True) for w in ways]
+    cost = lambda pick: -sum(w[i] for w, i in zip(ways, pick, strict=True))
+    every = sorted(cost(p) for p in itertools.product(*(range(len(w)) for w in ways)))
+    assert np.allclose(sorted(map(cost, nbest.picks(tuple(map(len, ways)), n)))[:n], every[:n])
+
+
 def test_encoding_documents(make_docs, odd_rows):
     rows = nbest.encode(make_docs(odd_rows, clash=True), PIECES, 3).collect()
     assert len(rows) == len(odd_rows)
