@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quiltspark.functions.keys import key_to_long, seeded_key
 from quiltspark.operators.positions import dense_position, kth_value
+from quiltspark.session import materialize
 
 ROW_ID = "__row_id"
 
@@ -140,8 +141,11 @@ def train_test_split(df: DataFrame, train_fraction: float, seed: int = 42, id_co
 
 
 def holdout_split(training: DataFrame, k: int, seed: int, label_col: str = "label", id_col: str = "j"):
-    """M6: per class, ``ceil(n_c / k)`` rows to the test side (sklearn ``test_size=1/k``)."""
+    """M6: per class, ``ceil(n_c / k)`` rows to the test side (sklearn ``test_size=1/k``).
+
+    The rows are worked out once and written: classes, sizes, order statistics and both sides read them."""
     trains, tests = [], []
+    training = materialize(training, "training")
     classes = [r[0] for r in training.select(label_col).distinct().collect()]  # class labels: tiny
     for c in sorted(classes):
         part = training.where(F.col(label_col) == c)
