@@ -13,14 +13,12 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltspark.operators.aggregates import tag_real_synthetic
 from quiltspark.operators.encode import OrdinalEncoder
 from quiltspark.operators.privacy import identifiability_risk, median_dcr
-from quiltspark.operators.sampling import ROW_ID
 from quiltspark.operators.splits import PAIRS_PER_AGG, _pairwise_r
 
 
@@ -226,17 +224,13 @@ def membership_inference(real_train: DataFrame, synthetic: DataFrame, holdout: D
 
     feats = list(features)
     rec, prec = [], []
-    # every round reads them several times; kept as they are dealt, which the forests' samples go by
-    real_train, synthetic, holdout = tables = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in (real_train.select(*feats), synthetic.select(*feats), holdout.select(ROW_ID, *feats))]
     n_hold = holdout.count()
     for r in range(rounds):
         h1, h2 = train_test_split(holdout, 0.5, seed=seed + r, n=n_hold)
         fit_df = synthetic.select(*feats, F.lit(1.0).alias("__y")).unionByName(h1.select(*feats, F.lit(0.0).alias("__y")))
         pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
                                 RandomForestClassifier(labelCol="__y", numTrees=50, maxDepth=5, seed=seed + r)])
-        fit_df = fit_df.persist(StorageLevel.MEMORY_AND_DISK)
         model = pipe.fit(fit_df)
-        fit_df.unpersist()
         test = real_train.select(*feats, F.lit(1.0).alias("__y")).unionByName(h2.select(*feats, F.lit(0.0).alias("__y")))
         c = model.transform(test).agg(
             F.sum(((F.col("prediction") == 1.0) & (F.col("__y") == 1.0)).cast("long")).alias("tp"),
@@ -246,8 +240,6 @@ def membership_inference(real_train: DataFrame, synthetic: DataFrame, holdout: D
         tp, fp, fn = c["tp"] or 0, c["fp"] or 0, c["fn"] or 0
         rec.append(tp / (tp + fn) if tp + fn else 0.0)
         prec.append(tp / (tp + fp) if tp + fp else 0.0)
-    for t in tables:
-        t.unpersist()
     return {"mia_recall": float(np.mean(rec)), "mia_precision": float(np.mean(prec))}
 
 
@@ -256,8 +248,6 @@ def evaluate(real: DataFrame, synthetic: DataFrame, holdout: DataFrame, categori
     """The metric table ``(metric, value)`` of one synthetic table."""
     spark = real.sparkSession
     rows = []
-    # every metric reads them; persisted, so that no metric works them out again
-    real, synthetic, holdout = tables = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in (real, synthetic, holdout)]
     h = hellinger(real, synthetic, categorical, numeric)
     avg = [r["h_dist"] for r in h.collect() if r["column"] == "avg_h_dist"]  # one row per column: tiny
     rows.append(("avg_h_dist", float(avg[0]) if avg else float("nan")))
@@ -282,6 +272,4 @@ def evaluate(real: DataFrame, synthetic: DataFrame, holdout: DataFrame, categori
     if mia_rounds:
         rows += list(membership_inference(real, synthetic, holdout, list(categorical) + list(numeric), mia_rounds,
                                           seed).items())
-    for t in tables:
-        t.unpersist()
     return spark.createDataFrame([(m, float(v)) for m, v in rows], "metric string, value double")
