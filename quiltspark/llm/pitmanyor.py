@@ -1,33 +1,36 @@
 """Operator 1: a hierarchical Pitman-Yor language model, learned and applied as Spark jobs.
 
 Tokens are a text's words (A-Z lower-cased) and one end.  Every token is drawn
-from the restaurant of its context, the class of the token before it (one of
-``CONTEXTS``, by the word's last two bytes); all context restaurants share one
-parent, the restaurant of all words, whose own base is uniform over the
-training vocabulary and one more word.  A table of a context restaurant is a
-customer of the parent.
+from the restaurant of its context, the token before it (the end before a text's
+first); all context restaurants share one parent, the restaurant of all words,
+whose own base is uniform over the training vocabulary and one more word.  A
+table of a context restaurant is a customer of the parent.  Words are 64-bit
+hashes, contexts the upper 48 bits of them.
 
 Seating is sampled by Gibbs.  A word's customers in all contexts, and in the
-parent, are in one shard (by the word's hash), so only the restaurants' totals
-cross shards; they are those of the round before.  In a round, words of up to
-``EACH`` customers in a restaurant are taken up and seated again one customer
-at a time; the customers of others are all taken up and seated again in order,
-from the ``EACH``-th on in chunks of a tenth with a binomial count of new tables.
-The first round only settles the totals; the predictive probabilities of the
-others are averaged.
+parent, are in one shard (by the word's hash).  What a context restaurant holds
+in all is spread over shards: each shard tells the context's owner (the shard of
+its hash) its share, and gets back the sums of the contexts that it has; they are
+those of the round before.  In a round, words of up to ``EACH`` customers in a
+restaurant are taken up and seated again one customer at a time; the customers
+of others are all taken up and seated again in order, from the ``EACH``-th on in
+chunks of a tenth with a binomial count of new tables.  The first round only
+settles the totals; the predictive probabilities of the others are averaged.
 
 Work and data: a task turns its texts into blocks of about ``BLOCK_TOKENS``
 tokens.  A block sends each shard its distinct (word, context) pairs with
-counts, and, sorted by pair, the documents that have them.  Shards count,
-sample and then score; a document's score is the sum of what the shards
-return for its block.  A word that makes up a third of all tokens costs a shard
-one row of pairs a block; for scoring, the blocks of a shard are dealt to as
-many tasks as their size asks for, each with a copy of the shard's state.
+counts.  Shards count and sample.  For scoring the texts are read again, and a
+block sends, sorted by pair, the documents that have them; a document's score is
+the sum of what the shards return for its block.  A word that makes up a third of
+all tokens costs a shard one row of pairs a block; for scoring, the blocks of a
+shard are dealt to as many tasks as their size asks for, each with a copy of the
+shard's state.  No list of contexts or words is whole in one task.
 
 Null and empty texts are the end alone.  Null ids are kept (their crc32 is that
 of the empty text, so they are training rows).  Repeated rows count each.  With
 no training rows every probability is 1.  An empty table gives an empty result.
-Only the two named columns are read.
+Only the two named columns are read, twice, so both readings have to give the
+same rows (in any order).
 """
 
 from __future__ import annotations
@@ -44,52 +47,89 @@ from pyspark.sql import functions as F
 from .common import staged
 from .shingles import hashed_words
 
-CONTEXTS, EACH, ROUNDS = 64, 8, 3
-BLOCK_TOKENS, SHARD_TOKENS, SCORE_BYTES = 2_000_000, 4_000_000, 64 << 20
+EACH, ROUNDS = 8, 3
+BLOCK_TOKENS, SHARD_TOKENS, SCORE_BYTES = 2_000_000, 2_000_000, 64 << 20
 STRENGTH = 1.0
-_LOW = CONTEXTS - 1
-END = np.uint64(0xE17A1465C6EF3700)  # like a word's, of class 0
+END = np.uint64(0xE17A1465C6EF3700)  # like a word's
+_CONTEXT = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def token_ids(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The 64-bit ids of each text's tokens.  A word's is a hash whose low bits are the
-    class it is as a context."""
-    for words, tail, counts in hashed_words(texts):
-        of = (words | np.uint64(_LOW)) ^ np.uint64(_LOW) | (tail * 0x9E3779B1 >> 16 & _LOW).astype(np.uint64)
+    """The 64-bit ids of each text's tokens."""
+    for words, _, counts in hashed_words(texts):
         at = 0
         for n in counts.tolist():
-            yield np.append(of[at : at + n], END)
+            yield np.append(words[at : at + n], END)
             at += n
 
 
-BLOCKS = (
-    "block long, shard int, n_posts long, words binary, per_word binary, contexts binary, trained binary, posted binary, posts binary, "
+def _squeezed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Integers from 0 on byte by byte of equal weight, compressed; ``rising`` ones by their steps."""
+    x = x.astype("<u8")
+    if rising:
+        x = np.diff(x, prepend=np.uint64(0))
+    size = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return bytes([size]) + len(x).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if size else b"")
+
+
+def _ints(data: bytes, rising: bool = False) -> np.ndarray:
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if size:
+        out[:, :size] = np.frombuffer(pa.decompress(data[9:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64) if rising else out.view("<i8").ravel()
+
+
+def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of hashes, so sorted ones are sorted by shard."""
+    return (hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
+def _pair_order(word: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+    """The stable order by word and context, both numbers below ``n``."""
+    key, bits = word * n + context, len(word).bit_length()
+    if (n * n).bit_length() + bits < 64:  # one plain sort, the places in the lower bits
+        return np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
+def _schema(columns: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
+
+
+COUNTS = "shard int, n_posts long, words binary, per_word binary, known binary, contexts binary, trained binary"
+POSTS = (
+    "shard int, block long, words binary, per_word binary, known binary, contexts binary, posted binary, posts binary, "
     "doc_ids array<bigint>, lengths array<bigint>, held array<boolean>"
 )
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
-def _blocks(shards: int):
+def _blocks(shards: int, scoring: bool):
+    """The pairs of blocks with their training counts, or with their documents."""
+    schema = _schema(POSTS if scoring else COUNTS)
+
     def block_rows(block: int, ids: list[np.ndarray], doc_ids: list, held: list[bool]) -> pa.RecordBatch:
         lengths = [len(x) for x in ids]
         token = np.concatenate(ids)
         doc = np.repeat(np.arange(len(ids), dtype=np.uint32), lengths)
+        words, token = np.unique(token, return_inverse=True)  # from here on numbers
         before = np.empty_like(token)
         before[1:] = token[:-1]
-        before[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = END
-        context = (before & np.uint64(_LOW)).astype(np.uint8)
-        order = np.lexsort((doc, context, token))
-        token, context, doc = token[order], context[order], doc[order]
+        before[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = np.searchsorted(words, END)
+        order = _pair_order(token, before, len(words))  # a pair's documents ascend
+        token, context, doc = token[order], (words & _CONTEXT)[before[order]], doc[order]
         fresh_word = np.concatenate(([True], token[1:] != token[:-1]))
         fresh_pair = fresh_word | np.concatenate(([True], context[1:] != context[:-1]))
         pair_at, word_at = np.flatnonzero(fresh_pair), np.flatnonzero(fresh_word)
-        posted = np.diff(np.append(pair_at, len(token))).astype(np.uint32)
-        trained = np.add.reduceat((~np.array(held, bool))[doc].astype(np.int64), pair_at).astype(np.uint32)
-        words, first_pair = token[word_at], np.searchsorted(pair_at, word_at)
-        per_word = np.diff(np.append(first_pair, len(pair_at))).astype(np.uint8)
-        shard = (words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-        cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        first_pair = np.searchsorted(pair_at, word_at)
+        per_word = np.diff(np.append(first_pair, len(pair_at)))
+        if scoring:
+            posted = np.diff(np.append(pair_at, len(token)))
+        else:
+            trained = np.add.reduceat((~np.array(held, bool))[doc].astype(np.int64), pair_at)
+        cut = np.searchsorted(_shard(words, shards), np.arange(shards + 1, dtype=np.uint64))
         rows = []
         for p in range(shards):
             a, b = int(cut[p]), int(cut[p + 1])
@@ -97,10 +137,16 @@ def _blocks(shards: int):
                 continue
             pa_, pb = int(first_pair[a]), int(first_pair[b]) if b < len(words) else len(pair_at)
             ta, tb = int(pair_at[pa_]), int(pair_at[pb]) if pb < len(pair_at) else len(token)
-            blobs = (words[a:b], per_word[a:b], context[pair_at[pa_:pb]], trained[pa_:pb], posted[pa_:pb], doc[ta:tb].astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32))
-            rows.append((block, p, tb - ta, *(x.tobytes() for x in blobs), None, None, None))
-        rows.append((block, None, None, *[None] * 6, doc_ids, lengths, held))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+            known, at = np.unique(context[pair_at[pa_:pb]], return_inverse=True)
+            row = {"shard": p, "words": _squeezed(words[a:b], True), "per_word": _squeezed(per_word[a:b]), "known": _squeezed(known, True), "contexts": _squeezed(at)}
+            if scoring:
+                row |= {"block": block, "posted": _squeezed(posted[pa_:pb]), "posts": _squeezed(doc[ta:tb])}
+            else:
+                row |= {"n_posts": tb - ta, "trained": _squeezed(trained[pa_:pb])}
+            rows.append(row)
+        if scoring:  # the list of the block's documents goes along to one of its shards
+            rows.append({"shard": rows[0]["shard"], "block": block, "doc_ids": doc_ids, "lengths": lengths, "held": held})
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -121,36 +167,80 @@ def _blocks(shards: int):
     return run
 
 
-STATE = "shard int, words binary, per_word binary, contexts binary, counts binary, tables binary, roots binary, by_context array<bigint>, by_tables array<bigint>, n_words long, once long, twice long"
+#: A shard's own row has no owner: its pairs, their tables (``seats``) and, of its words in the
+#: parent, customers and tables.  The others tell an owner the shard's share in its contexts' customers and tables.
+STATE = (
+    "shard int, owner int, words binary, per_word binary, known binary, contexts binary, counts binary, seats binary, customers binary, tables binary, "
+    "n_posts long, total long, n_seats long, n_words long, once long, twice long"
+)
+FOUND = "shard int, owner int, seats binary, customers binary, tables binary"
+
+
+def _shares(shard: int, shards: int, known: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> list[dict]:
+    cut = np.searchsorted(_shard(known, shards), np.arange(shards + 1, dtype=np.uint64)).tolist()
+    return [
+        {"shard": shard, "owner": o, "known": _squeezed(known[a:b], True), "customers": _squeezed(customers[a:b]), "tables": _squeezed(tables[a:b])}
+        for o, (a, b) in enumerate(zip(cut, cut[1:], strict=False))
+        if a < b
+    ]
+
+
+def _counted(shards: int):
+    """The training counts of one shard's pairs (all pairs asked for, also at 0); every
+    pair has one table, and every word one in the parent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        joined = {c: [_ints(x, c in ("words", "known")) for x in table.column(c).to_pylist()] for c in ("words", "per_word", "known", "contexts", "trained")}
+        words, word = np.unique(np.concatenate(joined["words"]), return_inverse=True)
+        known, of = np.unique(np.concatenate(joined["known"]), return_inverse=True)
+        first = np.cumsum([0, *map(len, joined["known"])])
+        at = of[np.concatenate([x + a for x, a in zip(joined["contexts"], first, strict=False)])]
+        key = np.repeat(word, np.concatenate(joined["per_word"])) * len(known) + at
+        order = np.argsort(key)
+        key, count = key[order], np.concatenate(joined["trained"])[order]
+        fresh = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        word, at = np.divmod(key[fresh], len(known))
+        count, per = np.add.reduceat(count, fresh), np.bincount(word)
+        starts = np.concatenate(([0], np.cumsum(per)[:-1]))
+        of_word, seats = np.add.reduceat(count, starts), np.minimum(count, 1)
+        shard = table.column("shard")[0].as_py()
+        row = {
+            "shard": shard, "words": _squeezed(words, True), "per_word": _squeezed(per), "known": _squeezed(known, True),
+            "contexts": _squeezed(at), "counts": _squeezed(count),
+            "customers": _squeezed(np.add.reduceat(seats, starts)), "tables": _squeezed(np.minimum(of_word, 1)),
+            "n_posts": sum(table.column("n_posts").to_pylist()), "total": int(count.sum()), "n_seats": int(seats.sum()),
+            "n_words": int((of_word > 0).sum()), "once": int((count == 1).sum()), "twice": int((count == 2).sum()),
+        }
+        shares = _shares(shard, shards, known, np.bincount(at, count, len(known)), np.bincount(at, seats, len(known)))
+        return pa.Table.from_pylist([row, *shares], _schema(STATE))
+
+    return run
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """What an owner's contexts hold in all shards, for each shard that has them."""
+    known = [_ints(x, True) for x in table.column("known").to_pylist()]
+    _, at = np.unique(np.concatenate(known), return_inverse=True)
+    ends = np.cumsum([len(x) for x in known]).tolist()
+    out = {"shard": table.column("shard"), "owner": table.column("owner"), "seats": pa.nulls(len(known), pa.binary())}
+    for name in ("customers", "tables"):
+        share = np.concatenate([_ints(x) for x in table.column(name).to_pylist()])
+        sums = np.rint(np.bincount(at, share)).astype(np.int64)[at]
+        out[name] = pa.array([_squeezed(sums[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+    return pa.table(out).cast(_schema(FOUND))
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """The training counts of one shard's pairs (all pairs asked for, also at 0)."""
-    word, context, count = [], [], []
-    for w, per, c, n in zip(*(table.column(x).to_pylist() for x in ("words", "per_word", "contexts", "trained")), strict=True):
-        word.append(np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(per, np.uint8)))
-        context.append(np.frombuffer(c, np.uint8))
-        count.append(np.frombuffer(n, np.uint32))
-    word, context, count = np.concatenate(word), np.concatenate(context), np.concatenate(count).astype(np.int64)
-    order = np.lexsort((context, word))
-    word, context, count = word[order], context[order], count[order]
-    fresh = np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
-    count = np.add.reduceat(count, np.flatnonzero(fresh))
-    word, context = word[fresh], context[fresh]
-    words, per = np.unique(word, return_counts=True)
-    of_word = np.add.reduceat(count, np.concatenate(([0], np.cumsum(per)[:-1])))
-    row = {
-        "shard": table.column("shard")[0].as_py(), "words": words.tobytes(), "per_word": per.astype(np.uint8).tobytes(), "contexts": context.tobytes(),
-        "counts": count.tobytes(), "tables": np.minimum(count, 1).astype(np.uint32).tobytes(), "roots": np.minimum(of_word, 1).astype(np.uint32).tobytes(),
-        "by_context": np.bincount(context, count, CONTEXTS).astype(np.int64).tolist(), "by_tables": np.bincount(context, count > 0, CONTEXTS).astype(np.int64).tolist(),
-        "n_words": int((of_word > 0).sum()), "once": int((count == 1).sum()), "twice": int((count == 2).sum()),
-    }
-    return pa.Table.from_pylist([row], _state_schema())
+def _found(state: DataFrame) -> DataFrame:
+    """For each shard its own row and the sums of its contexts, a row an owner."""
+    met = state.filter("owner is not null").select("shard", "owner", "known", "customers", "tables").groupBy("owner").applyInArrow(_met, FOUND)
+    return met.union(state.filter("owner is null").select("shard", "owner", "seats", "customers", "tables"))
 
 
-def _state_schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in STATE.split(", ")])
+def _sums(found: list[dict]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Customers and tables of a shard's contexts, and its own row."""
+    of = sorted((r for r in found if r["owner"] is not None), key=lambda r: r["owner"])
+    own = next(r for r in found if r["owner"] is None)
+    return *(np.concatenate([_ints(r[c]) for r in of]) for c in ("customers", "tables")), own
 
 
 def seated(n: np.ndarray, worth: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -204,90 +294,89 @@ def _in_order(n: np.ndarray, worth: np.ndarray, discount: float, rng: np.random.
     return out
 
 
-def _sampled(discount: float, root_discount: float, tables: np.ndarray, root_total: float, root_tables: float, vocabulary: int, seed: int):
+def _sampled(shards: int, discount: float, root_discount: float, root_total: float, root_tables: float, vocabulary: int, seed: int):
     """One Gibbs round over a shard's state, given the totals of the round before."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                per = np.frombuffer(row["per_word"], np.uint8).astype(np.int64)
-                context = np.frombuffer(row["contexts"], np.uint8)
-                count = np.frombuffer(row["counts"], np.int64)
-                starts = np.concatenate(([0], np.cumsum(per)[:-1]))
-                rng = np.random.default_rng([seed, row["shard"]])
-                t = np.frombuffer(row["tables"], np.uint32).reshape(-1, len(count))[-1].astype(np.int64)
-                r = np.frombuffer(row["roots"], np.uint32).reshape(-1, len(per))[-1]
-                customers = np.add.reduceat(t, starts)
-                base = (STRENGTH + root_discount * root_tables) / (vocabulary + 1)
-                parent = (customers - root_discount * r + base) / (STRENGTH + root_total)
-                worth = (STRENGTH + discount * tables[context]) * np.repeat(parent, per)
-                t = seated(count, worth, discount, rng)
-                customers = np.add.reduceat(t, starts)
-                r = seated(customers, np.full(len(per), base), root_discount, rng)
-                row["tables"] += t.astype(np.uint32).tobytes()
-                row["roots"] += r.astype(np.uint32).tobytes()
-                row["by_tables"] = np.bincount(context, t, CONTEXTS).astype(np.int64).tolist()
-                row["n_words"], row["once"], row["twice"] = int(r.sum()), int((customers == 1).sum()), int((customers == 2).sum())
-                yield pa.RecordBatch.from_pylist([row], _state_schema())
+    def run(fixed: pa.Table, found: pa.Table) -> pa.Table:
+        row = fixed.to_pylist()[0]
+        _, tables, own = _sums(found.to_pylist())
+        known = _ints(row["known"], True)
+        per, context, count = (_ints(row[c]) for c in ("per_word", "contexts", "counts"))
+        starts = np.concatenate(([0], np.cumsum(per)[:-1]))
+        rng = np.random.default_rng([seed, row["shard"]])
+        customers, r = _ints(own["customers"]), _ints(own["tables"])
+        base = (STRENGTH + root_discount * root_tables) / (vocabulary + 1)
+        parent = (customers - root_discount * r + base) / (STRENGTH + root_total)
+        worth = (STRENGTH + discount * tables[context]) * np.repeat(parent, per)
+        t = seated(count, worth, discount, rng)
+        customers = np.add.reduceat(t, starts)
+        r = seated(customers, np.full(len(per), base), root_discount, rng)
+        out = {
+            "shard": row["shard"], "seats": _squeezed(t), "customers": _squeezed(customers), "tables": _squeezed(r),
+            "n_seats": int(t.sum()), "n_words": int(r.sum()), "once": int((customers == 1).sum()), "twice": int((customers == 2).sum()),
+        }
+        shares = _shares(row["shard"], shards, known, np.bincount(context, count, len(known)), np.bincount(context, t, len(known)))
+        return pa.Table.from_pylist([out, *shares], _schema(STATE))
 
     return run
 
 
-def _scored(total_by_context: np.ndarray, samples: list[dict], vocabulary: int, total: int):
+PARTS = "block long, docs binary, scores binary, bases binary, knowns binary, doc_ids array<bigint>, lengths array<bigint>, held array<boolean>"
+
+
+def _scored(samples: list[dict], vocabulary: int, total: int):
     """What one shard adds to the documents of some blocks."""
 
-    def probabilities(state: dict) -> tuple[np.ndarray, ...]:
-        words = np.frombuffer(state["words"], np.uint64)
-        per = np.frombuffer(state["per_word"], np.uint8).astype(np.int64)
-        context = np.frombuffer(state["contexts"], np.uint8)
-        count = np.frombuffer(state["counts"], np.int64)
+    def probabilities(rows: list[dict]) -> tuple[np.ndarray, ...]:
+        state = next(r for r in rows if not r["round"])
+        words, known = (_ints(state[c], True) for c in ("words", "known"))
+        per, context, count = (_ints(state[c]) for c in ("per_word", "contexts", "counts"))
         starts = np.concatenate(([0], np.cumsum(per)[:-1]))
-        tables = np.frombuffer(state["tables"], np.uint32).reshape(-1, len(count)).astype(float)
-        roots = np.frombuffer(state["roots"], np.uint32).reshape(-1, len(per)).astype(float)
         p = np.zeros(len(count))
         for s in samples:
-            t, r = tables[s["round"]], roots[s["round"]]
+            eaten, tables, own = _sums([r for r in rows if r["round"] == s["round"]])
+            t, r = _ints(own["seats"]), _ints(own["tables"])
             customers = np.add.reduceat(t, starts)
             base = (STRENGTH + s["root_discount"] * s["root_tables"]) / (vocabulary + 1)
             parent = np.repeat((customers - s["root_discount"] * r + base) / (STRENGTH + s["root_total"]), per)
-            spread = (STRENGTH + s["discount"] * s["tables"][context]) * parent
-            p += (count - s["discount"] * t + spread) / (STRENGTH + total_by_context[context])
+            spread = (STRENGTH + s["discount"] * tables[context]) * parent
+            p += (count - s["discount"] * t + spread) / (STRENGTH + eaten[context])
         of_word = np.add.reduceat(count, starts)
-        return words, per, context, np.log10(p / len(samples)), of_word
+        pair_key = np.repeat(np.arange(len(words)), per) * len(known) + context
+        return words, known, pair_key, np.log10(p / len(samples)), of_word
 
     def run(asked: pa.Table, states: pa.Table) -> pa.Table:
-        names = ["block", "docs", "scores", "bases", "knowns"]
-        kinds, out = [pa.int64(), *[pa.binary()] * 4], []
         if not asked.num_rows:  # a copy of the state that no block was dealt to
-            return pa.table([pa.array([], k) for k in kinds], names)
-        words, per, context, logp, of_word = probabilities(states.to_pylist()[0])
-        first = np.concatenate(([0], np.cumsum(per)))
-        pair_key = np.repeat(np.arange(len(words)), per) * CONTEXTS + context
-        columns = ("block", "words", "per_word", "contexts", "posted", "posts")
-        for block, w, pw, c, posted, posts in zip(*(asked.column(x).to_pylist() for x in columns), strict=True):
-            at = np.repeat(np.searchsorted(words, np.frombuffer(w, np.uint64)), np.frombuffer(pw, np.uint8))
-            pair = np.searchsorted(pair_key, at * CONTEXTS + np.frombuffer(c, np.uint8))
-            posted = np.frombuffer(posted, np.uint32)
-            doc = np.frombuffer(posts, np.uint16 if len(posts) == 2 * int(posted.sum()) else np.uint32).astype(np.uint32)
-            own = np.repeat(np.arange(len(pair)), posted)
+            return _schema(PARTS).empty_table()
+        words, known, pair_key, logp, of_word = probabilities(states.to_pylist())
+        out = []
+        for row in asked.to_pylist():
+            if row["words"] is None:
+                out.append({c: row[c] for c in ("block", "doc_ids", "lengths", "held")})
+                continue
+            at = np.repeat(np.searchsorted(words, _ints(row["words"], True)), _ints(row["per_word"]))
+            pair = np.searchsorted(pair_key, at * len(known) + np.searchsorted(known, _ints(row["known"], True))[_ints(row["contexts"])])
+            doc, own = _ints(row["posts"]).astype(np.uint32), np.repeat(np.arange(len(pair)), _ints(row["posted"]))
             base = np.log10((of_word[at] + 1) / (total + vocabulary + 1))
             docs, where = np.unique(doc, return_inverse=True)
             sums = [np.bincount(where, x[own], len(docs)) for x in (logp[pair], base, (of_word[at] > 0).astype(float))]
-            out.append((block, docs.tobytes(), *(x.tobytes() for x in sums)))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out.append({"block": row["block"], "docs": _squeezed(docs, True), **{c: x.tobytes() for c, x in zip(("scores", "bases", "knowns"), sums, strict=True)}})
+        return pa.Table.from_pylist(out, _schema(PARTS))
 
     return run
 
 
-def _summed(parts: pa.Table, docs: pa.Table) -> pa.Table:
+def _summed(parts: pa.Table) -> pa.Table:
     """The documents of one block."""
-    row = docs.to_pylist()[0]
+    rows = sorted(parts.to_pylist(), key=lambda r: r["docs"] or b"")  # one order of the sums
+    row = next(r for r in rows if r["doc_ids"] is not None)
     n = len(row["doc_ids"])
     sums = np.zeros((3, n))
-    for at, *values in zip(*(parts.column(c).to_pylist() for c in ("docs", "scores", "bases", "knowns")), strict=True):
-        where = np.frombuffer(at, np.uint32)
-        for k, v in enumerate(values):
-            sums[k, where] += np.frombuffer(v, float)
+    for part in rows:
+        if part["docs"] is not None:
+            where = _ints(part["docs"], True).astype(np.int64)
+            for k, c in enumerate(("scores", "bases", "knowns")):
+                sums[k, where] += np.frombuffer(part[c], float)
     columns = [
         pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["lengths"], pa.int64()),
         pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]),
@@ -298,11 +387,9 @@ def _summed(parts: pa.Table, docs: pa.Table) -> pa.Table:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _totals(state: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int, int]:
-    sums = [F.sum(F.element_at(name, k + 1)).alias(f"{name}{k}") for name in ("by_context", "by_tables") for k in range(CONTEXTS)]
-    row = state.agg(*sums, *[F.sum(c).alias(c) for c in ("n_words", "once", "twice")]).first()
-    by = [np.array([row[f"{name}{k}"] or 0 for k in range(CONTEXTS)], float) for name in ("by_context", "by_tables")]
-    return *by, row["n_words"] or 0, row["once"] or 0, row["twice"] or 0
+def _totals(state: DataFrame) -> dict[str, int]:
+    row = state.filter("owner is null").agg(*[F.sum(c).alias(c) for c in ("total", "n_seats", "n_words", "once", "twice")]).first()
+    return {c: v or 0 for c, v in row.asDict().items()}
 
 
 def _discount(once: int, twice: int) -> float:
@@ -316,30 +403,32 @@ def scores(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(characters / 6 / SHARD_TOKENS))
-    blocks = staged(texts.mapInArrow(_blocks(shards), BLOCKS), "blocks")
-    asked = blocks.filter("shard is not null")
-    state = staged(asked.select("shard", "words", "per_word", "contexts", "trained").groupBy("shard").applyInArrow(_counted, STATE), "state")
-    # every pair starts with one table, and every word with one in the parent
-    by_context, tables, vocabulary, once, twice = _totals(state)
-    total, root_total, root_tables = int(by_context.sum()), float(tables.sum()), float(vocabulary)
-    discount, root_discount, samples = _discount(once, twice), 0.5, []
+    state = staged(texts.mapInArrow(_blocks(shards, False), COUNTS).groupBy("shard").applyInArrow(_counted(shards), STATE), "state")
+    own = state.filter("owner is null")
+    fixed = own.select("shard", "words", "per_word", "known", "contexts", "counts")
+    sums = _totals(state)
+    total, vocabulary, root_total, root_tables = sums["total"], sums["n_words"], float(sums["n_seats"]), float(sums["n_words"])
+    discount, root_discount, samples, found = _discount(sums["once"], sums["twice"]), 0.5, [], _found(state)
+    copies = [fixed.withColumn("round", F.lit(0))]
     for k in range(1, ROUNDS + 1):
-        state = staged(state.mapInArrow(_sampled(discount, root_discount, tables, root_total, root_tables, vocabulary, seed + k), STATE), "state")
-        _, tables, root_tables, once, twice = _totals(state)
-        root_total = float(tables.sum())
+        step = _sampled(shards, discount, root_discount, root_total, root_tables, vocabulary, seed + k)
+        state = staged(fixed.groupBy("shard").cogroup(found.drop("seats").groupBy("shard")).applyInArrow(step, STATE), "state")
+        sums, found = _totals(state), _found(state)
+        root_total, root_tables = float(sums["n_seats"]), float(sums["n_words"])
         if k > 1:
-            samples.append({"round": k, "discount": discount, "root_discount": root_discount, "tables": tables, "root_total": root_total, "root_tables": float(root_tables)})
+            found = staged(found, "found")
+            samples.append({"round": k, "discount": discount, "root_discount": root_discount, "root_total": root_total, "root_tables": root_tables})
+            copies.append(found.withColumn("round", F.lit(k)))
         else:
-            root_discount = _discount(once, twice)
+            root_discount = _discount(sums["once"], sums["twice"])
     # a row a shard: broadcast, so that the blocks are not dealt by shard first
-    size = asked.groupBy("shard").agg(F.ceil(F.sum("n_posts") * 4 / SCORE_BYTES).cast("int").alias("salts"))
-    dealt = asked.join(F.broadcast(size), "shard").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
-    copies = state.join(F.broadcast(size), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = dealt.select("shard", "salt", "block", "words", "per_word", "contexts", "posted", "posts")
-    copies = copies.select("shard", "salt", "words", "per_word", "contexts", "counts", "tables", "roots")
-    parts = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(
-        _scored(by_context, samples, vocabulary, total), "block long, docs binary, scores binary, bases binary, knowns binary"
-    )
-    listed = blocks.filter("doc_ids is not null").select("block", "doc_ids", "lengths", "held")
-    out = parts.groupBy("block").cogroup(listed.groupBy("block")).applyInArrow(_summed, RESULT)
+    size = own.select("shard", F.greatest(F.lit(1), F.ceil(F.col("n_posts") * 4 / SCORE_BYTES)).cast("int").alias("salts"))
+    asked = texts.mapInArrow(_blocks(shards, True), POSTS)
+    dealt = asked.join(F.broadcast(size), "shard").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int")).drop("salts")
+    states = copies[0]
+    for more in copies[1:]:
+        states = states.unionByName(more, allowMissingColumns=True)
+    states = states.join(F.broadcast(size), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    parts = dealt.groupBy("shard", "salt").cogroup(states.groupBy("shard", "salt")).applyInArrow(_scored(samples, vocabulary, total), PARTS)
+    out = parts.groupBy("block").applyInArrow(_summed, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

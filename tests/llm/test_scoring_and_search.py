@@ -63,6 +63,29 @@ def test_blocks_are_dealt_once(spark, make_docs):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
 
 
+@pytest.mark.parametrize("shard_tokens", [4_000_000, 1])
+def test_every_word_is_a_context_of_its_own(make_docs, monkeypatch, shard_tokens):
+    """One training text of pairs that occur once has only one seating, so its scores are
+    known; its words end alike."""
+    monkeypatch.setattr(pitmanyor, "SHARD_TOKENS", shard_tokens)
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    train = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(train, "xab yab zab xyab"), (held[0], "yab zab XAB qab xyab"), (held[1], "xab yab zab xyab"), (held[2], None)]
+    count = collections.Counter(tokens(rows[0][1]))
+    pairs = collections.Counter(zip([None, *tokens(rows[0][1])], tokens(rows[0][1]), strict=False))
+    eaten = collections.Counter(c for c, _ in pairs.elements())
+    theta, d = pitmanyor.STRENGTH, 0.95  # all pairs and words are seen once: the largest discount
+
+    def p(w, c):
+        base = (theta + d * len(count)) / (len(count) + 1)
+        parent = (count[w] * (1 - d) + base) / (theta + len(pairs))
+        return (pairs[c, w] * (1 - d) + (theta + d * eaten[c]) * parent) / (theta + eaten[c])
+
+    expected = {i: sum(math.log10(p(w, c)) for c, w in zip([None, *tokens(t)], tokens(t), strict=False)) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in pitmanyor.scores(make_docs(rows), id_text_crc() % 7 == 2).collect()}
+    assert got == pytest.approx(expected)
+
+
 def test_predictive_probabilities_sum_to_one():
     """Over the vocabulary and one unknown word, in every context."""
     words = np.arange(1, 41, dtype=np.uint64) << np.uint64(20)
