@@ -61,8 +61,8 @@ class Generator(ABC):
     def generate(self, train: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
         self.fit(train)
         m = self._m
-        out = self.sample(n if n is not None else m, seed)
-        # M7: some generators may return fewer rows than asked for
+        # M7: some generators may return fewer rows than asked for; written, so that counting them draws them only once
+        out = materialize(self.sample(n if n is not None else m, seed), "sample")
         return top_up_samples(out, n if n is not None else m, seed)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from quiltspark.functions.keys import key_to_long, seeded_key
 from quiltspark.operators.aggregates import distinct_counts
 from quiltspark.operators.generators.base import ROW_ID, Generator, row_index
-from quiltspark.operators.positions import value_position
+from quiltspark.operators.positions import slices_for, value_position
 from quiltspark.session import materialize, spread
 
 _MADE = ("__x", "__leafd", "__pred", "__raw", "__prob")
@@ -69,10 +69,10 @@ class CartSequential(Generator):
         self.categorical = None if categorical is None else list(categorical)
 
     def _kinds(self, train: DataFrame) -> None:
-        """Per column: distinct values, nulls or not, category or number."""
+        """Per column: distinct values, number of nulls, category or number."""
         levels = {r["column"]: r["n_distinct"] for r in distinct_counts(train, self.columns).collect()}
         nulls = train.agg(*[F.count(F.when(_q(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(self.columns)]).first()
-        self.nulls = {c: nulls[f"n{i}"] > 0 for i, c in enumerate(self.columns)}
+        self.nulls = {c: nulls[f"n{i}"] for i, c in enumerate(self.columns)}
         named = set(self.categorical or ())
         self.levels, self.category = levels, set()
         for c in self.columns:
@@ -100,8 +100,8 @@ class CartSequential(Generator):
             return out, [f"__f{i}"]
         return out.withColumn(f"__n{i}", _q(c).isNull().cast("double")), [f"__f{i}", f"__n{i}"]
 
-    def _step(self, rows: DataFrame, c: str, out: str, label: str | None, classes: bool, inputs: list[str]) -> _Step:
-        """Grow the tree of ``label`` over ``rows`` and keep the values of ``c`` by leaf."""
+    def _step(self, rows: DataFrame, n: int, c: str, out: str, label: str | None, classes: bool, inputs: list[str]) -> _Step:
+        """Grow the tree of ``label`` over the ``n`` ``rows`` and keep the values of ``c`` by leaf."""
         step = _Step(out, inputs, None, None, None)
         if inputs and label is not None:
             most = max([self.levels[k] for k in self.category], default=0) + 2
@@ -112,14 +112,16 @@ class CartSequential(Generator):
             step.model = tree.fit(VectorAssembler(inputCols=inputs, outputCol="__x").transform(rows))
         leaves = step.leaves(rows).select(ROW_ID, "__leaf", _q(c).alias("__val"))
         keyed = leaves.withColumn("__h", key_to_long(seeded_key(self.seed, f"donor:{out}", ROW_ID)))
-        ranked = value_position(keyed, ["__h"], out="__idx", partition_col="__leaf")
+        # at most 2^max_depth leaves
+        ranked = value_position(keyed, ["__h"], out="__idx", partition_col="__leaf", ranges=slices_for(n), few_groups=True)
         step.donors = materialize(ranked.select("__leaf", "__idx", "__val"), "donors")
         step.counts = {int(r["__leaf"]): int(r["n"]) for r in step.donors.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
         return step
 
     def fit(self, train: DataFrame) -> "CartSequential":
-        train = spread(train, ROW_ID).persist()
-        self._train_ids = train.select(ROW_ID)
+        source = materialize(train, "train")  # what comes before is worked out once
+        self._train_ids = source.select(ROW_ID)
+        train = spread(source, ROW_ID).persist()
         self._m = train.count()
         self.columns = [c for c in train.columns if c != ROW_ID]
         self.types = {f.name: f.dataType for f in train.schema.fields}
@@ -129,14 +131,14 @@ class CartSequential(Generator):
         for i, c in enumerate(self.columns):
             rows, made = self._features(rows, c)
             if not inputs or self._constant(c):  # nulls are donors like any value
-                self.steps.append(self._step(rows, c, c, None, False, inputs))
+                self.steps.append(self._step(rows, self._m, c, c, None, False, inputs))
             elif c in self.category:
-                self.steps.append(self._step(rows, c, c, f"__f{i}", True, inputs))
+                self.steps.append(self._step(rows, self._m, c, c, f"__f{i}", True, inputs))
             else:
                 if self.nulls[c]:
-                    self.steps.append(self._step(rows, f"__n{i}", f"__null{i}", f"__n{i}", True, inputs))
+                    self.steps.append(self._step(rows, self._m, f"__n{i}", f"__null{i}", f"__n{i}", True, inputs))
                 there = rows.where(_q(c).isNotNull())
-                self.steps.append(self._step(there, c, c, f"__f{i}", False, inputs))
+                self.steps.append(self._step(there, self._m - self.nulls[c], c, c, f"__f{i}", False, inputs))
             inputs = [*inputs, *made]
         train.unpersist()
         return self

@@ -178,15 +178,17 @@ def sliced_in_order(df: DataFrame, order_cols: list[str], slices: int | None = N
     return materialize(numbered.withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))), "slices")
 
 
-def _with_offsets(sliced: DataFrame, total: Column, part: list[str]) -> DataFrame:
+def _with_offsets(sliced: DataFrame, total: Column, part: list[str], few_groups: bool = False) -> DataFrame:
     """``sliced`` with ``__first`` (the group's first row in the slice) and ``__off`` (``total``
-    over the group's earlier slices).  The joined table has a row per slice and group in it."""
+    over the group's earlier slices).  The joined table has a row per slice and group in it:
+    as groups follow each other, no more than slices and groups together."""
     before = Window.partitionBy(*part).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sliced.groupBy("__slice", *part).agg(total.alias("__tot"), F.min("__at").alias("__first"))
     sums = sums.withColumn("__off", F.coalesce(F.sum("__tot").over(before), F.lit(0))).drop("__tot")
     if not part:
         return sliced.join(F.broadcast(sums), "__slice")  # a row per slice
     named = sums.select(F.col(part[0]).alias("__g"), F.col("__slice").alias("__s"), "__first", "__off")
+    named = F.broadcast(named) if few_groups else named
     return sliced.join(named, (F.col("__slice") == F.col("__s")) & F.col(part[0]).eqNullSafe(F.col("__g"))).drop("__g", "__s")
 
 
@@ -196,17 +198,19 @@ def value_position(
     out: str = "__pos",
     partition_col: str | None = None,
     ranges: int | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add ``out``: 0-based position in ``order_cols`` order (value order).
 
     Rows are numbered within ranges of the whole order (:func:`sliced_in_order`); a
     small table of range offsets makes the number global.  Nulls rank last.
     ``order_cols`` must be a total order (end with a unique column).  With
-    ``partition_col`` the rank restarts for every value of that column, null included.
+    ``partition_col`` the rank restarts for every value of that column, null included;
+    ``few_groups`` says that it has few values, whose offsets may be broadcast.
     """
     part = [partition_col] if partition_col else []
     sliced = sliced_in_order(df, [*part, *order_cols], ranges)
-    placed = _with_offsets(sliced, F.count(F.lit(1)), part)
+    placed = _with_offsets(sliced, F.count(F.lit(1)), part, few_groups)
     position = F.col("__off") + F.col("__at") - (F.col("__first") if part else F.lit(0))
     return placed.withColumn(out, position.cast("long")).drop("__slice", "__at", "__first", "__off")
 

@@ -52,3 +52,37 @@ def test_manager_keeps_rows_with_nulls_and_knows_categories(spark):
     assert len(got) == 600 and ds.n_train == 600
     assert all((r["x"] is None) == (r["letter"] == "k3") for r in got)
     assert all((r["s"] is None) == (r["letter"] in ("k0", "k2", "k4")) for r in got)
+
+
+def test_a_sample_is_drawn_once(spark):
+    """Counting a generator's rows does not work them out a second time."""
+    from quiltspark.operators.generators.base import ROW_ID, Generator
+
+    drawn = spark.sparkContext.accumulator(0)
+
+    def draw(batches):
+        for batch in batches:
+            drawn.add(batch.num_rows)
+            yield batch
+
+    class Drawing(Generator):
+        def fit(self, train):
+            self._train, self._m = train, train.count()
+            return self
+
+        def sample(self, n, seed=0):
+            return self._train.mapInArrow(draw, self._train.schema)
+
+    train = spark.range(50).withColumnRenamed("id", ROW_ID)
+    assert Drawing().generate(train, 50).count() == 50
+    assert drawn.value == 50
+
+
+def test_ranks_in_few_groups_are_the_same(spark):
+    from quiltspark.operators.positions import value_position
+
+    rows = [(None if i % 5 == 4 else i % 5 % 3, (i * 37) % 101, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, x int, id int")
+    ranked = [value_position(df, ["x", "id"], out="p", partition_col="g", ranges=7, few_groups=few) for few in (False, True)]
+    expected = {r[2]: sum((o[1], o[2]) < (r[1], r[2]) for o in rows if o[0] == r[0]) for r in rows}
+    assert [{r["id"]: r["p"] for r in d.collect()} for d in ranked] == [expected, expected]
