@@ -15,12 +15,17 @@ meet in groups that together hold every linked pair:
   meets in short lists alone and fewer than l times is not linked; the others
   form a group of two (joined with those of the same first class).
 * A longer list is a group as a whole, named by its smallest class, so the
-  lists of one family of copies are mostly one group.
+  lists of one family of copies are mostly one group.  A class that is in fewer
+  long lists than the l of any set it may be linked with (a common phrase or two)
+  is in none of these groups: it must also meet its partners in short lists, and
+  such a pair is let through with as many meetings less as both have long lists.
 * Each group is one task, with the texts of its classes; a group with more than
   ``GROUP_SHINGLES`` shingles is cut into tiles, and every pair of tiles is a task.
 
-Exactness: a pair that shares any long list is in that list's group; one that
-shares none is in a group of its own unless too rare a meeting rules it out.
+Exactness: a pair that shares any long list is in that list's group if both are in
+such groups; one that shares none is in a group of its own unless too rare a meeting
+rules it out.  If either is in too few long lists x and y, at most min(x, y) of the l
+common shingles have long lists, so the pair meets l - min(x, y) > 0 times in short ones.
 A null, empty or word-less text has the empty set and is linked with nothing.
 Rows with a null doc_id are in the result, alone in a component without id.
 Repeated ids are one node per id: their rows' links all count.  An empty table
@@ -104,6 +109,11 @@ def common_shingles(n: np.ndarray) -> np.ndarray:
     return 1 + n // 20
 
 
+def fewest_common(n: np.ndarray) -> np.ndarray:
+    """The least l of any set that one of n shingles may be linked with."""
+    return common_shingles((3 * n + 3) // 4)
+
+
 def listed(s: np.ndarray, heavy: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles a set is listed under, and which of them are known as heavy."""
     n = len(s)
@@ -178,8 +188,9 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """One part of the hash range.  Rows (a, b, times, need) for pairs in short lists,
-    need null and a the group for members of long lists."""
+    """One part of the hash range.  Rows (a, b, times, need, least) for pairs in short lists: linked
+    if met ``need`` times, or ``least`` times with help of long lists.  Need and least null, a the
+    group and times the number of its lists for members of long lists."""
     opened = [_opened(b.as_py()) for b in table.column("blob")]
     h, k, n = (np.concatenate(x) for x in zip(*opened, strict=True))
     order = np.lexsort((k, h))
@@ -193,8 +204,8 @@ def _met(table: pa.Table) -> pa.Table:
     short = length[where] <= SHORT
     group = k[first][where]
     long_a, long_b = group[~short], k[~short]
-    members = np.unique(np.stack([long_a, long_b], 1), axis=0) if len(long_a) else np.zeros((0, 2), np.int64)
-    pairs_a, pairs_b, needs = [], [], []
+    members, lists = np.unique(np.stack([long_a, long_b], 1), axis=0, return_counts=True) if len(long_a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    pairs_a, pairs_b, needs, leasts = [], [], [], []
     for d in range(1, min(SHORT, len(h))):
         i = np.flatnonzero((where[d:] == where[:-d]) & short[d:])
         a, b = n[i], n[i + d]
@@ -202,17 +213,18 @@ def _met(table: pa.Table) -> pa.Table:
         pairs_a.append(k[ok])
         pairs_b.append(k[ok + d])
         needs.append(common_shingles(np.minimum(n[ok], n[ok + d])))
-    a, b, need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_a, pairs_b, needs))
+        leasts.append(needs[-1] + 1 - fewest_common(np.maximum(n[ok], n[ok + d])))
+    a, b, need, least = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_a, pairs_b, needs, leasts))
     order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
+    a, b, need, least = a[order], b[order], need[order], least[order]
     start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
     times = np.diff(np.append(start, len(a)))
     columns = [
         pa.array(np.concatenate([a[start], members[:, 0]])), pa.array(np.concatenate([b[start], members[:, 1]])),
-        pa.array(np.concatenate([times, np.zeros(len(members), np.int64)])),
-        pa.concat_arrays([pa.array(need[start]).cast(pa.int64()), pa.nulls(len(members), pa.int64())]),
+        pa.array(np.concatenate([times, lists])),
+        *(pa.concat_arrays([pa.array(x[start]).cast(pa.int64()), pa.nulls(len(members), pa.int64())]) for x in (need, least)),
     ]
-    return pa.table(columns, ["a", "b", "times", "need"])
+    return pa.table(columns, ["a", "b", "times", "need", "least"])
 
 
 def _verified(table: pa.Table) -> pa.Table:
@@ -246,17 +258,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles = own.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(0.3 * shingles / LIST_ROWS))
     lists = staged(docs.mapInArrow(_lists(heavy, count, parts), "part int, blob binary, h long, k long"), "lists")
-    met = lists.filter("part is not null").select("part", "blob").groupBy("part").applyInArrow(_met, "a long, b long, times long, need long")
+    met = lists.filter("part is not null").select("part", "blob").groupBy("part").applyInArrow(_met, "a long, b long, times long, need long, least long")
     met = staged(met, "met")
-    pairs = met.filter("need is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need")
-    known = lists.filter("h is not null").select("h", "k")
+    known = lists.filter("h is not null").select("h", "k").distinct()
     first = known.groupBy("h").agg(F.min("k").alias("grp"), F.max("k").alias("_other")).filter("grp <> _other").drop("_other")
-    members = (
-        pairs.select(F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("k"))
-        .union(met.filter("need is null").select(F.col("a").alias("grp"), F.col("b").alias("k")))
-        .union(known.join(F.broadcast(first), "h").select("grp", "k"))  # at most HEAVY rows
-        .distinct()
-    )
+    in_long = met.filter("need is null").select(F.col("a").alias("grp"), F.col("b").alias("k"), "times")
+    in_long = in_long.union(known.join(F.broadcast(first), "h").select("grp", "k", F.lit(1).cast("long")))  # at most HEAVY rows
+    in_long = staged(in_long.groupBy("grp", "k").agg(F.sum("times").alias("times")), "long")
+    shortest = classes.groupBy(F.col("k1").alias("k")).agg(F.min("n").alias("n"))  # one, but for classes of one key
+    fewest = F.expr("1 + ((3 * n + 3) div 4) div 20")  # fewest_common
+    long_of = in_long.groupBy("k").agg(F.sum("times").alias("long")).join(shortest, "k")
+    long_of = staged(long_of.select("k", "long", (F.col("long") < fewest).alias("few")), "few")
+    spread = in_long.join(long_of.filter("not few").select("k"), "k").select("grp", "k")
+    met_often = met.filter("need is not null").groupBy("a", "b")
+    met_often = met_often.agg(F.sum("times").alias("times"), F.max("need").alias("need"), F.min("least").alias("least")).filter("times >= least")
+    for side in "ab":  # a class without long lists has no row: none, and so few
+        own_long = long_of.select(F.col("k").alias(side), F.col("long").alias(f"long_{side}"), F.col("few").alias(f"few_{side}"))
+        met_often = met_often.join(own_long, side, "left")
+    helped = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    few = F.coalesce("few_a", F.lit(True)) | F.coalesce("few_b", F.lit(True))
+    pairs = met_often.filter(F.col("times") >= F.col("need") - F.when(few, helped).otherwise(0))
+    members = pairs.select(F.col("a").alias("grp"), F.explode(F.array("a", "b")).alias("k")).union(spread).distinct()
     placed = staged(members.join(classes.select(F.col("k1").alias("k"), "rep", "n"), "k").select("grp", "k", "rep", "n"), "members")
 
     load = placed.groupBy("grp").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("m")).filter("m > 1")

@@ -127,6 +127,41 @@ def test_join_of_odd_rows(make_docs, odd_rows):
     assert jaccardjoin.near_duplicates(make_docs([(1, None)])).collect()[0].asDict() == {"doc_id": 1, "n_shingles": 0, "component_id": 1}
 
 
+def common_phrases(seed, n_plain=150):
+    """Unlike texts that share a phrase or two with many others, and some near copies of them."""
+    rng = random.Random(seed)
+    some = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    phrases = [some(14) for _ in range(5)]
+    texts = []
+    for k in range(n_plain):
+        texts.append(" ".join(some(rng.randrange(20, 500)) + phrases[k % 5] + some(rng.randrange(20, 300)) + phrases[rng.randrange(5)]))
+    for t in texts[:60]:
+        w = t.split()
+        cut = int(len(w) * rng.choice((0.02, 0.08, 0.13, 0.2, 0.24)))
+        texts.append(" ".join(w[cut:] if rng.random() < 0.5 else w[: len(w) - cut]))
+    for base in texts[60:64]:
+        texts += family(rng, base.split(), 20, 0.01)
+    return list(enumerate(texts))
+
+
+def test_common_phrases_do_not_move_unlike_texts(make_docs, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    phrase, seen, staged = some(24), {}, jaccardjoin.staged
+    texts = [" ".join(some(200) + phrase + some(176)) for _ in range(28)]
+    rows = list(enumerate([*texts, texts[3].rsplit(" ", 30)[0]]))
+    monkeypatch.setattr(jaccardjoin, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+    check_join(make_docs(rows).repartitionByRange(29, "doc_id"), rows)  # no task sees the phrase twice
+    assert seen["met"].filter("need is null").select("b").distinct().count() == 29  # all in long lists
+    assert sorted(r["rep"] for r in seen["members"].select("rep").distinct().collect()) == [3, 28]
+
+
+def test_join_with_few_and_many_long_lists(make_docs):
+    for seed, parts in ((6, 30), (7, 60)):
+        rows = common_phrases(seed, 90)
+        check_join(make_docs(rows).repartition(parts, "doc_id"), rows)
+
+
 def brute_lines(rows):
     keyed = sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
     seen, cover = set(), collections.defaultdict(set)
