@@ -120,6 +120,54 @@ def test_knn_backend_votes_as_all_pairs(spark, small_cells):
         assert r["score"] == pytest.approx(knn_score((r["a"], r["b"], r["c"]), train, 15), abs=1e-9), r
 
 
+def test_queries_on_training_rows_are_not_searched(spark, monkeypatch):
+    from quiltspark.operators import knn
+
+    asked, search = [], knn.neighbours
+    monkeypatch.setattr(knn, "neighbours", lambda q, *a, **k: asked.append(q.count()) or search(q, *a, **k))
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["a"], outputCol="features").setHandleInvalid("keep").transform(
+        spark.createDataFrame([(float(i % 10) if i % 11 else None, float(i % 3 == 0)) for i in range(60)], "a double, label double"))
+    model = classifier_backend("knn").setFeaturesCol("features").setLabelCol("label").fit(rows)
+    got = {r["a"]: r["probability"][1] for r in model.transform(rows).select("a", "probability").collect()}
+    votes = {}
+    for r in rows.collect():
+        votes.setdefault(r["a"], []).append(r["label"])
+    assert got == pytest.approx({a: np.mean(y) for a, y in votes.items()}) and asked == []
+    other = VectorAssembler(inputCols=["a"], outputCol="features").transform(spark.createDataFrame([(0.5,), (1.0,)], "a double"))
+    assert model.transform(other).where("prediction is not null").count() == 2 and asked == [1]
+
+
+def test_search_holds_the_nearest_with_all_ties(monkeypatch):
+    monkeypatch.setattr(N, "LEAF_POINTS", 20)
+    monkeypatch.setattr(N, "LOOKED_AT", 100)
+    rng = np.random.default_rng(4)
+    num = np.unique(rng.integers(0, 25, (400, 2)), axis=0).astype(float)
+    n, m = rng.integers(1, 4, len(num)), rng.integers(0, 3, len(num)).astype(float)
+    asked = np.concatenate((rng.integers(0, 25, (60, 2)), rng.integers(-9, 40, (20, 2)) + 0.25))
+    weights = ([1.0, 1.0], [], 2)
+    for k in (1, 2, 7, 1000):
+        for apart in (False, True):
+            none = np.zeros((len(asked), 0), np.int64)
+            (d, count, load), radius = N.search(asked, none, np.full(len(asked), np.inf), (num, np.zeros((len(num), 0), np.int64), n, m), weights, k, apart)
+            for i, q in enumerate(asked):
+                far = ((num - q) ** 2).sum(1)
+                far = np.where(apart & (far == 0), np.inf, far)
+                expected, rows = [], 0
+                for x in np.unique(far[far < np.inf]):
+                    if rows >= k:
+                        break
+                    rows += n[far == x].sum()
+                    expected.append((x, n[far == x].sum(), m[far == x].sum()))
+                there = d[i] < np.inf
+                if k == 1:
+                    assert d[i].tolist() == [expected[0][0]]
+                else:
+                    assert list(zip(d[i][there], count[i][there], load[i][there], strict=True)) == expected
+                    assert radius[i] == (expected[-1][0] if rows >= k else np.inf)
+
+
 def test_order_statistics_with_nan_infinities_and_weights(spark):
     values = [float("nan")] * 4 + [float("inf"), float("-inf"), 1e308, -1e308, 0.0, -0.0, 5e-324, 2.5, None] + [7.0] * 300
     df = spark.createDataFrame([(v, 1 + i % 3) for i, v in enumerate(values)], "x double, w long")
