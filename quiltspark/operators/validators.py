@@ -314,27 +314,62 @@ def _normals(weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> list[t
     return out
 
 
-def _mixture_sums(models: Mapping[int, list[tuple]], d: int):
+#: Rows of a block worked on together (what is worked out of them stays in the processor's cache).
+ROWS_OF_A_STEP = 2048
+#: Rows per component that MLlib's mixture starts from.
+START_ROWS = 5
+
+
+def _mixture_sums(models: Mapping[int, list[tuple]], d: int, pivot: np.ndarray):
     """Per mixture the log likelihood of the rows not in its fold and, per component, the sums of
-    responsibility, of the rows and of their products with themselves."""
+    responsibility, of the rows and of their products, both about ``pivot``.
+
+    A block's rows lie by fold: the components of all mixtures that take a fold's rows are worked
+    out by one product, and so are their sums."""
+    names, eps = list(models), np.finfo(float).eps
+    at, size = np.triu_indices(d), len(next(iter(models.values())))
+
+    def taking(fold):
+        """Places of the mixtures that take the fold's rows, and their components in one."""
+        own = [i for i, m in enumerate(names) if m != fold]
+        comps = [c for i in own for c in models[names[i]]]
+        if not comps:
+            return None
+        root = np.concatenate([c[2].T for c in comps])
+        return own, root, np.concatenate([(c[1] - pivot) @ c[2] for c in comps])[:, None], *(np.array([c[j] for c in comps])[:, None] for j in (0, 3))
 
     def run(batches):
-        total = [np.zeros(1 + len(comps) * (1 + d + d * d)) for comps in models.values()]
+        total = np.zeros((len(names), 1 + size * (1 + d + len(at[0]))))
+        of: dict[int, tuple | None] = {}
         for batch in batches:
             for raw, marks in zip(batch.column("x").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-                x, fold = np.frombuffer(raw).reshape(-1, d), np.frombuffer(marks, np.int32)
-                for sums, (m, comps) in zip(total, models.items(), strict=True):
-                    z = x[fold != m]
-                    p = [np.finfo(float).eps + w * np.exp(scale - 0.5 * np.square((z - mu) @ root).sum(1)) for w, mu, root, scale in comps]
-                    whole = sum(p)
-                    sums[0] += np.log(whole).sum()
-                    for i, own in enumerate(p):
-                        r = own / whole
-                        at = 1 + i * (1 + d + d * d)
-                        sums[at] += r.sum()
-                        sums[at + 1 : at + 1 + d] += r @ z
-                        sums[at + 1 + d : at + 1 + d + d * d] += ((z * r[:, None]).T @ z).ravel()
-        yield pa.record_batch([pa.array([np.concatenate(total).tobytes()], pa.binary())], ["sums"])
+                x, fold = np.frombuffer(raw).reshape(-1, d).T - pivot[:, None], np.frombuffer(marks, np.int32)
+                ends = [0, *(np.flatnonzero(fold[1:] != fold[:-1]) + 1).tolist(), len(fold)]
+                for begin, end in zip(ends[:-1], ends[1:], strict=True):
+                    if begin == end:
+                        continue
+                    f = int(fold[begin])
+                    if f not in of:
+                        of[f] = taking(f)
+                    if of[f] is None:
+                        continue
+                    own, root, middle, w, scale = of[f]
+                    for low in range(begin, end, ROWS_OF_A_STEP):
+                        z = x[:, low : min(end, low + ROWS_OF_A_STEP)]
+                        n = z.shape[1]
+                        p = np.square(root @ z - middle).reshape(-1, d, n).sum(1)
+                        p *= -0.5
+                        p += scale
+                        np.exp(p, out=p)
+                        p *= w
+                        p += eps
+                        p = p.reshape(len(own), size, n)
+                        whole = p.sum(1)
+                        p /= whole[:, None]
+                        parts = np.concatenate((np.ones((1, n)), z, z[at[0]] * z[at[1]]))
+                        total[own, 0] += np.log(whole).sum(1)
+                        total[own, 1:] += (p.reshape(-1, n) @ parts.T).reshape(len(own), -1)
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     return run
 
@@ -355,13 +390,15 @@ class DensityValidator(Validator):
         self.k, self.nu, self.seed, self.max_iter = k, nu, seed, max_iter
 
     def _start(self, pos: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights, means and covariances that MLlib's mixture starts from on these rows (drawn with the seed)."""
-        from pyspark.ml.clustering import GaussianMixture
-
-        x = assemble(self.features).transform(pos)
-        model = GaussianMixture(k=self.k, seed=self.seed, maxIter=0, featuresCol="features").fit(x)
-        return (np.array(model.weights), np.array([g.mean.toArray() for g in model.gaussians]),
-                np.array([g.cov.toArray() for g in model.gaussians]))
+        """Weights, means and covariances that MLlib's mixture starts from on these rows: it draws five
+        rows a component with the seed, and takes their means and variances."""
+        rows = pos.select(*[F.col(f"`{c}`").cast("double") for c in self.features])
+        drawn = rows._jdf.javaRDD().takeSample(True, self.k * START_ROWS, self.seed)
+        if not len(drawn):
+            raise ValueError("a mixture needs rows")
+        x = np.array([[np.nan if r.isNullAt(i) else r.getDouble(i) for i in range(len(self.features))] for r in drawn])
+        groups = x.reshape(self.k, START_ROWS, -1)
+        return np.full(self.k, 1 / self.k), groups.mean(1), np.array([np.diag(g.var(0)) for g in groups])
 
     def _fit_mixtures(self, rows: DataFrame, starts: Mapping[int, tuple]) -> dict[int, list]:
         """One mixture per key of ``starts``, fitted to the ``rows`` of any other ``fold``.
@@ -376,23 +413,29 @@ class DensityValidator(Validator):
             for batch in batches:
                 x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in feats])
                 fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int32)
-                yield pa.record_batch([pa.array([np.ascontiguousarray(x, float).tobytes()], pa.binary()),
-                                       pa.array([fold.tobytes()], pa.binary())], ["x", "fold"])
+                order = np.argsort(fold, kind="stable")
+                yield pa.record_batch([pa.array([np.ascontiguousarray(x[order], float).tobytes()], pa.binary()),
+                                       pa.array([fold[order].tobytes()], pa.binary())], ["x", "fold"])
 
         blocks = rows.select("fold", *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
         blocks = materialize(blocks.mapInArrow(blocked, "x binary, fold binary"), "mixture-rows")
+        upper = np.triu_indices(d)
         now, gone, likely = dict(starts), {}, dict.fromkeys(starts, (-float(np.finfo(float).max), 0.0))
         for _ in range(self.max_iter):
             going = {m: _normals(*now[m]) for m in now if m not in gone}
             if not going:
                 break
-            found = blocks.mapInArrow(_mixture_sums(going, d), "sums binary").collect()  # a row per task
+            pivot = np.mean([mu for m in going for _, mu, _, _ in going[m]], axis=0)
+            found = blocks.mapInArrow(_mixture_sums(going, d, pivot), "sums binary").collect()  # a row per task
             sums = sum(np.frombuffer(r["sums"]) for r in found).reshape(len(going), -1)
+            if not np.isfinite(sums).all():
+                raise ValueError("a mixture can't be fitted to rows with null, NaN or infinite values")
             for m, s in zip(going, sums, strict=True):
-                per = s[1:].reshape(self.k, 1 + d + d * d)
+                per = s[1:].reshape(self.k, -1)
                 weight, mean = per[:, 0], per[:, 1 : 1 + d] / per[:, :1]
-                cov = per[:, 1 + d :].reshape(self.k, d, d) / weight[:, None, None] - mean[:, :, None] * mean[:, None, :]
-                now[m] = (weight / weight.sum(), mean, cov)
+                cov = np.empty((self.k, d, d))
+                cov[:, upper[0], upper[1]] = cov[:, upper[1], upper[0]] = per[:, 1 + d :] / weight[:, None]
+                now[m] = (weight / weight.sum(), mean + pivot, cov - mean[:, :, None] * mean[:, None, :])
                 likely[m] = (float(s[0]), likely[m][0])
                 if not abs(likely[m][0] - likely[m][1]) > MIXTURE_TOLERANCE:
                     gone[m] = True
@@ -409,16 +452,25 @@ class DensityValidator(Validator):
         return comps
 
     def _logdensity(self, comps) -> Column:
+        return self._density([[(logw, mu, prec, logdet)] for logw, mu, prec, logdet in comps], lambda xs: F.lit(float(xs[0])))
+
+    def _fold_logdensity(self, fitted: list[list]) -> Column:
+        """The log density by the mixture that a row's ``fold`` names: one expression, its numbers looked up."""
+        return self._density([list(c) for c in zip(*fitted, strict=True)], lambda xs: F.array(*[F.lit(float(x)) for x in xs])[F.col("fold")])
+
+    def _density(self, comps: list[list[tuple]], number) -> Column:
+        """``comps``: per component its (log weight, mean, precision, log determinant) in each of some mixtures;
+        ``number`` makes a column of what a number is in each of them."""
         d = len(self.features)
         terms = []
-        for logw, mu, prec, logdet in comps:
-            diffs = [F.col(f"`{c}`").cast("double") - F.lit(float(m)) for c, m in zip(self.features, mu)]
+        for some in comps:
+            diffs = [F.col(f"`{c}`").cast("double") - number([mu[a] for _, mu, _, _ in some]) for a, c in enumerate(self.features)]
             quad = F.lit(0.0)
             for a in range(d):
                 for b in range(d):
-                    if prec[a, b] != 0.0:
-                        quad = quad + F.lit(float(prec[a, b])) * diffs[a] * diffs[b]
-            terms.append(F.lit(logw - 0.5 * logdet - 0.5 * d * math.log(2 * math.pi)) - F.lit(0.5) * quad)
+                    if any(prec[a, b] != 0.0 for _, _, prec, _ in some):
+                        quad = quad + number([prec[a, b] for _, _, prec, _ in some]) * diffs[a] * diffs[b]
+            terms.append(number([logw - 0.5 * logdet - 0.5 * d * math.log(2 * math.pi) for logw, _, _, logdet in some]) - F.lit(0.5) * quad)
         top = F.greatest(*terms) if len(terms) > 1 else terms[0]
         return top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0)))
 
@@ -452,9 +504,8 @@ class DensityValidator(Validator):
             # the bad joins of a fold are those numbered like its true ones
             bad = neg.join(rows.select("j", "fold").distinct(), "j").select("fold", *self.features, F.lit(-1).alias("label"))
             test = rows.select("fold", *self.features, F.lit(1).alias("label")).unionByName(bad)
-            inlier = F.lit(None).cast("boolean")
-            for f in range(k):
-                inlier = F.when(F.col("fold") == f, self._logdensity(fitted[f]) >= F.lit(offsets[f])).otherwise(inlier)
+            cut = F.array(*[F.lit(float(offsets[f])) for f in range(k)])[F.col("fold")]
+            inlier = self._fold_logdensity([fitted[f] for f in range(k)]) >= cut
             good, is_true = F.coalesce(inlier, F.lit(False)), F.col("label") == 1
             hits = test.groupBy("fold").agg(F.count(F.when(good & is_true, 1)).alias("tp"), F.count(F.when(good & ~is_true, 1)).alias("fp"),
                                             F.count(F.when(~good & is_true, 1)).alias("fn"))

@@ -41,3 +41,40 @@ def test_walk_ends_in_the_leaf_that_the_splits_name():
             at, depth = int(tree.left[at] if x[tree.feature[at]] < tree.split[at] else tree.right[at]), depth + 1
         assert node == at
         assert length[node] == depth + V._avg_path([tree["size"][at]])[0]
+
+
+def _mixed_rows(spark):
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.normal(50, 3, (90, 2)), rng.normal(-20, [9, 1], (60, 2))])
+    return spark.createDataFrame([(i, i % 3, float(a), float(b)) for i, (a, b) in enumerate(data)], "j long, fold int, a double, b double").persist()
+
+
+def test_mixture_starts_from_the_rows_that_mllib_draws(spark):
+    v = V.DensityValidator(k=3, seed=11)
+    v.features = ["a", "b"]
+    for rows in (df := _mixed_rows(spark), df.where("fold <> 1")):
+        model = GaussianMixture(k=3, seed=11, maxIter=0, featuresCol="features").fit(V.assemble(["a", "b"]).transform(rows))
+        weights, means, covs = v._start(rows)
+        assert weights == pytest.approx(np.array(model.weights))
+        for mu, cov, g in zip(means, covs, model.gaussians, strict=True):
+            assert mu == pytest.approx(g.mean.toArray(), rel=1e-12)
+            assert cov == pytest.approx(g.cov.toArray(), rel=1e-9, abs=1e-12)
+
+
+def test_density_by_fold_is_that_of_the_folds_mixture(spark):
+    """One expression for all folds, whose size does not grow with them."""
+    df = _mixed_rows(spark)
+    v = V.DensityValidator(seed=7)
+    v.features = ["a", "b"]
+    fitted = v._fit_mixtures(df, {m: v._start(df.where(F.col("fold") != m)) for m in range(3)})
+    found = df.select("fold", v._fold_logdensity([fitted[m] for m in range(3)]).alias("got"), *[v._logdensity(fitted[m]).alias(f"d{m}") for m in range(3)])
+    assert all(r["got"] == pytest.approx(r[f"d{r['fold']}"], rel=1e-12) for r in found.collect())
+
+
+def test_mixture_refuses_rows_without_a_value(spark):
+    df = _mixed_rows(spark).withColumn("b", F.when(F.col("j") != 4, F.col("b")))
+    v = V.DensityValidator(seed=7)
+    v.features = ["a", "b"]
+    start = (np.array([0.5, 0.5]), np.array([[50.0, 50.0], [-20.0, -20.0]]), np.array([np.eye(2), np.eye(2)]))
+    with pytest.raises(ValueError, match="null, NaN"):
+        v._fit_mixtures(df, {3: start})
