@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,13 @@ from quiltspark.operators.aggregates import tag_real_synthetic
 from quiltspark.operators.encode import OrdinalEncoder
 from quiltspark.operators.privacy import identifiability_risk, median_dcr
 from quiltspark.operators.splits import PAIRS_PER_AGG, _pairwise_r
+from quiltspark.session import materialize
+
+
+#: Tells MLlib the labels 0 and 1, so that it needs no pass to find how many classes there are.
+TWO_CLASSES = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
+#: Metrics of U9 that run at once.
+METRICS_AT_ONCE = 3
 
 
 def _q(c: str):
@@ -192,7 +200,8 @@ def classifier_utility(real: DataFrame, synthetic: DataFrame, holdout: DataFrame
                                 RandomForestClassifier(labelCol=label, numTrees=50, maxDepth=5, seed=seed)])
         pred = pipe.fit(train.withColumn(label, F.col(label).cast("double"))).transform(
             holdout.withColumn(label, F.col(label).cast("double")))
-        pred = pred.withColumn("__p1", vector_to_array("probability")[1])
+        # the forest scores the rows once, for both classes' counts and the ranks
+        pred = materialize(pred.select(label, "prediction", vector_to_array("probability")[1].alias("__p1")), "utility-scores")
         f1s = []
         for cls in (0.0, 1.0):
             r = pred.agg(F.sum(((F.col("prediction") == cls) & (F.col(label) == cls)).cast("long")).alias("tp"),
@@ -214,22 +223,26 @@ def membership_inference(real_train: DataFrame, synthetic: DataFrame, holdout: D
     to tell all training rows (members) from the other holdout half (non-members).
 
     Halves are exact seeded splits (S7); recall and precision of "member" are averaged
-    over ``rounds``.
+    over ``rounds``.  The three tables are worked out once and written: every round's halves,
+    passes of the fit and predictions read them.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    from quiltspark.operators.sampling import train_test_split
+    from quiltspark.operators.sampling import ROW_ID, train_test_split
 
     feats = list(features)
     rec, prec = [], []
+    real_train, synthetic = materialize(real_train.select(*feats), "mia-members"), materialize(synthetic.select(*feats), "mia-synthetic")
+    holdout = materialize(holdout.select(ROW_ID, *[c for c in feats if c != ROW_ID]), "mia-holdout")
     n_hold = holdout.count()
     for r in range(rounds):
         h1, h2 = train_test_split(holdout, 0.5, seed=seed + r, n=n_hold)
         fit_df = synthetic.select(*feats, F.lit(1.0).alias("__y")).unionByName(h1.select(*feats, F.lit(0.0).alias("__y")))
         pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
                                 RandomForestClassifier(labelCol="__y", numTrees=50, maxDepth=5, seed=seed + r)])
+        fit_df = fit_df.withColumn("__y", F.col("__y").alias("__y", metadata=TWO_CLASSES))
         model = pipe.fit(fit_df)
         test = real_train.select(*feats, F.lit(1.0).alias("__y")).unionByName(h2.select(*feats, F.lit(0.0).alias("__y")))
         c = model.transform(test).agg(
@@ -245,31 +258,44 @@ def membership_inference(real_train: DataFrame, synthetic: DataFrame, holdout: D
 
 def evaluate(real: DataFrame, synthetic: DataFrame, holdout: DataFrame, categorical: Sequence[str],
              numeric: Sequence[str], label: str | None = None, seed: int = 0, mia_rounds: int = 0) -> DataFrame:
-    """The metric table ``(metric, value)`` of one synthetic table."""
+    """The metric table ``(metric, value)`` of one synthetic table.
+
+    Every metric reads the three tables, some many times: they are worked out once and written."""
     spark = real.sparkSession
-    rows = []
-    h = hellinger(real, synthetic, categorical, numeric)
-    avg = [r["h_dist"] for r in h.collect() if r["column"] == "avg_h_dist"]  # one row per column: tiny
-    rows.append(("avg_h_dist", float(avg[0]) if avg else float("nan")))
-    rows.append(("corr_mat_diff", corr_diff(real, synthetic, categorical, numeric)))
+    real, synthetic, holdout = materialize(real, "u9-real"), materialize(synthetic, "u9-synthetic"), materialize(holdout, "u9-holdout")
+
+    def overlap():
+        h = hellinger(real, synthetic, categorical, numeric)
+        avg = [r["h_dist"] for r in h.collect() if r["column"] == "avg_h_dist"]  # one row per column: tiny
+        return [("avg_h_dist", float(avg[0]) if avg else float("nan"))]
+
+    def risk(table):
+        return lambda: identifiability_risk(table, synthetic, numeric, categorical)
+
+    jobs = {"risk": risk(real), "other": risk(holdout), "near": lambda: median_dcr(real, synthetic, numeric, categorical)["median_dcr"],
+            "overlap": overlap, "corr": lambda: [("corr_mat_diff", corr_diff(real, synthetic, categorical, numeric))]}
     if len(numeric) >= 2:
-        rows += list(pca_difference(real, synthetic, numeric).items())
-    near = median_dcr(real, synthetic, numeric, categorical)["median_dcr"]
-    risk = identifiability_risk(real, synthetic, numeric, categorical)
-    other = identifiability_risk(holdout, synthetic, numeric, categorical)
-    rows += [(m, float("nan") if v is None else v) for m, v in (
-        ("median_DCR", near), ("eps_identif_risk", risk), ("priv_loss_eps", None if risk is None or other is None else risk - other))]
+        jobs["pca"] = lambda: list(pca_difference(real, synthetic, numeric).items())
     if label is not None or mia_rounds:
         # the models take numbers: one dictionary for the values of all three tables
+        coded = (real, synthetic, holdout)
         words = [c for c in categorical if dict(real.dtypes)[c] == "string"]
         if words:
-            tables = (real, synthetic, holdout)
-            codes = OrdinalEncoder(words).fit(tables[0].select(*words).unionByName(tables[1].select(*words)).unionByName(tables[2].select(*words)))
-            real, synthetic, holdout = (codes.transform(t) for t in tables)
+            codes = OrdinalEncoder(words).fit(real.select(*words).unionByName(synthetic.select(*words)).unionByName(holdout.select(*words)))
+            coded = tuple(materialize(codes.transform(t), "u9-codes") for t in coded)
     if label is not None:
         feats = [c for c in list(categorical) + list(numeric) if c != label]
-        rows += list(classifier_utility(real, synthetic, holdout, feats, label, seed).items())
+        jobs["utility"] = lambda: list(classifier_utility(*coded, feats, label, seed).items())
     if mia_rounds:
-        rows += list(membership_inference(real, synthetic, holdout, list(categorical) + list(numeric), mia_rounds,
-                                          seed).items())
+        jobs["members"] = lambda: list(membership_inference(*coded, list(categorical) + list(numeric), mia_rounds, seed).items())
+    # they don't need each other: some run at once, the long ones first
+    with ThreadPoolExecutor(max_workers=METRICS_AT_ONCE) as pool:
+        found = {name: pool.submit(jobs[name]) for name in ("members", "utility", "risk", "other", "near", "corr", "overlap", "pca") if name in jobs}
+    found = {name: f.result() for name, f in found.items()}
+    rows = [*found["overlap"], *found["corr"], *found.get("pca", [])]
+    near, risk_real, risk_other = found["near"], found["risk"], found["other"]
+    rows += [(m, float("nan") if v is None else v) for m, v in (
+        ("median_DCR", near), ("eps_identif_risk", risk_real),
+        ("priv_loss_eps", None if risk_real is None or risk_other is None else risk_real - risk_other))]
+    rows += [*found.get("utility", []), *found.get("members", [])]
     return spark.createDataFrame([(m, float(v)) for m, v in rows], "metric string, value double")

@@ -91,10 +91,9 @@ def _concat_on_id(parts: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def smallest_by_key(df: DataFrame, m: int, seed: int, tag: str, id_col: str) -> DataFrame:
-    """Keep exactly the ``m`` rows with the smallest seeded key (ties broken by id)."""
-    if m <= 0:
-        return df.limit(0)
+def _smallest(df: DataFrame, m: int, seed: int, tag: str, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The ``m`` rows with the smallest seeded key (ties broken by id), and all others where the
+    key alone tells them apart (None where rows tie at the boundary)."""
     keyed = df.withColumn("__h", key_to_long(seeded_key(seed, tag, id_col)))
     thr = kth_value(keyed, "__h", m - 1)
     # 60-bit keys: a tie at the boundary is astronomically unlikely, but be exact anyway
@@ -102,10 +101,16 @@ def smallest_by_key(df: DataFrame, m: int, seed: int, tag: str, id_col: str) ->
                   F.sum((F.col("__h") == F.lit(thr)).cast("long")).alias("at")).first()
     n_below, n_at = int(c["below"] or 0), int(c["at"] or 0)
     if n_below + n_at == m:
-        return keyed.where(F.col("__h") <= F.lit(thr)).drop("__h")
+        near = F.col("__h") <= F.lit(thr)
+        return keyed.where(near).drop("__h"), keyed.where(~F.coalesce(near, F.lit(False))).drop("__h")
     below = keyed.where(F.col("__h") < F.lit(thr))
     at_kept = keyed.where(F.col("__h") == F.lit(thr)).orderBy(id_col).limit(m - n_below)  # tied rows only
-    return below.unionByName(at_kept).drop("__h")
+    return below.unionByName(at_kept).drop("__h"), None
+
+
+def smallest_by_key(df: DataFrame, m: int, seed: int, tag: str, id_col: str) -> DataFrame:
+    """Keep exactly the ``m`` rows with the smallest seeded key (ties broken by id)."""
+    return df.limit(0) if m <= 0 else _smallest(df, m, seed, tag, id_col)[0]
 
 
 def subsample_negatives(training: DataFrame, seed: int, negative_class: int = 0, fraction_div: int = 6) -> DataFrame:
@@ -131,13 +136,13 @@ def kfold_assign(df: DataFrame, k: int, seed: int, id_col: str = ROW_ID, n: int
 def train_test_split(df: DataFrame, train_fraction: float, seed: int = 42, id_col: str = ROW_ID, n=None):
     """Exact split; the ``round(frac*n)`` rows with the smallest key are train.
 
-    Returns ``(train, test)``; the test set is the complement (W7) by id.
+    Returns ``(train, test)``; the test set is the complement (W7) by id: rows of one id share
+    their key, so it is what lies above the last key, unless rows tie there.
     """
     n = n if n is not None else df.count()
     m = int(round(train_fraction * n))
-    train = smallest_by_key(df, m, seed, "split", id_col)
-    test = df.join(train.select(id_col), id_col, "left_anti")
-    return train, test
+    train, test = (df.limit(0), None) if m <= 0 else _smallest(df, m, seed, "split", id_col)
+    return train, df.join(train.select(id_col), id_col, "left_anti") if test is None else test
 
 
 def holdout_split(training: DataFrame, k: int, seed: int, label_col: str = "label", id_col: str = "j"):
